@@ -18,9 +18,9 @@ import numpy as np
 #: are single, composed and lower-case one to one, so no normalisation is needed.
 _FAST = re.compile("[\x00-įı-ſ]*")
 #: The file's own word pattern, written out for those code points.
-_LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
-_DIGIT = "0-9²³¹¼-¾"
-_SPACE = "\t-\r \u0085 "
+_LETTER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
+_DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPACE = "\t-\r \x85\xa0"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
 MATRIX_BYTES = 96
 CACHE_WORDS = 300_000
