@@ -23,6 +23,7 @@ import hashlib
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -31,6 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import map_slices, slices, texts_of, written
 
+#: Size of the bitmap that tells which texts to compare byte by byte (4 MB).
+FILTER_BITS = 1 << 25
+
 
 def canonical(text: str) -> str:
     if not text.isascii():
@@ -52,6 +56,7 @@ def _row(doc, text: str, following: str) -> tuple:
     return (doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(own), digest(other), float(own == other), float(own == near))
 
 
+_DIGESTS = [pa.int64(), pa.string(), pa.string()]
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _EDGE = "part long, at_end boolean, text string"
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.string()]
@@ -70,17 +75,46 @@ def digests(docs: DataFrame) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), run, "doc_id long, digest string, canonical string")
 
 
+def _shared_digests(digested: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER_BITS`` bits, whatever the input: set for each digest that more than one row has.
+
+    It is only a filter that spares texts the shuffle: a bit set by another digest lets
+    some more rows through.
+    """
+    shared = digested.groupBy("fingerprint").count().where("count > 1")
+    place = F.xxhash64("fingerprint").bitwiseAND(FILTER_BITS - 1)
+    parts = shared.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(0x7FFF).alias("bit"))
+    bitmap = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
+    for part, bits in parts.groupBy("part").agg(F.bitmap_construct_agg("bit")).collect():
+        bitmap[part] = np.frombuffer(bits, np.uint8)
+    return bitmap.ravel()
+
+
 def collisions(docs: DataFrame, digested: DataFrame) -> DataFrame:
-    """Byte comparison inside equal buckets: rows whose canonical text is not that of their bucket's first id.
+    """Byte comparison inside equal buckets: rows of buckets whose canonical texts are not all the same bytes.
 
-    Only buckets with more than one row take part; a hot bucket is joined against one
-    row, and its large side can be split between tasks.
+    A bucket's texts are all equal if the least and the greatest are; both are found by
+    partial aggregation, so a hot bucket sends one row from each task.
     """
-    shared = digested.groupBy(F.col("fingerprint").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    members = digests(docs).join(shared.select("digest", "first"), "digest")
-    first = members.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("digest").agg(F.min("canonical").alias("model"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(_shared_digests(digested))
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for doc, text in zip(part.column(0).to_pylist(), texts_of(part)):
+            form = canonical(text)
+            key = digest(form)
+            place = xxhash.xxh64_intdigest(key, 42) & (FILTER_BITS - 1)
+            if bitmap.value[place >> 3] >> (place & 7) & 1:
+                rows.append((doc, key, form))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, _DIGESTS)], names=["doc_id", "digest", "canonical"])
+
+    members = map_slices(docs.select("doc_id", "text"), run, "doc_id long, digest string, canonical string")
+    mixed = members.groupBy("digest").agg(F.min("canonical").alias("least"), F.max("canonical").alias("most")).where("least <> most")
+    mixed = written(mixed.select("digest", "least"), "mixed")
+    if mixed.isEmpty():
+        return mixed.select(F.lit(None).cast("long").alias("doc_id"), "digest", F.lit("").alias("own"))
     return (
-        digests(docs).join(first, "digest").where(F.col("canonical") != F.col("model"))
+        members.join(mixed, "digest").where(F.col("canonical") != F.col("least"))
         .select("doc_id", "digest", F.concat("digest", F.lit("-"), F.sha2("canonical", 256)).alias("own"))
         .distinct()
     )
