@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, packing, pii, quality_knn, quality_rules, simhash, token_counts, toxicity
+from . import byte_bpe, fingerprints, html_text, packing, pii, quality_knn, quality_rules, simhash, token_counts, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -49,6 +49,10 @@ def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.score(docs, quality_knn.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"), html_text.fit())
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality_knn": op8_quality_knn,
+    "op9_html_extraction": op9_html_extraction,
     "op10_simhash": op10_simhash,
 }
 
