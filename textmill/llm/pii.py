@@ -115,21 +115,21 @@ _NEEDS = {
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_base`` (checked base spans) and ``_wide`` (candidates clear of them)."""
+    """``docs`` with ``__pii_base`` (checked base spans) and ``__pii_wide`` (candidates clear of them)."""
     text = F.coalesce("text", F.lit(""))
     patterns = PATTERNS | {f"wide_{k}": p for k, p in WIDER.items()}
     none = F.array().cast("array<string>")
     parts = {}
     for name, pattern in patterns.items():
         tried = _NEEDS[name](text)
-        parts[f"_{name}_m"] = F.when(tried, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
+        parts[f"__pii_{name}_m"] = F.when(tried, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
     docs = docs.withColumns(parts)
-    docs = docs.withColumns({f"_{n}_p": F.when(F.size(f"_{n}_m") > 0, F.split(text, p, -1)).otherwise(none) for n, p in patterns.items()})
-    spans = {n: _occurrences(F.col(f"_{n}_p"), F.col(f"_{n}_m"), KINDS.index(n.removeprefix("wide_"))) for n in patterns}
+    docs = docs.withColumns({f"__pii_{n}_p": F.when(F.size(f"__pii_{n}_m") > 0, F.split(text, p, -1)).otherwise(none) for n, p in patterns.items()})
+    spans = {n: _occurrences(F.col(f"__pii_{n}_p"), F.col(f"__pii_{n}_m"), KINDS.index(n.removeprefix("wide_"))) for n in patterns}
     base = F.concat(*(F.filter(spans[k], _valid(k)) for k in BASE))
-    docs = docs.withColumns({"_base": base, "_wide": F.concat(*(spans[f"wide_{k}"] for k in WIDER))})
-    clear = F.filter("_wide", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return docs.withColumn("_wide", clear).drop(*(f"_{n}_{x}" for n in patterns for x in "mp"))
+    docs = docs.withColumns({"__pii_base": base, "__pii_wide": F.concat(*(spans[f"wide_{k}"] for k in WIDER))})
+    clear = F.filter("__pii_wide", lambda c: ~F.exists("__pii_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    return docs.withColumn("__pii_wide", clear).drop(*(f"__pii_{n}_{x}" for n in patterns for x in "mp"))
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -185,7 +185,7 @@ class Model:
 
 def vote_counts(docs: DataFrame) -> DataFrame:
     """Counts of vote and feature patterns of all candidates: at most one row for each cell of the grid."""
-    spans = with_spans(docs.select("text")).select(F.explode("_wide").alias("s"))
+    spans = with_spans(docs.select("text")).select(F.explode("__pii_wide").alias("s"))
     kind, m, before = F.col("s.kind"), F.col("s.m"), F.col("s.before")
     named = [v.alias(f"v{i}") for i, v in enumerate(votes(kind, m, before))] + [f.alias(f"f{i}") for i, f in enumerate(features(kind, m, before))]
     return spans.select(*named).groupBy(*(f"v{i}" for i in range(4)), *(f"f{i}" for i in range(6))).count()
@@ -246,8 +246,8 @@ def _text_of(spans: Column) -> Column:
 
 
 def _all_spans(model: Model, threshold: float) -> Column:
-    added = F.filter("_wide", lambda s: model.probability(s["kind"], s["m"], s["before"]) >= threshold)
-    return _ordered(F.concat("_base", added))
+    added = F.filter("__pii_wide", lambda s: model.probability(s["kind"], s["m"], s["before"]) >= threshold)
+    return _ordered(F.concat("__pii_base", added))
 
 
 def _ordered(spans: Column) -> Column:
@@ -259,11 +259,11 @@ def _ordered(spans: Column) -> Column:
 def find(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: counts and digest of the base spans, and all spans."""
     found = with_spans(docs.select("doc_id", "text"))
-    count = {f"n_{k}": F.size(F.filter("_base", _is(i))).cast("long") for i, k in enumerate(BASE)}
+    count = {f"n_{k}": F.size(F.filter("__pii_base", _is(i))).cast("long") for i, k in enumerate(BASE)}
     return found.select(
         "doc_id",
         *(c.alias(n) for n, c in count.items()),
-        F.sha2(_text_of(_ordered(F.col("_base"))).cast("binary"), 256).alias("base_sha256"),
+        F.sha2(_text_of(_ordered(F.col("__pii_base"))).cast("binary"), 256).alias("base_sha256"),
         _text_of(_all_spans(model, threshold)).alias("spans"),
     )
 
@@ -271,7 +271,7 @@ def find(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
 def redact(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every span replaced by its kind's placeholder; ``n_chars`` follows the text."""
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    found = with_spans(docs).withColumn("_spans", _all_spans(model, threshold))
+    found = with_spans(docs).withColumn("__pii_spans", _all_spans(model, threshold))
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
@@ -282,6 +282,6 @@ def redact(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text)))
-    new = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(text)
-    out = found.withColumn("text", new).drop("_base", "_wide", "_spans")
+    new = F.when(F.size("__pii_spans") > 0, F.aggregate("__pii_spans", start, step, rest)).otherwise(text)
+    out = found.withColumn("text", new).drop("__pii_base", "__pii_wide", "__pii_spans")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
