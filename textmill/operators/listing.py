@@ -28,7 +28,10 @@ def short_line(line: Column, cfg: Config = Config()) -> Column:
     return F.when(line.rlike(TOTAL), total).when(line.rlike(ROW), row).otherwise(line)
 
 
+def short_listing(text: Column, cfg: Config = Config()) -> Column:
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda x: short_line(x, cfg)), "\n")
+
+
 def reduce_listing(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """``df`` with ``compressed`` and ``mode``; rows of another form stay. No shuffle."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x: short_line(x, cfg))
-    return df.withColumns({"compressed": F.array_join(lines, "\n"), "mode": F.lit("file_listing")})
+    return df.withColumns({"compressed": short_listing(F.col("text"), cfg), "mode": F.lit("file_listing")})

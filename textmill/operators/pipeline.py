@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from .code import reduce_code
+from .code import strip_c_like, strip_python
 from .detect import REDUCERS, accounted, detect, large_enough
 from .diff import reduce_diff
 from .json import reduce_json
-from .listing import reduce_listing
+from .listing import short_listing
 from .logs import reduce_logs
 from .search import reduce_search
 from .text import reduce_text
@@ -27,33 +27,44 @@ def _joined(reduce: Callable[[DataFrame, Config], DataFrame], mode: str):
     return run
 
 
-#: Reducer by name. Register another one here and name its kinds in ``detect.REDUCERS``.
+#: Reducers of whole groups of lines, each a branch of its own. Register another one here
+#: and name its kinds in ``detect.REDUCERS``.
 RUNNERS: dict[str, Callable[[DataFrame, Config], DataFrame]] = {
     "json_crusher": reduce_json,
     "log_deduper": _joined(reduce_logs, "logs"),
-    "code_python": lambda df, cfg: reduce_code(df, "python"),
-    "code_generic": lambda df, cfg: reduce_code(df, "generic"),
-    "file_listing": reduce_listing,
     "search": _joined(reduce_search, "search"),
     "diff": _joined(reduce_diff, "diff"),
-    "text": reduce_text,
 }
 _COLUMNS = ["doc_id", "content_type", "compressor", "mode", "text", "compressed"]
 
 
+def _in_place(df: DataFrame, cfg: Config) -> DataFrame:
+    """Code, listings, prose, and kinds without a reducer: one projection, no shuffle."""
+    prose = reduce_text(df, cfg)
+    is_ = lambda name: F.col("compressor") == name
+    new = (
+        F.when(is_("code_python"), strip_python(F.col("text"))).when(is_("code_generic"), strip_c_like(F.col("text")))
+        .when(is_("file_listing"), short_listing(F.col("text"), cfg)).when(is_("text"), F.col("compressed")).otherwise(F.col("text"))
+    )
+    mode = (
+        F.when(is_("code_python"), "strip_python").when(is_("code_generic"), "strip_generic").when(is_("file_listing"), "file_listing")
+        .when(is_("text"), "text_summary").otherwise("unchanged")
+    )
+    return prose.withColumns({"mode": mode, "compressed": new})
+
+
 def reduce_all(df: DataFrame, cfg: Config = Config(), hint: str | None = None, detected: bool = False) -> DataFrame:
     """The common result of every text of ``df`` (``doc_id``, ``text``) above the size gate.
 
-    Ids must be unique. Branches re-read the classified rows; give ``detected=True`` with a
-    persisted or written frame that has ``content_type`` where the source is costly.
+    Ids must be unique. Each branch re-reads the classified rows; give ``detected=True``
+    with a persisted or written frame that has ``content_type`` where the source is costly.
     """
     kinds = df if detected else detect(large_enough(df, cfg), cfg, hint)
     named = F.create_map(*(F.lit(x) for pair in REDUCERS.items() for x in pair))
     kinds = kinds.select("doc_id", "text", "content_type", named[F.col("content_type")].alias("compressor"))
-    out = None
+    grouped = [k for k, v in REDUCERS.items() if v in RUNNERS]
+    out = _in_place(kinds.where(~F.col("content_type").isin(grouped)), cfg).select(*_COLUMNS)
     for name, run in RUNNERS.items():
         own = [k for k, v in REDUCERS.items() if v == name]
-        part = run(kinds.where(F.col("content_type").isin(own)), cfg).select(*_COLUMNS)
-        out = part if out is None else out.unionByName(part)
-    rest = kinds.where(F.col("compressor").isNull()).withColumns({"mode": F.lit("unchanged"), "compressed": F.col("text")})
-    return accounted(out.unionByName(rest.select(*_COLUMNS)), cfg)
+        out = out.unionByName(run(kinds.where(F.col("content_type").isin(own)), cfg).select(*_COLUMNS))
+    return accounted(out, cfg)

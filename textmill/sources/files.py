@@ -27,8 +27,9 @@ def write_companions(results: DataFrame, path: str, dry_run: bool = False) -> Da
 
 def read_requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Request rows, and the rows that are no valid JSON."""
-    rows = spark.read.schema(f"{REQUEST}, bad string").option("columnNameOfCorruptRecord", "bad").json(path)
-    return rows.where("bad IS NULL").drop("bad"), rows.where("bad IS NOT NULL").select("bad")
+    parsed = F.from_json("value", f"{REQUEST}, bad string", {"columnNameOfCorruptRecord": "bad"})
+    rows = spark.read.text(path).where("trim(value) <> ''").select("value", parsed.alias("r"))
+    return rows.where("r.bad IS NULL").select("r.*").drop("bad"), rows.where("r.bad IS NOT NULL").select(F.col("value").alias("bad"))
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
