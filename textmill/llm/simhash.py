@@ -217,19 +217,28 @@ def linked(fps: np.ndarray, runs: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
+def node_of(fp: bytes) -> int:
+    """The node of a fingerprint: 64 bits as they are, more by their hash (as Spark's ``xxhash64``)."""
+    value = int.from_bytes(fp, "big") if len(fp) == 8 else xxhash.xxh64_intdigest(fp, 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
-    """A spanning forest, bucket by bucket, of the links between ``nodes`` (``node``, ``fp``): ``u``, ``v``."""
+    """A spanning forest, bucket by bucket, of the links between distinct fingerprints (``fp``): ``u``, ``v``.
+
+    A row of the shuffle is a bucket and a fingerprint, nothing else. A bucket above
+    ``BLOCK`` is dealt out as pairs of blocks, each a bucket of its own whose number is
+    hashed: should two meet in one number, they are compared together, which adds no link
+    that isn't one.
+    """
 
     def key_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for k in range(0, part.num_rows, 1024):
                 rows = part.slice(k, 1024)
-                fps = np.stack([np.frombuffer(x, np.uint8) for x in rows.column(1).to_pylist()])
-                keys = _keys(fps, tables)
-                at = np.repeat(np.arange(len(fps)), len(tables))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), rows.column(0).take(pa.array(at)), rows.column(1).take(pa.array(at))], names=["key", "node", "fp"]
-                )
+                fps = np.stack([np.frombuffer(x, np.uint8) for x in rows.column(0).to_pylist()])
+                at = pa.array(np.repeat(np.arange(len(fps)), len(tables)))
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(fps, tables).ravel()), rows.column(0).take(at)], names=["key", "fp"])
 
     def keys_only(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in key_of(batches):
@@ -239,15 +248,13 @@ def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def done(rows: pa.Table) -> pa.RecordBatch:
-            groups = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint8).reshape(len(groups), -1)
-            node = rows.column("node").to_numpy()
-            runs = np.concatenate([[0], np.flatnonzero((groups[1:] != groups[:-1]).any(1)) + 1, [len(groups)]])
+            key, raw = rows.column("key").to_numpy(), rows.column("fp").to_pylist()
+            fps = np.frombuffer(b"".join(raw), np.uint8).reshape(len(key), -1)
+            runs = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             label = linked(fps, runs, radius)
-            far = np.flatnonzero(label != np.arange(len(label)))
-            u, v = node[far], node[label[far]]
-            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+            pairs = {tuple(sorted((node_of(raw[k]), node_of(raw[label[k]])), reverse=True)) for k in np.flatnonzero(label != np.arange(len(label)))}
+            u, v = zip(*pairs) if pairs else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         size = 0
         for part in batches:
@@ -256,9 +263,9 @@ def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
             if size < 8 * BLOCK:
                 continue
             rows = pa.Table.from_batches(held)
-            groups = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            change = np.flatnonzero((groups[1:] != groups[:-1]).any(1))
-            if len(change):  # the last group may go on in the next batch
+            key = rows.column("key").to_numpy()
+            change = np.flatnonzero(key[1:] != key[:-1])
+            if len(change):  # the last bucket may go on in the next batch
                 cut = int(change[-1]) + 1
                 yield done(rows.slice(0, cut))
                 held = rows.slice(cut).to_batches()
@@ -266,17 +273,15 @@ def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
         if held:
             yield done(pa.Table.from_batches(held))
 
-    counted = nodes.select("node", "fp").mapInArrow(keys_only, "key long").groupBy("key").count()
+    counted = nodes.select("fp").mapInArrow(keys_only, "key long").groupBy("key").count()
     large = written(counted.where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "buckets")
-    keyed = nodes.select("node", "fp").mapInArrow(key_of, "key long, node long, fp binary")
-    one = keyed.join(large, "key", "left_anti").withColumns({"i": F.lit(0), "j": F.lit(0)})
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
-    many = keyed.join(large, "key").withColumns({"own": block}).withColumn("other", other)
-    many = many.select("key", "node", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    both = one.unionByName(many) if not large.isEmpty() else keyed.withColumns({"i": F.lit(0), "j": F.lit(0)})
-    order = ["key", "i", "j"]
-    return both.select(*order, "node", "fp").repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "u long, v long")
+    keyed = nodes.select("fp").mapInArrow(key_of, "key long, fp binary")
+    if not large.isEmpty():
+        many = keyed.join(large, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+        many = many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+        keyed = keyed.join(large, "key", "left_anti").unionByName(many)
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -348,7 +353,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = groups.where(F.col("doc_id") == F.col("component_id"))
     per_id = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     keepers = written(per_id.select(F.col("doc_id").alias("__keep"), "n"), "keepers")
-    once = docs.join(keepers.where("n = 1").select("__keep"), docs["doc_id"] == F.col("__keep"), "left_semi")
+    # the same plan at every size: texts are dealt out by id once, nothing is broadcast
+    once = docs.join(keepers.where("n = 1").select("__keep").hint("merge"), docs["doc_id"] == F.col("__keep"), "left_semi")
     often = keepers.where("n > 1")
     if not often.isEmpty():  # ids that are not unique: decide by row contents
         rows = docs.join(often.select("__keep"), docs["doc_id"] == F.col("__keep"), "left_semi")
