@@ -10,7 +10,7 @@ candidate: a strict pattern, a gazetteer of words before it, its context, and it
   over these counts estimates how each labeler votes on true and on false candidates.
 * The posteriors train the final classifier, a logistic regression on the span's
   features, whose weights become part of a SQL expression. Candidates of probability
-  ``THRESHOLD`` or more that overlap no base span are added.
+  ``THRESHOLD`` or more are added, but for those that cut through a base span.
 
 A match's place is found from the lengths of what a split at the pattern leaves, so no
 row goes to Python. The patterns are possessive, and begin only where a run begins or the
@@ -115,7 +115,7 @@ _NEEDS = {
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__pii_base`` (checked base spans) and ``__pii_wide`` (candidates clear of them)."""
+    """``docs`` with ``__pii_base`` (checked base spans) and ``__pii_wide`` (candidates that hold them whole or not at all)."""
     text = F.coalesce("text", F.lit(""))
     patterns = PATTERNS | {f"wide_{k}": p for k, p in WIDER.items()}
     none = F.array().cast("array<string>")
@@ -128,7 +128,12 @@ def with_spans(docs: DataFrame) -> DataFrame:
     spans = {n: _occurrences(F.col(f"__pii_{n}_p"), F.col(f"__pii_{n}_m"), KINDS.index(n.removeprefix("wide_"))) for n in patterns}
     base = F.concat(*(F.filter(spans[k], _valid(k)) for k in BASE))
     docs = docs.withColumns({"__pii_base": base, "__pii_wide": F.concat(*(spans[f"wide_{k}"] for k in WIDER))})
-    clear = F.filter("__pii_wide", lambda c: ~F.exists("__pii_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+
+    def cuts(b: Column, c: Column) -> Column:
+        meet = (b["start"] < c["end"]) & (c["start"] < b["end"])
+        return meet & ~((c["start"] <= b["start"]) & (b["end"] <= c["end"]))
+
+    clear = F.filter("__pii_wide", lambda c: ~F.exists("__pii_base", lambda b: cuts(b, c)))
     return docs.withColumn("__pii_wide", clear).drop(*(f"__pii_{n}_{x}" for n in patterns for x in "mp"))
 
 
