@@ -1,8 +1,8 @@
 """Source code: comments and docstrings out, runs of blank lines to one.
 
-A text's lines are folded by a small state machine inside one expression: no row leaves
-its partition. The docstring and block-comment states close on the line that opens them
-where the line holds the closing mark.
+What a line-by-line state machine would drop is a regular language, so each stripper is a
+few replacements over the whole text: linear time, no row leaves its partition. A text is
+given a last line end first, so that every line ends alike, and loses it again after.
 """
 
 from __future__ import annotations
@@ -10,61 +10,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, strip
+_GAP = r"[ \t\r\f\x0B]"
+#: A full-line comment; a docstring to the end of the line that closes it, or of the text.
+_PYTHON = rf"(?dm)^{_GAP}*+(?:#[^\n]*+\n|(\"\"\"|''')(?s:.*?)\1[^\n]*+\n|(?:\"\"\"|''')(?s:.*))"
+#: A full-line comment; a block closed on its line; a block to the end of the line that closes it.
+_C_LIKE = (
+    rf"(?dm)^{_GAP}*+(?://|\* )[^\n]*+\n"
+    r"|^([^\n]*?)/\*[^\n]*?\*/([^\n]*+)\n"
+    r"|^([^\n]*?)/\*[^\n]*+\n(?s:.*?\*/[^\n]*+\n|.*)"
+)
+#: Marks the end of a line that lost a block; a code point that no text may hold.
+_MARK = "﷐"
 
-_OPENER = "^[ \\t]*(\"\"\"|''')"
 
-
-def _fold(lines: Column, step) -> Column:
-    start = F.struct(F.lit("").alias("inside"), F.lit(False).alias("blank"), F.array().cast("array<string>").alias("out"))
-    return F.array_join(F.aggregate(lines, start, step, lambda acc: acc["out"]), "\n")
-
-
-def _emit(acc: Column, inside: Column, line: Column, keep: Column) -> Column:
-    """Next state; a blank line after a blank one is dropped."""
-    blank = is_blank(line)
-    kept = keep & ~(blank & acc["blank"])
-    return F.struct(
-        inside.alias("inside"), F.when(keep, blank).otherwise(acc["blank"]).alias("blank"),
-        F.when(kept, F.concat(acc["out"], F.array(line))).otherwise(acc["out"]).alias("out"),
-    )
+def _one_blank(text: Column) -> Column:
+    """Runs of blank lines to the first of them, and the added line end off."""
+    return F.regexp_replace(F.regexp_replace(text, rf"(?dm)^({_GAP}*+\n)(?:{_GAP}*+\n)++", "$1"), r"\n\z", "")
 
 
 def strip_python(text: Column) -> Column:
     """Without full-line comments and docstrings."""
-
-    def step(acc: Column, line: Column) -> Column:
-        body, opener = strip(line), F.regexp_extract(line, _OPENER, 1)
-        rest = F.substr(body, F.lit(4), F.length(body))
-        closes = F.contains(body, acc["inside"])
-        inside = (
-            F.when(acc["inside"] != "", F.when(closes, "").otherwise(acc["inside"])).when((opener != "") & ~F.contains(rest, opener), opener).otherwise("")
-        )
-        keep = (acc["inside"] == "") & (opener == "") & ~body.startswith("#")
-        return _emit(acc, inside, line, keep)
-
-    return _fold(F.split(text, "\n", -1), step)
+    return _one_blank(F.regexp_replace(F.concat(text, F.lit("\n")), _PYTHON, ""))
 
 
 def strip_c_like(text: Column) -> Column:
     """Without full-line comments and block comments; what stands around a block stays."""
-
-    def step(acc: Column, line: Column) -> Column:
-        body = strip(line)
-        inside, opens = acc["inside"] != "", F.contains(body, F.lit("/*"))
-        whole = body.startswith("//") | body.startswith("* ")
-        before = F.regexp_replace(line, "(?s)/\\*.*\\z", "")
-        after = F.regexp_extract(line, "(?s)/\\*.*?\\*/(.*)\\z", 1)
-        closed = line.rlike("/\\*.*?\\*/")
-        around = F.regexp_replace(F.concat(before, after), "[ \\t]+\\z", "")
-        state = (
-            F.when(inside, F.when(F.contains(body, F.lit("*/")), "").otherwise(acc["inside"])).when(~whole & opens & ~closed, "/*").otherwise("")
-        )
-        new = F.when(opens, around).otherwise(line)
-        keep = ~inside & ~whole & ~(opens & (strip(around) == ""))
-        return _emit(acc, state, new, keep)
-
-    return _fold(F.split(text, "\n", -1), step)
+    marked = F.regexp_replace(F.concat(text, F.lit("\n")), _C_LIKE, f"$1$2$3{_MARK}\n")
+    emptied = F.regexp_replace(marked, rf"(?dm)^{_GAP}*+{_MARK}\n", "")
+    return _one_blank(F.regexp_replace(emptied, rf"{_GAP}*+{_MARK}\n", "\n"))
 
 
 def reduce_code(df: DataFrame, language: str) -> DataFrame:
