@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -78,6 +79,14 @@ class PairTable:
         return res.reshape(out.shape)
 
 
+class _Codes(dict):
+    """Words in the order they were met, each with its number; a new word gets the next."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class WordBpe:
     """Encoder with a bounded cache of words."""
 
@@ -100,43 +109,39 @@ class WordBpe:
         self._forget()
 
     def _forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.flat = [np.empty(0, np.int32)]
-        self.starts, self.lens, self.size = np.empty(0, np.int64), np.empty(0, np.int64), 0
-
-    def _matrix(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of words of similar length: one row each, all merged in step."""
-        n, sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
-        width = int(sizes.max())
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        self.codes = _Codes()
+        self.learnt = 0
+        self.flat = np.empty(0, np.int32)
+        self.starts, self.lens = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _matrix(self, words: list[bytes], sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of words of similar length, all merged in step: (which words, a row of ids each, -1 beyond) by number of rounds."""
+        n, width = len(words), int(sizes.max())
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
         sym = self.inner[raw]
         cols = np.arange(width)
         sym[cols[None, :] >= sizes[:, None]] = -1
         sym[np.arange(n), sizes - 1] = self.final[raw[np.arange(n), sizes - 1]]
+        done: list = []
+        who = np.arange(n)
         if width == 1:
-            return list(sym)
+            return [(who, sym)]
         ranks = self.rank(sym[:, :-1], sym[:, 1:])
-        ids: list = [None] * n
-        who = np.arange(n)
         while True:
             at = ranks.argmin(1)
             best = ranks[np.arange(len(who)), at]
             live = best != _NONE
             if not live.all():
-                for k in np.flatnonzero(~live):
-                    row = sym[k]
-                    ids[who[k]] = row[row >= 0]
+                done.append((who[~live], sym[~live]))
                 who, sym, ranks, at, best = who[live], sym[live], ranks[live], at[live], best[live]
             if not len(who):
-                return ids
+                return done
             rows, width = np.arange(len(who)), sym.shape[1]
             take = np.arange(width - 1)[None, :]
             new = np.take_along_axis(sym, take + (take > at[:, None]), 1)
             new[rows, at] = self.merged[best]
             if width == 2:
-                for k, row in zip(who, new):
-                    ids[k] = row
-                return ids
+                return [*done, (who, new)]
             take = np.arange(width - 2)[None, :]
             ranks = np.take_along_axis(ranks, take + (take >= at[:, None]), 1)
             for shift in (-1, 0):
@@ -145,64 +150,56 @@ class WordBpe:
                 ranks[ok, col] = self.rank(new[ok, col], new[ok, col + 1])
             sym = new
 
-    def _learn(self, words: list[str]) -> None:
-        """Append the ids of new words to the cache."""
+    def _learn(self) -> None:
+        """Add the ids of words that have a code but no ids yet."""
+        words = list(islice(self.codes, self.learnt, None))
+        self.learnt += len(words)
         raw = [w.encode() for w in words]
-        order = sorted(range(len(raw)), key=lambda k: len(raw[k]))
-        ids: list = [None] * len(raw)
-        start = 0
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(sizes, kind="stable")
+        lens, starts, parts, used, start = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64), [self.flat], len(self.flat), 0
+        by_size = sizes[order]
         while start < len(order):
-            size = len(raw[order[start]])
+            size = int(by_size[start])
             if size > MATRIX_BYTES:
-                for k in order[start:]:
-                    ids[k] = np.array(self.library.encode(words[k], add_special_tokens=False).ids, np.int32)
-                break
-            stop = start
-            while stop < len(order) and len(raw[order[stop]]) <= size + max(1, size // 8) and stop - start < 20_000:
-                stop += 1
-            for k, row in zip(order[start:stop], self._matrix([raw[k] for k in order[start:stop]])):
-                ids[k] = row
-            start = stop
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = self.size + np.cumsum(lens) - lens
+                found = [(order[k : k + 1], np.array([self.library.encode(words[order[k]], add_special_tokens=False).ids], np.int32)) for k in range(start, len(order))]
+                start = len(order)
+            else:
+                stop = min(int(np.searchsorted(by_size, size + max(1, size // 8), "right")), start + 20_000)
+                which = order[start:stop]
+                found = [(which[who], ids) for who, ids in self._matrix([raw[k] for k in which], sizes[which])]
+                start = stop
+            for which, ids in found:
+                real = ids >= 0
+                n = real.sum(1)
+                lens[which], starts[which] = n, used + np.cumsum(n) - n
+                parts.append(ids[real])
+                used += len(parts[-1])
+        self.flat = np.concatenate(parts)
         self.starts, self.lens = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
-        self.flat = [np.concatenate([*self.flat, *ids])]
-        self.size = len(self.flat[0])
 
     def encode(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
         """Ids of each text, with ``end_id`` after them if given."""
         if len(self.codes) > CACHE_WORDS:
             self._forget()
-        known, fresh = self.codes, []
-        coded: list = []
+        code, tail = self.codes.__getitem__, [] if end_id is None else [end_id]
+        coded, sizes, plain = [], [], []
         for text in texts:
-            if not _FAST.fullmatch(text):
-                coded.append(None)
-                continue
-            words = _WORD.findall(text.lower())
-            try:
-                coded.append(list(map(known.__getitem__, words)))
-            except KeyError:
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
-                        fresh.append(w)
-                coded.append(list(map(known.__getitem__, words)))
-        if fresh:
-            self._learn(fresh)
-        flat, tail, out = self.flat[0], [] if end_id is None else [end_id], []
-        for text, codes in zip(texts, coded):
-            if codes is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids + tail, np.int32))
-                continue
-            codes = np.array(codes, np.int64)
-            lens = self.lens[codes]
-            ends = np.cumsum(lens)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = np.empty(total + len(tail), np.int32)
-            ids[:total] = flat[np.arange(total) + np.repeat(self.starts[codes] - ends + lens, lens)]
-            ids[total:] = tail
-            out.append(ids)
+            plain.append(_FAST.fullmatch(text) is not None)
+            words = _WORD.findall(text.lower()) if plain[-1] else []
+            coded.extend(map(code, words))
+            sizes.append(len(words))
+        if len(self.codes) > self.learnt:
+            self._learn()
+        codes = np.array(coded, np.int64)
+        lens = self.lens[codes]
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[codes] - ends[:-1], lens)]
+        bounds = ends[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        out = []
+        for k, text in enumerate(texts):
+            own = ids[bounds[k] : bounds[k + 1]] if plain[k] else np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+            out.append(np.append(own, np.array(tail, np.int32)))
         return out
 
 
