@@ -41,9 +41,29 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     out = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(out)
+    _WRITTEN.append(out)
     return spark.read.schema(df.schema).parquet(out)
 
 
+#: Tables that this session has written and not yet removed, in order.
+_WRITTEN: list[str] = []
+
+
+def last_written() -> str:
+    return _WRITTEN[-1]
+
+
+def remove_written(spark: SparkSession, *paths: str) -> None:
+    """Remove tables of :func:`written`, all of this session's if none is named.
+
+    Results are lazy and read them, so call it once results have been written or counted.
+    """
+    for path in paths or tuple(_WRITTEN):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _WRITTEN.remove(path)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_at: str) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice has few rows and few bytes; a long text stays whole."""
     for batch in batches:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, written
+from .common import last_written, map_slices, remove_written, written
 
 #: Nodes of one block of a bucket.
 BLOCK = 4096
@@ -305,11 +305,13 @@ def components(edges: DataFrame) -> DataFrame:
     def state(of: DataFrame) -> tuple:
         return tuple(of.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = written(edges.distinct(), "edges")
+    now, old = written(edges.distinct(), "edges"), last_written()
     seen = state(now)
     while seen[0]:
         now = written(star(star(now, True), False), "edges")
         after = state(now)
+        remove_written(edges.sparkSession, old)
+        old = last_written()
         if after == seen:
             break
         seen = after
