@@ -3,7 +3,7 @@
 Labels mark whole documents, so tokens are labelled first: in a toxic document, a token
 is toxic if one of its forms (the word, its beginnings of 3 to 6 bytes, its ending) occurs
 in toxic documents so much more than in clean ones that less than one such form is
-expected by chance over all forms. A two-state chain with hashed features of the token and of its neighbours is
+expected by chance over all forms; near copies count once. A two-state chain with hashed features of the token and of its neighbours is
 trained on these tokens by maximum likelihood. Forward-backward marginals give each
 token's probability; a document's score is a calibrated function of its greatest
 marginal and of its expected number of toxic tokens, and runs of probable tokens are
@@ -23,6 +23,7 @@ scored each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -39,17 +40,18 @@ MAX_BYTES = 20_000
 #: Documents of either class whose tokens train the chain (the others calibrate it).
 CHAIN_DOCS = 700
 THRESHOLD = 0.7
-BITS = 18
+#: Hash width of the chain's weights, and of the counts that label tokens: there a
+#: collision would label a clean word.
+BITS, LABEL_BITS = 20, 23
 CACHE_WORDS = 300_000
-_MASK = (1 << BITS) - 1
 _EDGE = b".,;:!?\"'()[]{}<>*#$%&|_-"
 _WORD = re.compile("[^ \t-\r]+")
 
 
 def forms(word: bytes) -> list[int]:
-    """Hashed forms of a lower-case word: itself, its beginnings, its ending."""
+    """Hashed forms of a lower-case word, at full width: itself, its beginnings, its ending."""
     w = word.strip(_EDGE) or word
-    return [crc32(w) & _MASK, *(crc32(w[:k], k) & _MASK for k in (3, 4, 5, 6)), crc32(w[-3:], 99) & _MASK]
+    return [crc32(w), crc32(w[:3], 3), crc32(w[:4], 4), crc32(w[:5], 5), crc32(w[:6], 6), crc32(w[-3:], 99)]
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -140,7 +142,7 @@ class Model:
             return list(map(known.__getitem__, words))
         except KeyError:
             for w in set(words).difference(known):
-                f = forms(w)
+                f = [x & ((1 << BITS) - 1) for x in forms(w)]
                 known[w] = len(self.table)
                 self.table.append((float(self.own[f].sum()), float(self.before[f[0]]), float(self.after[f[0]])))
             return list(map(known.__getitem__, words))
@@ -182,29 +184,53 @@ def summary(probabilities: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.log(top / (1 - top)), np.log1p(many)], axis=1)
 
 
+def unlike(docs: list[list[bytes]], keys: int = 8, shared: int = 3) -> np.ndarray:
+    """Which documents are no near copy of one before: they share less than ``shared`` of
+    ``keys`` least hashes of their word triples with each. Copies would make chance words look telling."""
+    odd = (np.arange(keys, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))[:, None]
+    first: dict[tuple[int, int], int] = {}
+    keep = np.ones(len(docs), bool)
+    for i, words in enumerate(docs):
+        triples = zip(words, words[1:], words[2:]) if len(words) > 2 else [tuple(words)]
+        h = np.fromiter((crc32(b" ".join(t)) for t in triples), np.uint64)
+        least = ((h * odd * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)).min(1).tolist()
+        seen = Counter(first[k] for k in enumerate(least) if k in first)
+        if seen and max(seen.values()) >= shared:
+            keep[i] = False
+            continue
+        for k in enumerate(least):
+            first.setdefault(k, i)
+    return keep
+
+
 def toxic_forms(docs: list[list[bytes]], y: np.ndarray) -> set[int]:
     """Forms that toxic documents hold beyond chance, corrected for the number of forms."""
-    in_toxic, in_clean = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    size = 1 << LABEL_BITS
+    in_toxic, in_clean = np.zeros(size, np.int32), np.zeros(size, np.int32)
     cache: dict[bytes, list[int]] = {}
     for words, label in zip(docs, y):
         held: set[int] = set()
         for w in set(words):
             if w not in cache:
-                cache[w] = forms(w)
+                cache[w] = [x & (size - 1) for x in forms(w)]
             held.update(cache[w])
         (in_toxic if label else in_clean)[list(held)] += 1
-    total, share = in_toxic + in_clean, y.mean()
-    rate = np.divide(in_toxic, total, out=np.zeros(len(total)), where=total > 0).clip(1e-9, 1 - 1e-9)
+    seen = np.flatnonzero(in_toxic >= 3)
+    n_forms, share = int(((in_toxic + in_clean) > 0).sum()), y.mean()
+    in_toxic, in_clean = in_toxic[seen], in_clean[seen]
+    total = in_toxic + in_clean
+    rate = (in_toxic / total).clip(1e-9, 1 - 1e-9)
     gain = total * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
-    found = (rate >= 0.95) & (in_toxic >= 3) & (gain > np.log(max(1, (total > 0).sum())))
-    return set(np.flatnonzero(found).tolist())
+    return set(seen[(rate >= 0.95) & (gain > np.log(max(1, n_forms)))].tolist())
 
 
 def _train_chain(docs: list[list[bytes]], marked: set[int], y: np.ndarray, rounds: int = 60, rate: float = 0.15, l2: float = 1e-3) -> Model:
     vocabulary: dict[bytes, int] = {}
     flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for d in docs for w in d], np.int64)
-    features = np.array([forms(w) for w in vocabulary], np.int64).reshape(-1, 6)
-    bad = np.array([any(f in marked for f in row) for row in features.tolist()], bool)
+    hashed = np.array([forms(w) for w in vocabulary], np.int64).reshape(-1, 6)
+    bad = np.isin(hashed & ((1 << LABEL_BITS) - 1), list(marked)).any(1)
+    places, features = np.unique(hashed & ((1 << BITS) - 1), return_inverse=True)  # weights of what training meets
+    features = features.reshape(-1, 6)
     lens = np.array([len(d) for d in docs], np.int64)
     first = np.zeros(len(flat), bool)
     first[(np.cumsum(lens) - lens)[lens > 0]] = True
@@ -213,7 +239,7 @@ def _train_chain(docs: list[list[bytes]], marked: set[int], y: np.ndarray, round
     a, b = target[:-1][inner].astype(int), target[1:][inner].astype(int)
     observed = np.bincount(a * 2 + b, minlength=4).reshape(2, 2).astype(float)
     begun = np.array([(1 - target[first]).sum(), target[first].sum()])
-    size = 1 << BITS
+    size = len(places)
     w = {"own": np.zeros(size), "before": np.zeros(size), "after": np.zeros(size), "trans": np.zeros((2, 2)), "start": np.zeros(2)}
     mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     n_words = len(vocabulary)
@@ -237,7 +263,10 @@ def _train_chain(docs: list[list[bytes]], marked: set[int], y: np.ndarray, round
             mean[k], square[k] = 0.9 * mean[k] + 0.1 * g, 0.99 * square[k] + 0.01 * g**2
             w[k] += rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-3)
     trans, start = np.exp(w["trans"]), np.exp(w["start"])
-    return Model(w["own"], w["before"], w["after"], trans, start)
+    full = {k: np.zeros(1 << BITS, np.float32) for k in ("own", "before", "after")}
+    for k, v in full.items():
+        v[places] = w[k]
+    return Model(full["own"], full["before"], full["after"], trans, start)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
@@ -245,13 +274,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_byte
     rows = labelled_sample(docs, labels, "toxic", per_class, max_bytes).collect()
     y = np.array([r["y"] for r in rows])
     words = [tokens_of(r["text"]) for r in rows]
-    none = np.zeros(1 << BITS)
-    marked = toxic_forms(words, y) if len(set(y.tolist())) == 2 else set()
+    none = np.zeros(1 << BITS, np.float32)
+    single = np.flatnonzero(unlike(words))
+    marked = toxic_forms([words[k] for k in single], y[single]) if len(set(y[single].tolist())) == 2 else set()
     if not marked:
         return Model(none, none, none, np.ones((2, 2)), np.ones(2), fitted=False)
     chain: list[int] = []
     for label in (0, 1):
-        chain += np.flatnonzero(y == label)[:CHAIN_DOCS].tolist()
+        chain += single[y[single] == label][:CHAIN_DOCS].tolist()
     model = _train_chain([words[k] for k in chain], marked, y[chain])
     texts = [r["text"] for r in rows]
     prob = [p for k in range(0, len(texts), 256) for p in model.probabilities(texts[k : k + 256])]
