@@ -11,7 +11,7 @@
    fingerprints to a machine word; a query's planes are added into carry-save counters
    that start so high that going beyond the radius overflows them; a block is left as
    soon as all of its lanes have overflowed. Buckets above ``BLOCK`` nodes are compared
-   as pairs of blocks in different tasks. Only a spanning forest of the links leaves a task.
+   as pairs of blocks in different tasks. Only a forest of the nearest links leaves a task.
 5. Components of the links come from rounds of smallest-neighbour stars, each written to
    the shared folder; nothing is collected.
 
@@ -37,6 +37,8 @@ from .common import last_written, map_slices, remove_written, written
 
 #: Nodes of one block of a bucket.
 BLOCK = 4096
+#: Size of the bitmap that tells which texts to look up (4 MB).
+FILTER_BITS = 1 << 25
 #: Shingles counted at once: their bits fit 8-bit counters.
 _AT_ONCE = 255
 
@@ -170,16 +172,46 @@ def _components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None =
     return label
 
 
-def linked(fps: np.ndarray, runs: np.ndarray, radius: int) -> np.ndarray:
-    """Local components of fingerprints (rows of bytes) that stand in runs of equal bucket.
+def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum spanning forest of the pairs by distance: every component takes its nearest pair out, in rounds."""
+    label, out = np.arange(n), []
+    key = d.astype(np.int64) * (len(a) + 1) + np.arange(len(a))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return tuple(np.concatenate([np.empty(0, np.int64), *column]) for column in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+        a, b, d, key, x, y = (v[apart] for v in (a, b, d, key, x, y))
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, x, key)
+        np.minimum.at(best, y, key)
+        chosen = (best[x] == key) | (best[y] == key)
+        out.append((a[chosen], b[chosen], d[chosen]))
+        label = _components(n, a[chosen], b[chosen], label)
+
+
+def linked(fps: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest links, as a forest, of fingerprints (rows of bytes) that stand in runs of equal bucket: rows, rows, distances.
 
     ``runs`` holds the start of each run and the end of the last. Short runs share words
     of 64 lanes; a longer run is compared with all of its words, a slice of rows at a time.
     """
     n, bits = len(fps), fps.shape[1] * 8
-    label, sizes = np.arange(n), np.diff(runs)
+    sizes = np.diff(runs)
     bit = np.unpackbits(fps, axis=1, bitorder="little")
+    wide_words = np.ascontiguousarray(fps).view(np.uint64)
     zero, ones = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
+    found: list[tuple] = []
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        other = a < b
+        a, b = a[other], b[other]
+        if len(a):
+            rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            d = np.bitwise_count(wide_words[a] ^ wide_words[b]).sum(1, dtype=np.int64)
+            u, v, d = _forest(len(rows), place[: len(a)], place[len(a) :], d)
+            found.append((rows[u], rows[v], d))
+
     short = np.flatnonzero((sizes > 1) & (sizes <= 64))
     place, used = np.empty(len(short), np.int64), 0
     for k, size in enumerate(sizes[short].tolist()):  # a run never straddles two words
@@ -200,7 +232,7 @@ def linked(fps: np.ndarray, runs: np.ndarray, radius: int) -> np.ndarray:
             mask &= np.repeat(real, 64)
             mask[own < 0] = zero
             r, lane = _pairs(mask[:, None], (np.arange(len(own)) // 64 * 64)[:, None])
-            label = _components(n, own[r], own[lane], label)
+            keep(own[r], own[lane])
     for k in np.flatnonzero(sizes > 64):
         start, end = runs[k], runs[k + 1]
         m = end - start
@@ -213,8 +245,10 @@ def linked(fps: np.ndarray, runs: np.ndarray, radius: int) -> np.ndarray:
             mask = within(lambda b: planes[b][None, :] ^ np.where(part[:, b], ones, zero)[:, None], (len(part), len(valid)), bits, radius)
             mask &= valid[None, :]
             r, lane = _pairs(mask, np.broadcast_to(np.arange(len(valid)) * 64, mask.shape), q)
-            label = _components(n, start + r, start + lane, label)
-    return label
+            keep(start + r, start + lane)
+    if not found:
+        return (np.empty(0, np.int64),) * 3
+    return _forest(n, *(np.concatenate(column) for column in zip(*found)))
 
 
 def node_of(fp: bytes) -> int:
@@ -224,7 +258,9 @@ def node_of(fp: bytes) -> int:
 
 
 def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
-    """A spanning forest, bucket by bucket, of the links between distinct fingerprints (``fp``): ``u``, ``v``.
+    """The links between distinct fingerprints (``fp``), of each bucket a forest of nearest ones: ``u``, ``v``, ``distance``.
+
+    The nearest link between any two parts of a component is always among them.
 
     A row of the shuffle is a bucket and a fingerprint, nothing else. A bucket above
     ``BLOCK`` is dealt out as pairs of blocks, each a bucket of its own whose number is
@@ -251,10 +287,11 @@ def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
             key, raw = rows.column("key").to_numpy(), rows.column("fp").to_pylist()
             fps = np.frombuffer(b"".join(raw), np.uint8).reshape(len(key), -1)
             runs = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            label = linked(fps, runs, radius)
-            pairs = {tuple(sorted((node_of(raw[k]), node_of(raw[label[k]])), reverse=True)) for k in np.flatnonzero(label != np.arange(len(label)))}
-            u, v = zip(*pairs) if pairs else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            a, b, d = linked(fps, runs, radius)
+            node = {k: node_of(raw[k]) for k in {*a.tolist(), *b.tolist()}}
+            rows = {(max(node[x], node[y]), min(node[x], node[y]), z) for x, y, z in zip(a.tolist(), b.tolist(), d.tolist())}
+            u, v, far = zip(*rows) if rows else ([], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(far, pa.int32())], names=["u", "v", "distance"])
 
         size = 0
         for part in batches:
@@ -281,7 +318,7 @@ def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
         many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
         many = many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
         keyed = keyed.join(large, "key", "left_anti").unionByName(many)
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long, distance int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -305,7 +342,7 @@ def components(edges: DataFrame) -> DataFrame:
     def state(of: DataFrame) -> tuple:
         return tuple(of.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now, old = written(edges.distinct(), "edges"), last_written()
+    now, old = written(edges.select("u", "v").distinct(), "edges"), last_written()
     seen = state(now)
     while seen[0]:
         now = written(star(star(now, True), False), "edges")
@@ -318,18 +355,62 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_groups(docs: DataFrame, words: int, bits: int, tables: list[np.ndarray], radius: int) -> DataFrame:
-    """``doc_id``, ``fp``, ``root`` and ``component_id``: the smallest id that links lead to, its own included."""
+def near_groups(docs: DataFrame, words: int, bits: int, tables: list[np.ndarray], radius: int, sure: int | None = None, similarity: float = 0.0) -> DataFrame:
+    """``doc_id``, ``fp``, ``root`` and ``component_id``: the smallest id that links lead to, its own included.
+
+    With ``sure``, links at a greater distance count only if the texts' sets of shingles
+    have at least that Jaccard ``similarity``.
+    """
     marked = written(fingerprints(docs, words, bits), "simhash")
     node = F.xxhash64("fp") if bits > 64 else F.conv(F.hex("fp"), 16, -10).cast("long")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", node), "nodes")
-    roots = components(links(nodes, tables, radius))
+    edges = links(nodes, tables, radius)
+    if sure is not None:
+        edges = confirmed(docs, nodes, written(edges.distinct(), "links"), words, sure, similarity)
+    roots = components(edges)
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "root", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
+def confirmed(docs: DataFrame, nodes: DataFrame, edges: DataFrame, words: int, sure: int, similarity: float) -> DataFrame:
+    """``edges`` up to the distance ``sure``, and those beyond whose texts are similar enough.
+
+    Only texts of such edges are dealt out: a bitmap of fixed size on the ids keeps most
+    others from it, the fingerprint tells apart rows that share an id. A node without any
+    id has no text to look up; its links count.
+    """
+    far = edges.where(F.col("distance") > sure)
+    asked = far.select(F.col("u").alias("node")).unionByName(far.select(F.col("v").alias("node"))).distinct()
+    asked = written(nodes.join(asked, "node", "left_semi").where("first IS NOT NULL").select("node", "first"), "asked")
+    place = F.col("first").bitwiseAND(FILTER_BITS - 1)
+    parts = asked.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(0x7FFF).alias("bit"))
+    bitmap = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
+    for part, held in parts.groupBy("part").agg(F.bitmap_construct_agg("bit")).collect():
+        bitmap[part] = np.frombuffer(held, np.uint8)
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap.ravel())
+
+    def sets(part: pa.RecordBatch) -> pa.RecordBatch:
+        ids, keys, found = [], [], []
+        for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
+            at = None if doc is None else doc & (FILTER_BITS - 1)
+            if at is not None and bitmap.value[at >> 3] >> (at & 7) & 1:
+                own = shingles(text.as_py(), words)
+                ids.append(doc)
+                keys.append(node_of(fingerprint(own, CORPUS["bits"])))
+                found.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in own), np.uint64, len(own)).view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["first", "node", "shingles"])
+
+    looked_up = map_slices(docs.select("doc_id", "text"), sets, "first long, node long, shingles array<long>")
+    texts = looked_up.join(asked, ["first", "node"], "left_semi").dropDuplicates(["node"]).select("node", "shingles")
+    a, b = (texts.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
+    both = far.join(a, "u", "left").join(b, "v", "left")
+    shared = F.size(F.array_intersect("of_u", "of_v"))
+    alike = shared >= similarity * (F.size("of_u") + F.size("of_v") - shared)
+    return edges.where(F.col("distance") <= sure).unionByName(both.where(F.coalesce(alike, F.lit(True))).select("u", "v", "distance"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """The contract's groups: 64 bits over three words, links at two or fewer differing bits."""
     groups = near_groups(docs, words=3, bits=64, tables=all_choices(64, 4, 2), radius=2)
@@ -338,9 +419,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 #: Corpus de-duplication: five words, similarity of 0.8 or more. At a Jaccard similarity of
 #: 0.8 (a cosine of 0.89) a bit differs with probability 0.152, so of 512 bits 78 do, with a
-#: standard deviation of 8: the radius is one deviation beyond. Two such fingerprints agree
+#: standard deviation of 8: the radius is three deviations beyond. Two such fingerprints agree
 #: on the 16 bits of at least one of 48 tables with probability 0.97, at 0.85 with 0.996.
-CORPUS = {"words": 5, "bits": 512, "radius": 86}
+#: Links beyond 54 bits, three deviations on this side, are confirmed on the texts' shingles.
+CORPUS = {"words": 5, "bits": 512, "radius": 102, "sure": 54, "similarity": 0.8}
 CORPUS_TABLES = (48, 16)
 
 
