@@ -97,3 +97,19 @@ def test_equal_texts_within_the_watermark(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("distinct_texts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("distinct_texts").count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from textmill.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.log").write_text(LOG)
+    store = str(tmp_path / "store")
+    assert main(["reduce", str(tmp_path / "in"), str(tmp_path / "out"), "--dry-run", "--store", store], spark) == 0 and not (tmp_path / "store").exists()
+    assert main(["reduce", str(tmp_path / "in"), str(tmp_path / "out"), "--store", store, "--profile", "aggressive"], spark) == 0
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    assert row["path"].endswith("a.log") and "1 texts reduced" in capsys.readouterr().out
+    assert main(["retrieve", row["hash"], "--store", store], spark) == 0 and capsys.readouterr().out == LOG + "\n"
+    assert main(["retrieve", "nothing", "--store", store], spark) == 1
+    assert main(["stats", "--store", store], spark) == 0 and "1 entries" in capsys.readouterr().out
+    assert main(["clear", "--store", store], spark) == 0 and not (tmp_path / "store").exists()

@@ -42,8 +42,8 @@ def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations whose user turns are logs."""
     talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     tool = fixture(spark, sf_dir, "logs_iso").select(F.col("doc_id").alias("tool"), F.col("text").alias("tool_text"))
-    users = tool.agg(F.max("tool").alias("top"))
-    joined = talk.crossJoin(F.broadcast(users)).withColumn("tool", (F.col("conv_id") * 7 + F.col("turn")) % (F.col("top") + 1)).join(tool, "tool", "left")
+    talk = spark.sql("SELECT *, (conv_id * 7 + turn) % ((SELECT max(tool) FROM {tool}) + 1) AS tool FROM {talk}", tool=tool, talk=talk)
+    joined = talk.join(tool, "tool", "left")
     return joined.select("conv_id", "turn", "role", F.when(F.col("role") == "user", F.coalesce("tool_text", "text")).otherwise(F.col("text")).alias("text"))
 
 
