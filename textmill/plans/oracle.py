@@ -267,7 +267,7 @@ ORACLE_SQL: dict[str, str] = {
     "listing_reduce": LISTING,
     "py_strip": PY,
     "c_strip": C,
-    "pipeline_all": f"SELECT doc_id, content_type, original_chars, compressed_chars, was_compressed, est_token_savings, compression_pct, hash FROM ({PIPELINE})",
+    "pipeline_all": f"SELECT doc_id, content_type, original_chars, compressed_chars, was_compressed, coalesce(est_token_savings, 0) AS est_token_savings, coalesce(compression_pct, 0) AS compression_pct, coalesce(hash, '') AS hash FROM ({PIPELINE})",
     "store_put": f"""SELECT DISTINCT substr(sha256(text), 1, 12) AS hash, length(text) AS original_chars, len(string_split(text, {NL})) AS original_lines FROM {fx("logs_iso")} WHERE doc_id % 3 = 0
         AND sha256(text) NOT IN (SELECT sha256(text) FROM {fx("logs_iso")} WHERE doc_id % 2 = 0)""",
     "store_get": f"SELECT substr(sha256(text), 1, 12) AS hash, text AS original FROM {fx('logs_iso')} WHERE doc_id % 5 = 0 UNION ALL SELECT 'none' || range, NULL FROM range(3)",
@@ -286,7 +286,7 @@ ORACLE_SQL: dict[str, str] = {
         LEFT JOIN (SELECT request_id, count(*) AS n, sum(original_chars - compressed_chars) AS saved FROM ({WALK}) GROUP BY request_id) USING (request_id)""",
     "tool_inject": "SELECT DISTINCT conv_id AS request_id, 1 AS n_tools, 'retrieve_original' AS last_tool FROM conversations",
     "resolve_calls": f"""SELECT doc_id AS call_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN substr(sha256(text), 1, 12) ELSE 'unknown' END AS hash,
-        CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 = 0 THEN length(text) END AS original_chars FROM {fx("logs_iso")}""",
+        CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 = 0 THEN length(text) ELSE 0 END AS original_chars FROM {fx("logs_iso")}""",
     "profile_detect": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{p if profile(p) else p}')" for p in PROFILES) + ") t(given, detected)",
     "log_totals": f"SELECT doc_id, len(string_split(text, {NL})) AS total_lines, length(text) AS total_chars FROM {fx('access_log')}",
     "log_ip_counts": f"SELECT doc_id, ip, count(*) AS n FROM {IPS} GROUP BY ALL",
@@ -300,7 +300,7 @@ ORACLE_SQL: dict[str, str] = {
     "log_peak_ips": f"""SELECT doc_id, peak_hour, count(DISTINCT ip) AS n_ips FROM (SELECT a.doc_id, p.hour AS peak_hour, unnest(regexp_extract_all(line, {q(analytics.IP)})) AS ip FROM {ACCESS} a
         JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, hour) AS r FROM ({HOURS})) p ON p.doc_id = a.doc_id AND r = 1 AND {first(analytics.STAMP)} = p.hour) GROUP BY ALL""",
     "log_report": f"SELECT * FROM ({_IP_TOP}) FULL JOIN ({_PATH_TOP}) USING (doc_id)",
-    "analysis_diff": f"""SELECT doc_id, ip, count(*) AS n_left, CASE WHEN count(*) FILTER (pos >= 10) > 0 THEN count(*) FILTER (pos >= 10) END AS n_right FROM {IPS} GROUP BY doc_id, ip HAVING count(*) <> count(*) FILTER (pos >= 10)""",
+    "analysis_diff": f"""SELECT doc_id, ip, count(*) AS n_left, count(*) FILTER (pos >= 10) AS n_right FROM {IPS} GROUP BY doc_id, ip HAVING count(*) <> count(*) FILTER (pos >= 10)""",
     "merge_by_time": "SELECT 's' || (event_id % 3) AS source, ts, event_id AS seq, event_type AS line FROM events",
     "savings_rollup": f"SELECT content_type, count(*) AS n, sum(original_chars) AS original, sum(CASE WHEN was_compressed THEN compressed_chars ELSE original_chars END) AS reduced, max(compression_pct) AS best_pct, min(compression_pct) AS worst_pct FROM ({TEXT_REDUCE}) GROUP BY ROLLUP (content_type)",
     "cost_projection": f"SELECT t AS tokens, round(t / 1e6 * 2, 6) AS per_run, round(t / 1e6 * 2 * 100, 4) AS per_day, round(t / 1e6 * 2 * 100 * 365, 2) AS per_year FROM (SELECT sum(est_token_savings) AS t FROM ({TEXT_REDUCE}))",
@@ -309,3 +309,12 @@ ORACLE_SQL: dict[str, str] = {
     "field_fidelity": "SELECT count(*) AS id, count(*) AS meta, count(*) AS body, count(*) AS n FROM documents WHERE n_chars > 1600",
     "stream_text_reduce": f"SELECT doc_id, length(compressed) AS compressed_chars, CASE WHEN length(compressed) < length(text) THEN substr(sha256(text), 1, 12) END AS hash FROM ({prose(fx('text_blank'))})",
 }
+
+#: DuckDB sums integers to 128 bits; these columns are 64 bits wide in Spark.
+_WIDE_SUMS = {
+    "log_repetitions": ["repetitions_saved"], "search_file_rank": ["total"], "search_reduce": ["compressed_matches"], "diff_stats": ["files_affected"],
+    "store_stats": ["total_bytes"], "history_trigger": ["total_chars"], "history_stats": ["total_chars", "chars_saved", "tokens_saved_estimate"],
+    "request_transform": ["total_saved", "chars"], "savings_rollup": ["original", "reduced"], "cost_projection": ["tokens"],
+}
+for _name, _columns in _WIDE_SUMS.items():
+    ORACLE_SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _columns)}) FROM ({ORACLE_SQL[_name]})"

@@ -101,7 +101,10 @@ def hint_override(spark, sf_dir):
 
 def pipeline_all(spark, sf_dir):
     done = reduce_all(all_fixtures(spark, sf_dir), hint="kind")
-    return done.select("doc_id", "content_type", "original_chars", "compressed_chars", "was_compressed", "est_token_savings", "compression_pct", "hash")
+    return done.select(
+        "doc_id", "content_type", "original_chars", "compressed_chars", "was_compressed", F.coalesce("est_token_savings", F.lit(0)).alias("est_token_savings"),
+        F.coalesce("compression_pct", F.lit(0.0)).alias("compression_pct"), F.coalesce("hash", F.lit("")).alias("hash"),
+    )
 
 
 def summary_lines(spark, sf_dir):
@@ -135,7 +138,7 @@ def resolve_calls(spark, sf_dir):
     calls = fixture(spark, sf_dir, "logs_iso").select(
         F.col("doc_id").alias("call_id"), F.when(F.col("doc_id") % 4 == 0, "other").otherwise(requests.TOOL).alias("name"), F.to_json(F.struct(known.alias("hash"))).alias("arguments")
     )
-    return requests.resolve_calls(calls, kept).select("call_id", "hash", F.length("original").alias("original_chars"))
+    return requests.resolve_calls(calls, kept).select("call_id", "hash", F.coalesce(F.length("original"), F.lit(0)).alias("original_chars"))
 
 
 def request_transform(spark, sf_dir):
@@ -164,7 +167,8 @@ def analysis_diff(spark, sf_dir):
     """Addresses of all lines against those of lines outside the first ten."""
     whole = fixture(spark, sf_dir, "access_log")
     later = text_lines(whole).where("pos >= 10").groupBy("doc_id").agg(F.array_join(F.collect_list("line"), "\n").alias("text"))
-    return analytics.difference(analytics.ip_counts(whole), analytics.ip_counts(later), ["doc_id", "ip"])
+    found = analytics.difference(analytics.ip_counts(whole), analytics.ip_counts(later), ["doc_id", "ip"])
+    return found.na.fill(0, ["n_left", "n_right"])
 
 
 def merge_by_time(spark, sf_dir):
