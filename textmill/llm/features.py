@@ -54,12 +54,12 @@ def unit_rows(texts: list[str], weight: np.ndarray | None = None) -> np.ndarray:
 class Rows:
     """Sparse training rows with 0/1 labels, as gathered by :func:`training_rows`."""
 
-    def __init__(self, rows: list):
-        self.y = np.array([r["y"] for r in rows], np.float64)
-        self.lens = np.array([len(r["at"]) for r in rows], np.int64)
-        self.at = np.concatenate([np.empty(0, np.int64), *(np.array(r["at"], np.int64) for r in rows)])
-        self.n = np.concatenate([np.empty(0, np.float32), *(np.array(r["n"], np.float32) for r in rows)])
-        self.owner = np.repeat(np.arange(len(rows)), self.lens)
+    def __init__(self, rows: pa.Table):
+        at, n = (rows.column(c).combine_chunks() for c in ("at", "n"))
+        self.y = rows.column("y").to_numpy().astype(np.float64)
+        self.lens = at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.at, self.n = at.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy()
+        self.owner = np.repeat(np.arange(len(self.y)), self.lens)
 
     def __len__(self) -> int:
         return len(self.y)
@@ -92,7 +92,7 @@ def training_rows(sample: DataFrame) -> Rows:
             [pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32())), part.column(1)], names=["at", "n", "y"]
         )
 
-    return Rows(map_slices(sample.select("text", "y"), run, "at array<int>, n array<float>, y int").collect())
+    return Rows(map_slices(sample.select("text", "y"), run, "at array<int>, n array<float>, y int").toArrow())
 
 
 def sigmoid(z):

@@ -23,6 +23,7 @@ scored each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -38,12 +39,12 @@ from .features import fit_platt, sigmoid
 PER_CLASS = 1500
 MAX_BYTES = 20_000
 #: Documents of either class whose tokens train the chain (the others calibrate it).
-CHAIN_DOCS = 700
+CHAIN_DOCS = 500
 THRESHOLD = 0.7
 #: Hash width of the chain's weights, and of the counts that label tokens: there a
 #: collision would label a clean word.
 BITS, LABEL_BITS = 20, 23
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _EDGE = b".,;:!?\"'()[]{}<>*#$%&|_-"
 _WORD = re.compile("[^ \t-\r]+")
 
@@ -207,12 +208,12 @@ def toxic_forms(docs: list[list[bytes]], y: np.ndarray) -> set[int]:
     """Forms that toxic documents hold beyond chance, corrected for the number of forms."""
     size = 1 << LABEL_BITS
     in_toxic, in_clean = np.zeros(size, np.int32), np.zeros(size, np.int32)
-    cache: dict[bytes, list[int]] = {}
+    cache: dict[bytes, array] = {}
     for words, label in zip(docs, y):
         held: set[int] = set()
         for w in set(words):
             if w not in cache:
-                cache[w] = [x & (size - 1) for x in forms(w)]
+                cache[w] = array("i", (x & (size - 1) for x in forms(w)))
             held.update(cache[w])
         (in_toxic if label else in_clean)[list(held)] += 1
     seen = np.flatnonzero(in_toxic >= 3)
@@ -271,9 +272,10 @@ def _train_chain(docs: list[list[bytes]], marked: set[int], y: np.ndarray, round
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
     """The chain and its calibration; a model that scores 0 if the labels don't hold both classes."""
-    rows = labelled_sample(docs, labels, "toxic", per_class, max_bytes).collect()
-    y = np.array([r["y"] for r in rows])
-    words = [tokens_of(r["text"]) for r in rows]
+    rows = labelled_sample(docs, labels, "toxic", per_class, max_bytes).toArrow()
+    y, texts = rows.column("y").to_numpy(), rows.column("text").to_pylist()
+    shared: dict[bytes, bytes] = {}  # one object for each word
+    words = [[shared.setdefault(w, w) for w in tokens_of(t)] for t in texts]
     none = np.zeros(1 << BITS, np.float32)
     single = np.flatnonzero(unlike(words))
     marked = toxic_forms([words[k] for k in single], y[single]) if len(set(y[single].tolist())) == 2 else set()
@@ -283,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_byte
     for label in (0, 1):
         chain += single[y[single] == label][:CHAIN_DOCS].tolist()
     model = _train_chain([words[k] for k in chain], marked, y[chain])
-    texts = [r["text"] for r in rows]
+    del words, shared
     prob = [p for k in range(0, len(texts), 256) for p in model.probabilities(texts[k : k + 256])]
     z = summary(prob)
     # one direction for both summaries, then a calibrated slope and offset along it

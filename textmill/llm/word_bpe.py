@@ -24,7 +24,7 @@ _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACE = "\t-\r \x85\xa0"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
 MATRIX_BYTES = 96
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _NONE = np.iinfo(np.int32).max
 
 
