@@ -477,6 +477,24 @@ def test_corpus_near_duplicates(spark, edges):
     )
 
 
+def test_a_false_link_hides_no_true_one(spark, monkeypatch):
+    """Many edits of one text: some lie nearer to each other than to the text they are like."""
+    monkeypatch.setattr(simhash, "spread_tables", lambda *_: [np.empty(0, np.int64)])
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(404)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 121):
+        edit = list(base)
+        for k in rng.sample(range(5, 399, 5), 7):
+            edit[k] = f"new{i}x{k}"
+        rows.append((i, " ".join(edit)))
+    sets = [set(simhash.shingles(t, 5)) for _, t in rows]
+    assert all(len(sets[0] & x) / len(sets[0] | x) > 0.8 for x in sets[1:])
+    assert sum(len(a & b) / len(a | b) < 0.8 for a, b in itertools.combinations(sets[1:], 2)) > 6000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()] == [0]
+
+
 # --- pipeline
 
 

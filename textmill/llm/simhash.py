@@ -53,11 +53,15 @@ def shingles(text: str | None, words: int) -> list[bytes]:
 
 
 def fingerprint(parts: list[bytes], bits: int, seed: int = 42) -> bytes:
-    """Fingerprint, highest bit first; hashes beyond 64 bits are mixed from the first with odd constants."""
-    if not parts:
+    """Fingerprint, highest bit first."""
+    return _majority(np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, len(parts)), bits)
+
+
+def _majority(first: np.ndarray, bits: int) -> bytes:
+    """Fingerprint of hashes; those beyond 64 bits are mixed from the first with odd constants."""
+    if not len(first):
         return bytes(bits // 8)
-    first = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, len(parts))
-    lanes = np.empty((len(parts), bits // 64), np.uint64)
+    lanes = np.empty((len(first), bits // 64), np.uint64)
     lanes[:, 0] = first
     for k in range(1, bits // 64):
         h = first * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * k & 0xFFFFFFFFFFFFFFFF | 1)
@@ -66,9 +70,23 @@ def fingerprint(parts: list[bytes], bits: int, seed: int = 42) -> bytes:
         lanes[:, k] = h ^ (h >> np.uint64(32))
     raw = lanes.view(np.uint8)
     counts = np.zeros(bits, np.int64)
-    for k in range(0, len(parts), _AT_ONCE):
+    for k in range(0, len(first), _AT_ONCE):
         counts += np.unpackbits(raw[k : k + _AT_ONCE], axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(parts), bitorder="little").tobytes()[::-1]
+    return np.packbits(counts * 2 > len(first), bitorder="little").tobytes()[::-1]
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles, in order."""
+    parts = shingles(text, words)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts)))
+
+
+def node_of_set(own: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(own.tobytes(), 42))
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
 
 def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64) -> DataFrame:
@@ -172,27 +190,44 @@ def _components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None =
     return label
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimum spanning forest of the pairs by distance: every component takes its nearest pair out, in rounds."""
-    label, out = np.arange(n), []
-    key = d.astype(np.int64) * (len(a) + 1) + np.arange(len(a))
+def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the pairs of a minimum spanning forest by distance: every component takes its nearest pair out, in rounds."""
+    label, at, out = np.arange(n), np.arange(len(a)), [np.empty(0, np.int64)]
+    key = d.astype(np.int64) * (len(a) + 1) + at
     while True:
         x, y = label[a], label[b]
         apart = x != y
         if not apart.any():
-            return tuple(np.concatenate([np.empty(0, np.int64), *column]) for column in zip(*out)) if out else (np.empty(0, np.int64),) * 3
-        a, b, d, key, x, y = (v[apart] for v in (a, b, d, key, x, y))
+            return np.concatenate(out)
+        a, b, at, key, x, y = (v[apart] for v in (a, b, at, key, x, y))
         best = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(best, x, key)
         np.minimum.at(best, y, key)
         chosen = (best[x] == key) | (best[y] == key)
-        out.append((a[chosen], b[chosen], d[chosen]))
+        out.append(at[chosen])
         label = _components(n, a[chosen], b[chosen], label)
 
 
-def linked(fps: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nearest links, as a forest, of fingerprints (rows of bytes) that stand in runs of equal bucket: rows, rows, distances.
+def _forests(a: np.ndarray, b: np.ndarray, d: np.ndarray, count: int) -> np.ndarray:
+    """Places of the pairs that ``count`` forests take, each of what the ones before have left."""
+    rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    left, out = np.arange(len(a)), [np.empty(0, np.int64)]
+    for _ in range(count):
+        took = _forest(len(rows), x[left], y[left], d[left])
+        out.append(left[took])
+        left = np.delete(left, took)
+        if not len(left):
+            break
+    return np.concatenate(out)
+
 
+def linked(
+    fps: np.ndarray, runs: np.ndarray, radius: int, part: np.ndarray | None = None, known: Callable | None = None, forests: int = 1
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest links, as forests, of fingerprints (rows of bytes) that stand in runs of equal bucket: rows, rows, distances.
+
+    Rows of one ``part`` are joined already; pairs of which ``known`` is true are left out.
     ``runs`` holds the start of each run and the end of the last. Short runs share words
     of 64 lanes; a longer run is compared with all of its words, a slice of rows at a time.
     """
@@ -201,16 +236,19 @@ def linked(fps: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarray,
     bit = np.unpackbits(fps, axis=1, bitorder="little")
     wide_words = np.ascontiguousarray(fps).view(np.uint64)
     zero, ones = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
+    part = np.arange(n) if part is None else part
     found: list[tuple] = []
 
     def keep(a: np.ndarray, b: np.ndarray) -> None:
-        other = a < b
+        other = (a < b) & (part[a] != part[b])
         a, b = a[other], b[other]
+        if known is not None and len(a):
+            new = ~known(a, b)
+            a, b = a[new], b[new]
         if len(a):
-            rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
             d = np.bitwise_count(wide_words[a] ^ wide_words[b]).sum(1, dtype=np.int64)
-            u, v, d = _forest(len(rows), place[: len(a)], place[len(a) :], d)
-            found.append((rows[u], rows[v], d))
+            took = _forests(part[a], part[b], d, forests)
+            found.append((a[took], b[took], d[took]))
 
     short = np.flatnonzero((sizes > 1) & (sizes <= 64))
     place, used = np.empty(len(short), np.int64), 0
@@ -241,28 +279,35 @@ def linked(fps: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarray,
         planes = _planes(wide)
         valid = np.packbits(np.arange(len(wide)) < m, bitorder="little").view(np.uint64)
         for q in range(0, m, 128):
-            part = bit[start + q : min(start + q + 128, end)]
-            mask = within(lambda b: planes[b][None, :] ^ np.where(part[:, b], ones, zero)[:, None], (len(part), len(valid)), bits, radius)
+            asks = bit[start + q : min(start + q + 128, end)]
+            mask = within(lambda b: planes[b][None, :] ^ np.where(asks[:, b], ones, zero)[:, None], (len(asks), len(valid)), bits, radius)
             mask &= valid[None, :]
             r, lane = _pairs(mask, np.broadcast_to(np.arange(len(valid)) * 64, mask.shape), q)
             keep(start + r, start + lane)
     if not found:
         return (np.empty(0, np.int64),) * 3
-    return _forest(n, *(np.concatenate(column) for column in zip(*found)))
+    a, b, d = (np.concatenate(column) for column in zip(*found))
+    took = _forests(part[a], part[b], d, forests)
+    return a[took], b[took], d[took]
 
 
 def node_of(fp: bytes) -> int:
     """The node of a fingerprint: 64 bits as they are, more by their hash (as Spark's ``xxhash64``)."""
-    value = int.from_bytes(fp, "big") if len(fp) == 8 else xxhash.xxh64_intdigest(fp, 42)
-    return value - (1 << 64) if value >> 63 else value
+    return _signed(int.from_bytes(fp, "big") if len(fp) == 8 else xxhash.xxh64_intdigest(fp, 42))
 
 
-def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
-    """The links between distinct fingerprints (``fp``), of each bucket a forest of nearest ones: ``u``, ``v``, ``distance``.
+#: What a row of the shuffle may carry besides its bucket.
+_CARRIED = {"fp": "binary", "node": "long", "part": "long", "no": "array<long>"}
+
+
+def links(nodes: DataFrame, tables: list[np.ndarray], radius: int, carried: tuple[str, ...] = ("fp",), forests: int = 1) -> DataFrame:
+    """The links between nodes, of each bucket ``forests`` forests of nearest ones: ``u``, ``v``, ``distance``.
 
     The nearest link between any two parts of a component is always among them.
 
-    A row of the shuffle is a bucket and a fingerprint, nothing else. A bucket above
+    A row of the shuffle is a bucket and what is ``carried``: the fingerprint (``fp``); its
+    ``node`` where that isn't the fingerprint's own; the ``part`` of nodes that are joined
+    already; the smaller nodes that it has ``no`` link to. A bucket above
     ``BLOCK`` is dealt out as pairs of blocks, each a bucket of its own whose number is
     hashed: should two meet in one number, they are compared together, which adds no link
     that isn't one.
@@ -274,7 +319,8 @@ def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
                 rows = part.slice(k, 1024)
                 fps = np.stack([np.frombuffer(x, np.uint8) for x in rows.column(0).to_pylist()])
                 at = pa.array(np.repeat(np.arange(len(fps)), len(tables)))
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(fps, tables).ravel()), rows.column(0).take(at)], names=["key", "fp"])
+                held = [rows.column(k).take(at) for k in range(rows.num_columns)]
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(fps, tables).ravel()), *held], names=["key", *rows.schema.names])
 
     def keys_only(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in key_of(batches):
@@ -287,8 +333,10 @@ def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
             key, raw = rows.column("key").to_numpy(), rows.column("fp").to_pylist()
             fps = np.frombuffer(b"".join(raw), np.uint8).reshape(len(key), -1)
             runs = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            a, b, d = linked(fps, runs, radius)
-            node = {k: node_of(raw[k]) for k in {*a.tolist(), *b.tolist()}}
+            own = rows.column("node").to_numpy() if "node" in carried else None
+            part = np.unique(rows.column("part").to_numpy(), return_inverse=True)[1] if "part" in carried else None
+            a, b, d = linked(fps, runs, radius, part, _known(own, rows.column("no")) if "no" in carried else None, forests)
+            node = {k: node_of(raw[k]) if own is None else int(own[k]) for k in {*a.tolist(), *b.tolist()}}
             rows = {(max(node[x], node[y]), min(node[x], node[y]), z) for x, y, z in zip(a.tolist(), b.tolist(), d.tolist())}
             u, v, far = zip(*rows) if rows else ([], [], [])
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(far, pa.int32())], names=["u", "v", "distance"])
@@ -312,15 +360,27 @@ def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
 
     counted = nodes.select("fp").mapInArrow(keys_only, "key long").groupBy("key").count()
     large = written(counted.where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "buckets")
-    keyed = nodes.select("fp").mapInArrow(key_of, "key long, fp binary")
+    keyed = nodes.select(*carried).mapInArrow(key_of, ", ".join(["key long", *(f"{c} {_CARRIED[c]}" for c in carried)]))
     if not large.isEmpty():
-        many = keyed.join(large, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        many = keyed.join(large, "key").withColumn("own", F.pmod(F.xxhash64("node" if "node" in carried else "fp"), F.col("blocks")).cast("int"))
         many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-        many = many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+        many = many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *carried)
         keyed = keyed.join(large, "key", "left_anti").unionByName(many)
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long, distance int")
 
 
+def _known(node: np.ndarray, no: pa.ChunkedArray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether the nodes of two rows are a pair of a node and one of its ``no``."""
+    names, rank = np.unique(node, return_inverse=True)
+    lists = no.combine_chunks()
+    asks = np.repeat(rank, np.diff(lists.offsets.to_numpy()))
+    other = lists.flatten().to_numpy()
+    place = np.searchsorted(names, other).clip(0, len(names) - 1)
+    here = names[place] == other
+    pairs = np.unique(asks[here] * len(names) + place[here])
+    return lambda a, b: np.isin(np.maximum(rank[a], rank[b]) * len(names) + np.minimum(rank[a], rank[b]), pairs)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (its component's smallest node) of all nodes in ``edges`` (``u`` > ``v``).
 
@@ -355,60 +415,108 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_groups(docs: DataFrame, words: int, bits: int, tables: list[np.ndarray], radius: int, sure: int | None = None, similarity: float = 0.0) -> DataFrame:
-    """``doc_id``, ``fp``, ``root`` and ``component_id``: the smallest id that links lead to, its own included.
-
-    With ``sure``, links at a greater distance count only if the texts' sets of shingles
-    have at least that Jaccard ``similarity``.
-    """
+def near_groups(docs: DataFrame, words: int, bits: int, tables: list[np.ndarray], radius: int) -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id``: the smallest id that links lead to, its own included."""
     marked = written(fingerprints(docs, words, bits), "simhash")
     node = F.xxhash64("fp") if bits > 64 else F.conv(F.hex("fp"), 16, -10).cast("long")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", node), "nodes")
-    edges = links(nodes, tables, radius)
-    if sure is not None:
-        edges = confirmed(docs, nodes, written(edges.distinct(), "links"), words, sure, similarity)
-    roots = components(edges)
+    named = _named(nodes, components(links(nodes, tables, radius))).select("fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``nodes`` with ``root`` and ``component_id``."""
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "root", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    return rooted.join(lowest, "root")
+
+
+def similar_groups(docs: DataFrame, words: int, bits: int, tables: list[np.ndarray], radius: int, sure: int, similarity: float) -> DataFrame:
+    """``doc_id``, ``node``, ``root`` and ``component_id`` of groups in which every link is confirmed.
+
+    A node is a set of shingles. A link at a greater distance than ``sure`` counts only if
+    the two sets have at least that Jaccard ``similarity``.
+    """
 
+    def marks(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+        fps = [fingerprint(shingles(t, words), bits) for t in part.column(1).to_pylist()]
+        keys = [node_of_set(x) for x in sets]
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.int64())], names=["doc_id", "fp", "node"])
+
+    marked = written(map_slices(docs.select("doc_id", "text"), marks, "doc_id long, fp binary, node long"), "simhash")
+    nodes = written(marked.groupBy("node", "fp").agg(F.min("doc_id").alias("first")), "nodes")
+    named = _named(nodes, confirmed(docs, nodes, words, tables, radius, sure, similarity)).select("node", "root", "component_id")
+    return marked.join(named, "node").select("doc_id", "node", "root", "component_id")
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, words: int, tables: list[np.ndarray], radius: int, sure: int, similarity: float) -> DataFrame:
+    """The components of all links of a bucket that are similar enough.
 
-def confirmed(docs: DataFrame, nodes: DataFrame, edges: DataFrame, words: int, sure: int, similarity: float) -> DataFrame:
-    """``edges`` up to the distance ``sure``, and those beyond whose texts are similar enough.
+    A forest of nearest links is tested first. Where it held a false link, true ones may
+    stand behind it: the nodes of such a component go through the buckets again, those
+    that are joined as one part and without the pairs found false, for more forests each
+    time, until a round finds nothing false.
+    """
+    pairs = lambda found: written(found.where("u <> v").select("u", "v", "distance").distinct(), "links")
+    last = pairs(links(nodes, tables, radius, ("fp", "node")))
+    sets = written(shingle_sets(docs, nodes, last, words), "sets")
+    whole = None
+    tested = last = written(compared(last, sets, sure, similarity), "tested")
+    roots, forests = components(tested.where("alike")), 8
+    while not last.where("NOT alike").isEmpty():
+        if whole is None:  # no link leads out of the components of the first forests, true or false
+            whole = nodes.select("node").join(components(tested), "node", "left")
+            whole = written(whole.select("node", F.coalesce("root", "node").alias("root")), "whole")
+        again = whole.join(last.where("NOT alike").select(F.col("u").alias("node")), "node", "left_semi").select("root").distinct()
+        left = nodes.select("fp", "node").join(whole.join(again, "root", "left_semi").select("node"), "node", "left_semi")
+        no = tested.where("NOT alike").groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("no"))
+        left = left.join(roots, "node", "left").join(no, "node", "left")
+        left = left.select("fp", "node", F.coalesce("root", "node").alias("part"), F.coalesce("no", F.array().cast("array<long>")).alias("no"))
+        last = pairs(links(written(left, "left"), tables, radius, ("fp", "node", "part", "no"), forests))
+        last = written(compared(last, sets, sure, similarity), "tested")
+        tested, forests = tested.unionByName(last), min(8 * forests, 64)
+        if not last.where("alike").isEmpty():
+            roots = components(tested.where("alike"))
+    return roots
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, edges: DataFrame, words: int) -> DataFrame:
+    """``node`` and ``shingles`` of all nodes in ``edges``.
 
     Only texts of such edges are dealt out: a bitmap of fixed size on the ids keeps most
-    others from it, the fingerprint tells apart rows that share an id. A node without any
-    id has no text to look up; its links count.
+    others from it, the node tells apart rows that share an id. Rows without an id are
+    all dealt out.
     """
-    far = edges.where(F.col("distance") > sure)
-    asked = far.select(F.col("u").alias("node")).unionByName(far.select(F.col("v").alias("node"))).distinct()
-    asked = written(nodes.join(asked, "node", "left_semi").where("first IS NOT NULL").select("node", "first"), "asked")
+    asked = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
+    asked = written(nodes.join(asked, "node", "left_semi").select("node", "first"), "asked")
     place = F.col("first").bitwiseAND(FILTER_BITS - 1)
-    parts = asked.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(0x7FFF).alias("bit"))
+    parts = asked.where("first IS NOT NULL").select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(0x7FFF).alias("bit"))
     bitmap = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
     for part, held in parts.groupBy("part").agg(F.bitmap_construct_agg("bit")).collect():
         bitmap[part] = np.frombuffer(held, np.uint8)
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap.ravel())
 
     def sets(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids, keys, found = [], [], []
+        keys, found = [], []
         for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
             at = None if doc is None else doc & (FILTER_BITS - 1)
-            if at is not None and bitmap.value[at >> 3] >> (at & 7) & 1:
-                own = shingles(text.as_py(), words)
-                ids.append(doc)
-                keys.append(node_of(fingerprint(own, CORPUS["bits"])))
-                found.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in own), np.uint64, len(own)).view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["first", "node", "shingles"])
-
-    looked_up = map_slices(docs.select("doc_id", "text"), sets, "first long, node long, shingles array<long>")
-    texts = looked_up.join(asked, ["first", "node"], "left_semi").dropDuplicates(["node"]).select("node", "shingles")
-    a, b = (texts.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
-    both = far.join(a, "u", "left").join(b, "v", "left")
+            if at is None or bitmap.value[at >> 3] >> (at & 7) & 1:
+                own = shingle_set(text.as_py(), words)
+                keys.append(node_of_set(own))
+                found.append(own.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    looked_up = map_slices(docs.select("doc_id", "text"), sets, "node long, shingles array<long>")
+    return looked_up.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def compared(edges: DataFrame, sets: DataFrame, sure: int, similarity: float) -> DataFrame:
+    """``u``, ``v`` and whether they are ``alike``."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
     shared = F.size(F.array_intersect("of_u", "of_v"))
-    alike = shared >= similarity * (F.size("of_u") + F.size("of_v") - shared)
-    return edges.where(F.col("distance") <= sure).unionByName(both.where(F.coalesce(alike, F.lit(True))).select("u", "v", "distance"))
+    alike = (F.col("distance") <= sure) | (shared >= similarity * (F.size("of_u") + F.size("of_v") - shared))
+    return edges.join(a, "u").join(b, "v").select("u", "v", alike.alias("alike"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -433,7 +541,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     group in which no row has an id, one row stays.
     """
     tables = spread_tables(CORPUS["bits"], *CORPUS_TABLES)
-    groups = written(near_groups(docs, tables=tables, **CORPUS), "groups")
+    groups = written(similar_groups(docs, tables=tables, **CORPUS), "groups")
     kept = groups.where(F.col("doc_id") == F.col("component_id"))
     per_id = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     keepers = written(per_id.select(F.col("doc_id").alias("__keep"), "n"), "keepers")
@@ -454,20 +562,20 @@ def _one_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
     data = F.struct(*(rows[c] for c in rows.columns))
     marked = rows.select(data.alias("__row"), F.sha2(F.coalesce(rows["text"], F.lit("")).cast("binary"), 256).alias("__sha"))
     by_text = rows.select("doc_id", "text").dropDuplicates(["doc_id", "text"])
-    shas = fingerprint_of_texts(by_text)
-    named = groups.select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-    rooted = shas.join(named, "__fp").select("__sha", "__root").distinct()
+    shas = nodes_of_texts(by_text)
+    named = groups.select(F.col("node").alias("__node"), F.col("root").alias("__root")).distinct()
+    rooted = shas.join(named, "__node").select("__sha", "__root").distinct()
     one = marked.join(rooted, "__sha").dropDuplicates(["__root"])
     return one.select("__row.*")
 
 
-def fingerprint_of_texts(rows: DataFrame) -> DataFrame:
-    """``__sha`` of the text and ``__fp``, its corpus fingerprint."""
+def nodes_of_texts(rows: DataFrame) -> DataFrame:
+    """``__sha`` of the text and ``__node``, that of its set of shingles."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in part.column(0).to_pylist()]
-        fps = [fingerprint(shingles(t, CORPUS["words"]), CORPUS["bits"]) for t in texts]
+        keys = [node_of_set(shingle_set(t, CORPUS["words"])) for t in texts]
         shas = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-        return pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(fps, pa.binary())], names=["__sha", "__fp"])
+        return pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(keys, pa.int64())], names=["__sha", "__node"])
 
-    return map_slices(rows.select("text"), run, "__sha string, __fp binary").distinct()
+    return map_slices(rows.select("text"), run, "__sha string, __node long").distinct()
