@@ -495,6 +495,16 @@ def test_a_false_link_hides_no_true_one(spark, monkeypatch):
     assert [r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()] == [0]
 
 
+def test_repeats_make_no_near_duplicates(spark):
+    """A passage repeated in two unrelated texts; without its repeats it is a small part of either."""
+    passage = " ".join(f"p{k}" for k in range(30)) + " "
+    rows = [(i, passage * 40 + " ".join(f"own{i}x{k}" for k in range(1250))) for i in range(6)]
+    rows += [(10 + i, passage * 4000 + f"end{i} " + " ".join(f"t{i}x{k}" for k in range(30))) for i in range(3)]
+    rows += [(20, rows[0][1] + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == [*range(6), 10, 11, 12]
+
+
 # --- pipeline
 
 

@@ -431,26 +431,25 @@ def _named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(lowest, "root")
 
 
-def similar_groups(docs: DataFrame, words: int, bits: int, tables: list[np.ndarray], radius: int, sure: int, similarity: float) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int, bits: int, tables: list[np.ndarray], radius: int, similarity: float) -> DataFrame:
     """``doc_id``, ``node``, ``root`` and ``component_id`` of groups in which every link is confirmed.
 
-    A node is a set of shingles. A link at a greater distance than ``sure`` counts only if
-    the two sets have at least that Jaccard ``similarity``.
+    A node is a set of shingles, its fingerprint is that of the distinct ones. A link counts
+    only if the two sets have at least that Jaccard ``similarity``.
     """
 
     def marks(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
-        fps = [fingerprint(shingles(t, words), bits) for t in part.column(1).to_pylist()]
-        keys = [node_of_set(x) for x in sets]
+        fps, keys = [_majority(x, bits) for x in sets], [node_of_set(x) for x in sets]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.int64())], names=["doc_id", "fp", "node"])
 
     marked = written(map_slices(docs.select("doc_id", "text"), marks, "doc_id long, fp binary, node long"), "simhash")
     nodes = written(marked.groupBy("node", "fp").agg(F.min("doc_id").alias("first")), "nodes")
-    named = _named(nodes, confirmed(docs, nodes, words, tables, radius, sure, similarity)).select("node", "root", "component_id")
+    named = _named(nodes, confirmed(docs, nodes, words, tables, radius, similarity)).select("node", "root", "component_id")
     return marked.join(named, "node").select("doc_id", "node", "root", "component_id")
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, words: int, tables: list[np.ndarray], radius: int, sure: int, similarity: float) -> DataFrame:
+def confirmed(docs: DataFrame, nodes: DataFrame, words: int, tables: list[np.ndarray], radius: int, similarity: float) -> DataFrame:
     """The components of all links of a bucket that are similar enough.
 
     A forest of nearest links is tested first. Where it held a false link, true ones may
@@ -458,11 +457,11 @@ def confirmed(docs: DataFrame, nodes: DataFrame, words: int, tables: list[np.nda
     that are joined as one part and without the pairs found false, for more forests each
     time, until a round finds nothing false.
     """
-    pairs = lambda found: written(found.where("u <> v").select("u", "v", "distance").distinct(), "links")
+    pairs = lambda found: written(found.where("u <> v").select("u", "v").distinct(), "links")
     last = pairs(links(nodes, tables, radius, ("fp", "node")))
     sets = written(shingle_sets(docs, nodes, last, words), "sets")
     whole = None
-    tested = last = written(compared(last, sets, sure, similarity), "tested")
+    tested = last = written(compared(last, sets, similarity), "tested")
     roots, forests = components(tested.where("alike")), 8
     while not last.where("NOT alike").isEmpty():
         if whole is None:  # no link leads out of the components of the first forests, true or false
@@ -474,7 +473,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, words: int, tables: list[np.nda
         left = left.join(roots, "node", "left").join(no, "node", "left")
         left = left.select("fp", "node", F.coalesce("root", "node").alias("part"), F.coalesce("no", F.array().cast("array<long>")).alias("no"))
         last = pairs(links(written(left, "left"), tables, radius, ("fp", "node", "part", "no"), forests))
-        last = written(compared(last, sets, sure, similarity), "tested")
+        last = written(compared(last, sets, similarity), "tested")
         tested, forests = tested.unionByName(last), min(8 * forests, 64)
         if not last.where("alike").isEmpty():
             roots = components(tested.where("alike"))
@@ -511,11 +510,11 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, edges: DataFrame, words: int
     return looked_up.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def compared(edges: DataFrame, sets: DataFrame, sure: int, similarity: float) -> DataFrame:
+def compared(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``u``, ``v`` and whether they are ``alike``."""
     a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
     shared = F.size(F.array_intersect("of_u", "of_v"))
-    alike = (F.col("distance") <= sure) | (shared >= similarity * (F.size("of_u") + F.size("of_v") - shared))
+    alike = shared >= similarity * (F.size("of_u") + F.size("of_v") - shared)
     return edges.join(a, "u").join(b, "v").select("u", "v", alike.alias("alike"))
 
 
@@ -529,8 +528,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 #: 0.8 (a cosine of 0.89) a bit differs with probability 0.152, so of 512 bits 78 do, with a
 #: standard deviation of 8: the radius is three deviations beyond. Two such fingerprints agree
 #: on the 16 bits of at least one of 48 tables with probability 0.97, at 0.85 with 0.996.
-#: Links beyond 54 bits, three deviations on this side, are confirmed on the texts' shingles.
-CORPUS = {"words": 5, "bits": 512, "radius": 102, "sure": 54, "similarity": 0.8}
+#: Every link is confirmed on the texts' distinct shingles, of which the fingerprint is made.
+CORPUS = {"words": 5, "bits": 512, "radius": 102, "similarity": 0.8}
 CORPUS_TABLES = (48, 16)
 
 
