@@ -271,6 +271,9 @@ ORACLE_SQL: dict[str, str] = {
     "store_put": f"""SELECT DISTINCT substr(sha256(text), 1, 12) AS hash, length(text) AS original_chars, len(string_split(text, {NL})) AS original_lines FROM {fx("logs_iso")} WHERE doc_id % 3 = 0
         AND sha256(text) NOT IN (SELECT sha256(text) FROM {fx("logs_iso")} WHERE doc_id % 2 = 0)""",
     "store_get": f"SELECT substr(sha256(text), 1, 12) AS hash, text AS original FROM {fx('logs_iso')} WHERE doc_id % 5 = 0 UNION ALL SELECT 'none' || range, NULL FROM range(3)",
+    "store_put_all": f"""SELECT DISTINCT substr(sha256(text), 1, 12) AS hash, length(text) AS original_chars, len(string_split(text, {NL})) AS original_lines, CASE WHEN sha256(text) < 'b' THEN 1 ELSE 2 END AS batch
+        FROM {fx("logs_iso")}""",
+    "store_get_all": f"SELECT substr(sha256(text), 1, 12) AS hash, text AS original FROM {fx('logs_iso')} UNION ALL SELECT 'none' || range, NULL FROM range(3)",
     "store_retention": f"SELECT hash FROM {STORED} ORDER BY doc_id DESC, hash LIMIT 50",
     "store_stats": f"SELECT count(*) AS entries, coalesce(sum(strlen(text) + strlen(compressed)), 0) AS total_bytes, 500 AS max_entries FROM {STORED}",
     "round_trip": f"SELECT kind, count(*) AS n, count(*) AS restored FROM ({EVERY_TEXT}) GROUP BY kind",

@@ -132,6 +132,21 @@ def store_get(spark, sf_dir):
     return store.lookup(keys.unionByName(spark.range(3).select(F.concat(F.lit("none"), F.col("id")).alias("hash"))), kept).select("hash", "original")
 
 
+def store_put_all(spark, sf_dir):
+    """Two batches by key that overlap and hold every text together: what the store has after both, and which put it."""
+    texts = fixture(spark, sf_dir, "logs_iso").withColumns({"compressed": F.lit(""), "content_type": F.lit("logs"), "compressed_at": F.lit(FIXED_TIME).cast("timestamp")})
+    key = content_key(F.col("text"))
+    first, second = store.entries(texts.where(key < "b")), store.entries(texts.where(key >= "5"))
+    held = first.withColumn("batch", F.lit(1)).unionByName(store.fresh(second, first).withColumn("batch", F.lit(2)))
+    return held.select("hash", "original_chars", "original_lines", "batch")
+
+
+def store_get_all(spark, sf_dir):
+    """The keys of all texts, and three that the store doesn't hold."""
+    keys = fixture(spark, sf_dir, "logs_iso").select(content_key(F.col("text")).alias("hash"))
+    return store.lookup(keys.unionByName(spark.range(3).select(F.concat(F.lit("none"), F.col("id")).alias("hash"))), stored(spark, sf_dir)).select("hash", "original")
+
+
 def resolve_calls(spark, sf_dir):
     kept = stored(spark, sf_dir)
     known = F.when(F.col("doc_id") % 3 == 0, content_key(F.col("text"))).otherwise(F.lit("unknown"))
@@ -235,6 +250,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline_all": pipeline_all,
     "store_put": store_put,
     "store_get": store_get,
+    "store_put_all": store_put_all,
+    "store_get_all": store_get_all,
     "store_retention": lambda s, d: store.retained(stored(s, d), Config(store_max_entries=50)).select("hash"),
     "store_stats": lambda s, d: store.stats(stored(s, d)),
     "round_trip": round_trip,
