@@ -146,6 +146,9 @@ ROW_DROP = f"""WITH o AS (SELECT o_custkey % 20 AS doc_id, '{{"id":' || o_orderk
 BODY = f"replace(replace(replace(text, {NL}, ' '), '\"', ' '), '\\', ' ')"
 OBJECTS = f"""SELECT doc_id, 'compact_object' AS mode, '{{"body":' || v || ',"id":' || doc_id || ',"meta":{{"lang":"' || lang || '","note":' || v || '}}}}' AS compressed
         FROM (SELECT *, '"[stored:' || substr(sha256({BODY}), 1, 12) || ']"' AS v FROM documents WHERE n_chars > 1600)"""
+#: All documents: a body of the limit or more is stored, a shorter one stays.
+OBJECTS_ALL = f"""SELECT doc_id, 'compact_object' AS mode, '{{"body":' || v || ',"id":' || doc_id || ',"meta":{{"lang":"' || lang || '","note":' || v || '}}}}' AS compressed
+        FROM (SELECT *, CASE WHEN length({BODY}) >= 1000 THEN '"[stored:' || substr(sha256({BODY}), 1, 12) || ']"' ELSE '"' || {BODY} || '"' END AS v FROM documents)"""
 
 DIFF = f"""(WITH a AS (SELECT *, regexp_matches(line, {q(diff.FILE)}) AS isf, regexp_matches(line, '^@@ -\\d+,?\\d* \\+\\d+,?\\d* @@') AS ish FROM {lines(fx("diff_git"))}),
         b AS (SELECT *, sum(isf::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS f FROM a),
@@ -261,6 +264,8 @@ ORACLE_SQL: dict[str, str] = {
     "json_ranges": RANGES,
     "json_large_strings": OBJECTS,
     "json_stored_strings": f"SELECT doc_id, {BODY} AS original, substr(sha256({BODY}), 1, 12) AS hash FROM documents, range(2) WHERE n_chars > 1600",
+    "json_large_strings_all": OBJECTS_ALL,
+    "json_stored_strings_all": f"SELECT doc_id, {BODY} AS original, substr(sha256({BODY}), 1, 12) AS hash FROM documents, range(2) WHERE length({BODY}) >= 1000",
     "diff_lines": f"SELECT doc_id, role, kept, count(*) AS n FROM {DIFF} GROUP BY ALL",
     "diff_stats": f"SELECT doc_id, least(max(f), 20) AS files_affected, count(*) FILTER (role = 'add') AS additions, count(*) FILTER (role = 'delete') AS deletions, count(*) FILTER (role = 'hunk' AND kept) AS hunks_kept FROM {DIFF} GROUP BY doc_id",
     "diff_reduce": _DIFF_TEXT,
@@ -310,6 +315,7 @@ ORACLE_SQL: dict[str, str] = {
     "latency_summary": "SELECT event_type AS kind, round(avg(floor(value)), 3) AS avg_ms, CAST(min(floor(value)) AS BIGINT) AS min_ms, CAST(max(floor(value)) AS BIGINT) AS max_ms, quantile_cont(floor(value), 0.5) AS p50_ms FROM events GROUP BY 1",
     "recent_list": "SELECT name, ts, seq FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY ts DESC, seq) AS r FROM (SELECT CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS name, ts, event_id AS seq FROM events)) WHERE r = 1 ORDER BY ts DESC, seq LIMIT 10",
     "field_fidelity": "SELECT count(*) AS id, count(*) AS meta, count(*) AS body, count(*) AS n FROM documents WHERE n_chars > 1600",
+    "field_fidelity_all": "SELECT count(*) AS id, count(*) AS meta, count(*) AS body, count(*) AS n FROM documents",
     "stream_text_reduce": f"SELECT doc_id, length(compressed) AS compressed_chars, CASE WHEN length(compressed) < length(text) THEN substr(sha256(text), 1, 12) END AS hash FROM ({prose(fx('text_blank'))})",
 }
 

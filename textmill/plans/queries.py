@@ -204,8 +204,8 @@ def recent_list(spark, sf_dir):
     return analytics.recent(events.select(name.alias("name"), "ts", F.col("event_id").alias("seq")))
 
 
-def field_fidelity(spark, sf_dir):
-    texts = fixture(spark, sf_dir, "json_object").select("text", json.canonical(F.col("text")).alias("restored"))
+def field_fidelity(spark, sf_dir, name="json_object"):
+    texts = fixture(spark, sf_dir, name).select("text", json.canonical(F.col("text")).alias("restored"))
     return analytics.field_fidelity(texts, ["id", "meta", "body"])
 
 
@@ -241,6 +241,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_ranges": _fx("json_mixed", lambda d: json.numeric_ranges(json.as_rows(d))),
     "json_large_strings": _fx("json_object", lambda d: json.reduce_json(d).select("doc_id", "mode", "compressed")),
     "json_stored_strings": _fx("json_object", lambda d: json.stored_strings(d)),
+    "json_large_strings_all": _fx("json_object_all", lambda d: json.reduce_json(d).select("doc_id", "mode", "compressed")),
+    "json_stored_strings_all": _fx("json_object_all", lambda d: json.stored_strings(d)),
     "diff_lines": _fx("diff_git", lambda d: diff.marked_lines(d).groupBy("doc_id", "role", "kept").agg(F.count(F.lit(1)).alias("n"))),
     "diff_stats": _fx("diff_git", diff.stats),
     "diff_reduce": _fx("diff_git", diff.reduce_diff),
@@ -282,5 +284,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latency_summary": latency_summary,
     "recent_list": recent_list,
     "field_fidelity": field_fidelity,
+    "field_fidelity_all": lambda spark, sf_dir: field_fidelity(spark, sf_dir, "json_object_all"),
     "stream_text_reduce": lambda s, d: stream_text_reduce(fixture(s, d, "text_blank")).select("doc_id", "compressed_chars", "hash"),
 }

@@ -87,6 +87,9 @@ FIXTURES = {
         SELECT doc_id, 'text' AS kind, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END AS text FROM documents WHERE n_chars > 3000""",
 }
 
+#: Every document, whatever its length.
+FIXTURES["json_object_all"] = FIXTURES["json_object"].replace(" WHERE n_chars > 1600", "")
+
 _TABLES = ["documents", "events", "orders", "lineitem", "part"]
 
 
