@@ -251,6 +251,15 @@ def test_secrets_are_added_and_redacted(spark):
     assert out[201]["text"] is None
 
 
+def test_long_secrets_are_candidates(spark):
+    rng = random.Random(6)
+    made = lambda n: "".join(rng.choices("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n))
+    rows = [(i, f'set token = "{made(60 if i < 40 else 100 * i)}" now') for i in range(60)] + [(60, "1a" * 500000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.redact(df, pii.fit(df)).collect()}
+    assert all(out[i] == 'set token = "<SECRET>" now' for i in range(60))
+
+
 def test_personal_data_runs_no_python(docs):
     plan = pii.find(docs, pii.fit(docs))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
