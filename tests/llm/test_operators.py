@@ -395,6 +395,19 @@ def test_html_edges(spark):
     assert html_text.extract([page], trees) == ["Title & more\nFirst long paragraph of text, which goes on for a while.\nSecond one, which goes on for a while too."]
 
 
+@pytest.mark.parametrize("tag", ["<svg class='i' />", "<math/>", "<video src='x'>", "<object data='x'>", "<iframe src='x'>", "<canvas>", "<audio>", "<select>", "<svg><path d='x'/></svg>"])
+def test_text_after_an_element_that_nothing_closes(tag):
+    texts = ["First long paragraph of text, which goes on for a while.", "Second one, which goes on for a while too, and then some more."]
+    runs = html_text.Page(f"<body><article><p>{texts[0]}</p>{tag}<p>{texts[1]}</p></article></body>").runs
+    assert [text for _, text in runs] == texts
+
+
+def test_formulas_are_text_and_scripts_run_on():
+    runs = html_text.Page("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><script>never <p>closed</p>").runs
+    assert [text for _, text in runs] == ["So x=1 holds."]
+    assert html_text.Page("<video>" * 20000 + "x").runs[0][1] == "x"
+
+
 def test_decoding_is_the_best_consistent_labelling():
     rng = np.random.default_rng(4)
     for _ in range(20):

@@ -11,8 +11,10 @@ The trees are trained here, on pages made by ``training_pages`` whose nodes carr
 labels by construction; their number is a parameter. Whole pages are scored.
 
 Defined results: a null, empty or text-less page has the empty text; markup that ends in
-the middle of a tag is text; unclosed elements close with their parents; repeated rows
-and null ids are kept each; an empty table gives no rows; other columns are ignored.
+the middle of a tag is text; unclosed elements close with their parents; what stands
+inside scripts, forms' lists, graphics, media and embedded objects isn't text, but only
+scripts, styles, titles and text areas run on to the end of the page if nothing closes
+them; formulas are text of the block around them; repeated rows and null ids are kept each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +36,14 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: The element kinds of HTML.
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "datalist"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "canvas", "audio", "video", "select", "datalist", "annotation", "annotation-xml"}
+#: Those of them that run to the end of the page if nothing closes them.
+_RUNS_ON = {"script", "style", "title", "textarea"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var button".split()
+    "time tt u var button math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts none mtable mtr mtd semantics".split()
 )
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "aside", "nav", "form"}
@@ -78,6 +83,7 @@ class Page:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements; an inline one has its block's node
         pending: list[str] = []
         links, at, size = 0, 0, len(source)
+        unclosed: set[str] = set()
 
         def flush() -> None:
             if pending:
@@ -131,9 +137,13 @@ class Page:
             node = stack[-1][1]
             if name in _RAW:
                 self.own[node][5] += name in ("textarea", "select")
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*+>", re.I).search(source, at)
-                at = end.end() if end else size
-                continue
+                if name == "svg" and attributes.rstrip().endswith("/"):
+                    continue
+                end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*+>", re.I).search(source, at)
+                if end or name in _RUNS_ON:
+                    at = end.end() if end else size
+                    continue
+                unclosed.add(name)
             if name in _VOID:
                 self.own[node][5] += name == "input"
                 self.own[node][4] += 1
