@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SF_DIR
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from textmill.llm import byte_bpe, features, fingerprints, html_text, packing, pii, quality_knn, quality_rules, simhash, token_counts, toxicity
@@ -491,7 +492,8 @@ def test_corpus_near_duplicates(spark, edges):
         copy = list(b)
         copy[rng.randrange(200)] = "changed"
         rows.append((100 + i, " ".join(copy)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS key")
+    names = "id same node fp key keys size part ask hub leaf row __keep __row first n count".split()
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *(f"{k} AS {c}" for k, c in enumerate(names)))
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash.drop_near_duplicates(edges).collect()) == sorted(
@@ -499,24 +501,90 @@ def test_corpus_near_duplicates(spark, edges):
     )
 
 
+def similar_roots(texts, similarity=0.8):
+    """Brute force: smallest position in each group of texts that links of exact similarity join."""
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holds = collections.defaultdict(list)
+    for i, own in enumerate(sets):
+        shared = collections.Counter(j for x in own for j in holds[x])
+        for j, n in shared.items():
+            if n >= similarity * (len(own) + len(sets[j]) - n) - 1e-9:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+        for x in own:
+            holds[x].append(i)
+    empty = [i for i, own in enumerate(sets) if not own]
+    return [empty[0] if i in empty else find(i) for i in range(len(sets))]
+
+
+def edits(rng, base, n, changes, places):
+    made = []
+    for i in range(n):
+        edit = list(base)
+        for k in rng.sample(places, changes):
+            edit[k] = f"new{i}x{k}"
+        made.append(" ".join(edit))
+    return made
+
+
+def one_bucket(monkeypatch):
+    marks = simhash.corpus_marks
+    monkeypatch.setattr(simhash, "corpus_marks", lambda *a: marks(*a).withColumn("keys", F.array(F.lit(0).cast("long"))))
+
+
 def test_a_false_link_hides_no_true_one(spark, monkeypatch):
     """Many edits of one text: some lie nearer to each other than to the text they are like."""
-    monkeypatch.setattr(simhash, "spread_tables", lambda *_: [np.empty(0, np.int64)])
+    one_bucket(monkeypatch)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(404)]
-    rows = [(0, " ".join(base))]
-    for i in range(1, 121):
-        edit = list(base)
-        for k in rng.sample(range(5, 399, 5), 7):
-            edit[k] = f"new{i}x{k}"
-        rows.append((i, " ".join(edit)))
-    sets = [set(simhash.shingles(t, 5)) for _, t in rows]
+    texts = [" ".join(base), *edits(rng, base, 120, 7, range(5, 399, 5))]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
     assert all(len(sets[0] & x) / len(sets[0] | x) > 0.8 for x in sets[1:])
     assert sum(len(a & b) / len(a | b) < 0.8 for a, b in itertools.combinations(sets[1:], 2)) > 6000
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()] == [0]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_buckets_lose_no_link(spark, monkeypatch, seed):
+    """All texts in one bucket that is dealt out as many blocks: chains, stars and loose texts."""
+    one_bucket(monkeypatch)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(seed)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(200)]
+        texts += [" ".join(base), *edits(rng, base, 25, 3, range(5, 195, 5))]
+    chain = [f"c{i}" for i in range(200)]
+    for i in range(30):  # each is like the one before, not like the first
+        chain[6 * i % 190] = f"step{i}"
+        texts.append(" ".join(chain))
+    texts += [" ".join(f"own{i}x{k}" for k in range(60)) for i in range(20)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == sorted(set(similar_roots(texts)))
+
+
+def test_recall_against_exact_similarity(spark):
+    """Pairs at every similarity from 0.8 up share a group, and none below is joined but by others."""
+    rows = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    texts = [r["text"] for r in rows]
+    rng = random.Random(4)
+    for i in range(150):  # about 0.80 to 0.95
+        base = [f"t{i}w{k}" for k in range(300)]
+        texts += [" ".join(base), *edits(rng, base, 2, 1 + i % 6, range(5, 295, 6))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected, kept = set(similar_roots(texts)), {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+    dropped = len(texts) - len(expected)
+    assert expected <= kept and len(kept - expected) <= 0.02 * dropped
+
+
 def test_repeats_make_no_near_duplicates(spark):
     """A passage repeated in two unrelated texts; without its repeats it is a small part of either."""
     passage = " ".join(f"p{k}" for k in range(30)) + " "

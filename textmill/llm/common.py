@@ -36,32 +36,52 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
+def written(df: DataFrame, what: str, paths: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors lose nothing.
+
+    The table's path is appended to ``paths``, so that its maker can remove it.
+    """
     spark = df.sparkSession
     out = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(out)
     _WRITTEN.append(out)
+    if paths is not None:
+        paths.append(out)
     return spark.read.schema(df.schema).parquet(out)
 
 
-#: Tables that this session has written and not yet removed, in order.
+#: Tables that this process has written and not yet removed.
 _WRITTEN: list[str] = []
 
 
-def last_written() -> str:
-    return _WRITTEN[-1]
-
-
 def remove_written(spark: SparkSession, *paths: str) -> None:
-    """Remove tables of :func:`written`, all of this session's if none is named.
+    """Remove tables of :func:`written`, all that are left if none is named.
 
-    Results are lazy and read them, so call it once results have been written or counted.
+    Results are lazy and read them, so call it without paths once results have been
+    written or counted.
     """
     for path in paths or tuple(_WRITTEN):
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        _WRITTEN.remove(path)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
+#: A key is hot if it holds more than one in so many of all rows; so at most that many are.
+HOT = 4096
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, no task taking more than a small share of ``left``.
+
+    ``right`` holds each key once, with ``n``, its number of rows in ``left``, which has
+    ``total`` rows. Hot keys are at most ``HOT``, so their rows of ``right`` are broadcast;
+    the rest is shuffled, and none of it is hot.
+    """
+    least = total // HOT
+    hot = right.where(F.col("n") > least).drop("n")
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col("n") <= least).drop("n"), key)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_at: str) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,8 @@
 5. Components of the links come from rounds of smallest-neighbour stars, each written to
    the shared folder; nothing is collected.
 
+``drop_near_duplicates`` (further below) is the same for a corpus at a Jaccard similarity.
+
 Defined results: a null or empty text, or one without words, has the fingerprint zero
 and is linked like any other; rows with equal ids or texts are kept each; a null id
 takes part, but names a component only if all ids in it are null; an empty table gives
@@ -23,17 +25,17 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import last_written, map_slices, remove_written, written
+from .common import HOT, join_hot, map_slices, remove_written, written
 
 #: Nodes of one block of a bucket.
 BLOCK = 4096
@@ -41,44 +43,54 @@ BLOCK = 4096
 FILTER_BITS = 1 << 25
 #: Shingles counted at once: their bits fit 8-bit counters.
 _AT_ONCE = 255
+#: Bytes of a text that are cut into words at once.
+_CHUNK = 1 << 16
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def shingles(text: str | None, words: int) -> Iterator[bytes]:
+    """The text's shingles in order; a long text is cut into words a chunk at a time."""
+    raw, held, at, short = (text or "").encode().lower(), [], 0, True
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + _CHUNK)
+        end = cut.start() if cut else len(raw)
+        tokens = held + raw[at:end].split()
+        if len(tokens) >= words:
+            short = False
+            yield from map(b" ".join, zip(*(tokens[k:] for k in range(words))))
+            held = tokens[len(tokens) - words + 1 :]
+        else:
+            held = tokens
+        at = end
+    if short and held:
+        yield b" ".join(held)
 
 
-def shingles(text: str | None, words: int) -> list[bytes]:
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return []
-    if len(tokens) <= words:
-        return [b" ".join(tokens)]
-    return list(map(b" ".join, zip(*(tokens[k:] for k in range(words)))))
-
-
-def fingerprint(parts: list[bytes], bits: int, seed: int = 42) -> bytes:
-    """Fingerprint, highest bit first."""
-    return _majority(np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, len(parts)), bits)
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in shingles(text, words)), np.uint64)
 
 
 def _majority(first: np.ndarray, bits: int) -> bytes:
-    """Fingerprint of hashes; those beyond 64 bits are mixed from the first with odd constants."""
+    """Fingerprint of hashes, highest bit first; those beyond 64 bits are mixed from the first with odd constants."""
     if not len(first):
         return bytes(bits // 8)
-    lanes = np.empty((len(first), bits // 64), np.uint64)
-    lanes[:, 0] = first
-    for k in range(1, bits // 64):
-        h = first * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * k & 0xFFFFFFFFFFFFFFFF | 1)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        lanes[:, k] = h ^ (h >> np.uint64(32))
-    raw = lanes.view(np.uint8)
     counts = np.zeros(bits, np.int64)
     for k in range(0, len(first), _AT_ONCE):
-        counts += np.unpackbits(raw[k : k + _AT_ONCE], axis=1, bitorder="little").sum(0, dtype=np.uint8)
+        some = first[k : k + _AT_ONCE]
+        lanes = np.empty((len(some), bits // 64), np.uint64)
+        lanes[:, 0] = some
+        for lane in range(1, bits // 64):
+            h = some * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * lane & 0xFFFFFFFFFFFFFFFF | 1)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            lanes[:, lane] = h ^ (h >> np.uint64(32))
+        counts += np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
     return np.packbits(counts * 2 > len(first), bitorder="little").tobytes()[::-1]
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Hashes of a text's distinct shingles, in order."""
-    parts = shingles(text, words)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts)))
+    return np.unique(shingle_hashes(text, words))
 
 
 def node_of_set(own: np.ndarray) -> int:
@@ -93,7 +105,7 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64) -> DataFrame:
     """``doc_id`` and ``fp`` (binary, highest bit first) of every text."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [fingerprint(shingles(t, words), bits) for t in part.column(1).to_pylist()]
+        fps = [_majority(shingle_hashes(t, words), bits) for t in part.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
 
     return map_slices(docs.select("doc_id", "text"), run, "doc_id long, fp binary")
@@ -105,17 +117,6 @@ def all_choices(bits: int, blocks: int, agree: int) -> list[np.ndarray]:
     return [np.concatenate([np.arange(b * size, (b + 1) * size) for b in chosen]) for chosen in combinations(range(blocks), agree)]
 
 
-def spread_tables(bits: int, tables: int, key_bits: int) -> list[np.ndarray]:
-    """Tables on pseudo-random bits, each bit in as many tables as any other."""
-    rng, pool, out = np.random.default_rng(7), np.empty(0, np.int64), []
-    for _ in range(tables):
-        if len(pool) < key_bits:
-            pool = rng.permutation(bits)
-        out.append(np.sort(pool[:key_bits]))
-        pool = pool[key_bits:]
-    return out
-
-
 def _keys(fps: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     """Bucket of every fingerprint in every table: shape (rows, tables)."""
     bit = np.unpackbits(fps, axis=1, bitorder="little").astype(np.int64)
@@ -164,12 +165,12 @@ def _planes(bit: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bit.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def _pairs(mask: np.ndarray, base: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Row and lane numbers of the set bits; ``base`` is the first lane of each word."""
+def _pairs(mask: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and lane numbers of the set bits, in order; ``base`` is the first lane of each word."""
     r, w = np.nonzero(mask)
     lanes = np.unpackbits(mask[r, w].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     k, lane = np.nonzero(lanes)
-    return r[k] + first, base[r[k], w[k]] + lane
+    return r[k], base[r[k], w[k]] + lane
 
 
 def _components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -208,48 +209,18 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
         label = _components(n, a[chosen], b[chosen], label)
 
 
-def _forests(a: np.ndarray, b: np.ndarray, d: np.ndarray, count: int) -> np.ndarray:
-    """Places of the pairs that ``count`` forests take, each of what the ones before have left."""
-    rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = place[: len(a)], place[len(a) :]
-    left, out = np.arange(len(a)), [np.empty(0, np.int64)]
-    for _ in range(count):
-        took = _forest(len(rows), x[left], y[left], d[left])
-        out.append(left[took])
-        left = np.delete(left, took)
-        if not len(left):
-            break
-    return np.concatenate(out)
-
-
-def linked(
-    fps: np.ndarray, runs: np.ndarray, radius: int, part: np.ndarray | None = None, known: Callable | None = None, forests: int = 1
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nearest links, as forests, of fingerprints (rows of bytes) that stand in runs of equal bucket: rows, rows, distances.
+def compared(fps: np.ndarray, runs: np.ndarray, radius: int, asks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bit-sliced comparison of fingerprints (rows of bytes) that stand in runs of equal bucket.
 
-    Rows of one ``part`` are joined already; pairs of which ``known`` is true are left out.
     ``runs`` holds the start of each run and the end of the last. Short runs share words
-    of 64 lanes; a longer run is compared with all of its words, a slice of rows at a time.
+    of 64 lanes; of a longer run each row that ``asks`` (all do by default) is compared
+    with all of its words, a slice of rows at a time. Gives asking rows, a mask of the lanes
+    within the radius (rows x words), the first lane of each word, and the lanes' rows
+    (what stands in a lane without a row is never set).
     """
-    n, bits = len(fps), fps.shape[1] * 8
-    sizes = np.diff(runs)
+    bits, sizes = fps.shape[1] * 8, np.diff(runs)
     bit = np.unpackbits(fps, axis=1, bitorder="little")
-    wide_words = np.ascontiguousarray(fps).view(np.uint64)
     zero, ones = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
-    part = np.arange(n) if part is None else part
-    found: list[tuple] = []
-
-    def keep(a: np.ndarray, b: np.ndarray) -> None:
-        other = (a < b) & (part[a] != part[b])
-        a, b = a[other], b[other]
-        if known is not None and len(a):
-            new = ~known(a, b)
-            a, b = a[new], b[new]
-        if len(a):
-            d = np.bitwise_count(wide_words[a] ^ wide_words[b]).sum(1, dtype=np.int64)
-            took = _forests(part[a], part[b], d, forests)
-            found.append((a[took], b[took], d[took]))
-
     short = np.flatnonzero((sizes > 1) & (sizes <= 64))
     place, used = np.empty(len(short), np.int64), 0
     for k, size in enumerate(sizes[short].tolist()):  # a run never straddles two words
@@ -259,18 +230,17 @@ def linked(
     if len(short):
         rows = np.concatenate([np.arange(s, e) for s, e in zip(runs[short], runs[short + 1])])
         slot = np.concatenate([np.arange(p, p + s) for p, s in zip(place, sizes[short])])
-        owner = np.full(-(-used // 64) * 64, -1)
-        owner[slot] = rows
+        owner, run = np.full(-(-used // 64) * 64, -1), np.full(-(-used // 64) * 64, -1)
+        owner[slot], run[slot] = rows, np.repeat(short, sizes[short])
         for k in range(0, len(owner), 64 * 256):
-            own = owner[k : k + 64 * 256]
+            own, at = owner[k : k + 64 * 256], run[k : k + 64 * 256]
             here = bit[np.maximum(own, 0)]
             planes = _planes(here)
             mask = within(lambda b: np.repeat(planes[b], 64) ^ np.where(here[:, b], ones, zero), (len(own),), bits, radius)
-            real = np.packbits(own >= 0, bitorder="little").view(np.uint64)
-            mask &= np.repeat(real, 64)
-            mask[own < 0] = zero
-            r, lane = _pairs(mask[:, None], (np.arange(len(own)) // 64 * 64)[:, None])
-            keep(own[r], own[lane])
+            same = at.reshape(-1, 1, 64) == at.reshape(-1, 64, 1)  # lanes of other runs share the word
+            mask &= np.packbits(same & (own >= 0).reshape(-1, 1, 64), axis=2, bitorder="little").view(np.uint64).ravel()
+            held = np.flatnonzero(own >= 0)
+            yield own[held], mask[held, None], (held // 64 * 64)[:, None], own
     for k in np.flatnonzero(sizes > 64):
         start, end = runs[k], runs[k + 1]
         m = end - start
@@ -278,17 +248,33 @@ def linked(
         wide[:m] = bit[start:end]
         planes = _planes(wide)
         valid = np.packbits(np.arange(len(wide)) < m, bitorder="little").view(np.uint64)
-        for q in range(0, m, 128):
-            asks = bit[start + q : min(start + q + 128, end)]
-            mask = within(lambda b: planes[b][None, :] ^ np.where(asks[:, b], ones, zero)[:, None], (len(asks), len(valid)), bits, radius)
-            mask &= valid[None, :]
-            r, lane = _pairs(mask, np.broadcast_to(np.arange(len(valid)) * 64, mask.shape), q)
-            keep(start + r, start + lane)
-    if not found:
-        return (np.empty(0, np.int64),) * 3
+        asking = np.arange(start, end) if asks is None else start + np.flatnonzero(asks[start:end])
+        for q in range(0, len(asking), 128):
+            some = asking[q : q + 128]
+            here = bit[some]
+            mask = within(lambda b: planes[b][None, :] ^ np.where(here[:, b], ones, zero)[:, None], (len(some), len(valid)), bits, radius)
+            yield some, mask & valid[None, :], np.broadcast_to(np.arange(len(valid)) * 64, mask.shape), np.arange(start, start + len(wide))
+
+
+def linked(fps: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest links, as a forest, of fingerprints in runs of equal bucket: rows, rows."""
+    wide_words = np.ascontiguousarray(fps).view(np.uint64)
+    found = [(np.empty(0, np.int64),) * 3]
+    for rows, mask, base, owner in compared(fps, runs, radius):
+        r, lane = _pairs(mask, base)
+        a, b = rows[r], owner[lane]
+        a, b = a[a < b], b[a < b]
+        d = np.bitwise_count(wide_words[a] ^ wide_words[b]).sum(1, dtype=np.int64)
+        took = _local_forest(a, b, d)
+        found.append((a[took], b[took], d[took]))
     a, b, d = (np.concatenate(column) for column in zip(*found))
-    took = _forests(part[a], part[b], d, forests)
-    return a[took], b[took], d[took]
+    took = _local_forest(a, b, d)
+    return a[took], b[took]
+
+
+def _local_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return _forest(len(rows), place[: len(a)], place[len(a) :], d)
 
 
 def node_of(fp: bytes) -> int:
@@ -296,21 +282,10 @@ def node_of(fp: bytes) -> int:
     return _signed(int.from_bytes(fp, "big") if len(fp) == 8 else xxhash.xxh64_intdigest(fp, 42))
 
 
-#: What a row of the shuffle may carry besides its bucket.
-_CARRIED = {"fp": "binary", "node": "long", "part": "long", "no": "array<long>"}
+def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
+    """The links between nodes, of each bucket a forest of nearest ones: ``u`` and ``v``, the smaller.
 
-
-def links(nodes: DataFrame, tables: list[np.ndarray], radius: int, carried: tuple[str, ...] = ("fp",), forests: int = 1) -> DataFrame:
-    """The links between nodes, of each bucket ``forests`` forests of nearest ones: ``u``, ``v``, ``distance``.
-
-    The nearest link between any two parts of a component is always among them.
-
-    A row of the shuffle is a bucket and what is ``carried``: the fingerprint (``fp``); its
-    ``node`` where that isn't the fingerprint's own; the ``part`` of nodes that are joined
-    already; the smaller nodes that it has ``no`` link to. A bucket above
-    ``BLOCK`` is dealt out as pairs of blocks, each a bucket of its own whose number is
-    hashed: should two meet in one number, they are compared together, which adds no link
-    that isn't one.
+    A row of the shuffle is a bucket and the fingerprint.
     """
 
     def key_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,28 +294,54 @@ def links(nodes: DataFrame, tables: list[np.ndarray], radius: int, carried: tupl
                 rows = part.slice(k, 1024)
                 fps = np.stack([np.frombuffer(x, np.uint8) for x in rows.column(0).to_pylist()])
                 at = pa.array(np.repeat(np.arange(len(fps)), len(tables)))
-                held = [rows.column(k).take(at) for k in range(rows.num_columns)]
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(fps, tables).ravel()), *held], names=["key", *rows.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(fps, tables).ravel()), rows.column(0).take(at)], names=["key", "fp"])
 
     def keys_only(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in key_of(batches):
             yield part.select(["key"])
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        raw = rows.column("fp").to_pylist()
+        a, b = linked(_stacked(raw), _runs(rows.column("key").to_numpy()), radius)
+        node = {k: node_of(raw[k]) for k in {*a.tolist(), *b.tolist()}}
+        pairs = {(max(node[x], node[y]), min(node[x], node[y])) for x, y in zip(a.tolist(), b.tolist())}
+        u, v = zip(*pairs) if pairs else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    keyed = nodes.select("fp").mapInArrow(key_of, "key long, fp binary")
+    large = large_buckets(nodes.select("fp").mapInArrow(keys_only, "key long"))
+    if not large.isEmpty():
+        rows = with_blocks(keyed, large, nodes.count() * len(tables))
+        many = rows.where("blocks IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+        many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        many = many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+        keyed = rows.where("blocks IS NULL").select("key", "fp").unionByName(many)
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(by_bucket(compare), "u long, v long")
+
+
+def large_buckets(keys: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """``key``, ``blocks`` and rows ``n`` of buckets above ``BLOCK``: each is dealt out as blocks, in buckets of their own.
+
+    Those numbers are hashed: should two meet in one number, they are compared together,
+    which adds no link that isn't one.
+    """
+    counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return written(counted.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"), "n"), "buckets", paths)
+
+
+def with_blocks(rows: DataFrame, large: DataFrame, total: int) -> DataFrame:
+    """``rows`` with the ``blocks`` of their bucket, null in a small one; hot buckets as in ``join_hot``."""
+    least = total // HOT
+    hot = F.broadcast(large.where(F.col("n") > least).select("key", "blocks"))
+    rest = rows.join(hot.select("key"), "key", "left_anti").join(large.where(F.col("n") <= least).select("key", "blocks"), "key", "left")
+    return rows.join(hot, "key").unionByName(rest)
 
-        def done(rows: pa.Table) -> pa.RecordBatch:
-            key, raw = rows.column("key").to_numpy(), rows.column("fp").to_pylist()
-            fps = np.frombuffer(b"".join(raw), np.uint8).reshape(len(key), -1)
-            runs = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            own = rows.column("node").to_numpy() if "node" in carried else None
-            part = np.unique(rows.column("part").to_numpy(), return_inverse=True)[1] if "part" in carried else None
-            a, b, d = linked(fps, runs, radius, part, _known(own, rows.column("no")) if "no" in carried else None, forests)
-            node = {k: node_of(raw[k]) if own is None else int(own[k]) for k in {*a.tolist(), *b.tolist()}}
-            rows = {(max(node[x], node[y]), min(node[x], node[y]), z) for x, y, z in zip(a.tolist(), b.tolist(), d.tolist())}
-            u, v, far = zip(*rows) if rows else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(far, pa.int32())], names=["u", "v", "distance"])
 
+def by_bucket(run: Callable[[pa.Table], pa.RecordBatch]):
+    """``run`` on tables of whole buckets, given batches in order of ``key``."""
+
+    def buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         size = 0
         for part in batches:
             held.append(part)
@@ -352,47 +353,35 @@ def links(nodes: DataFrame, tables: list[np.ndarray], radius: int, carried: tupl
             change = np.flatnonzero(key[1:] != key[:-1])
             if len(change):  # the last bucket may go on in the next batch
                 cut = int(change[-1]) + 1
-                yield done(rows.slice(0, cut))
+                yield run(rows.slice(0, cut))
                 held = rows.slice(cut).to_batches()
                 size = rows.num_rows - cut
         if held:
-            yield done(pa.Table.from_batches(held))
+            yield run(pa.Table.from_batches(held))
+
+    return buckets
 
-    counted = nodes.select("fp").mapInArrow(keys_only, "key long").groupBy("key").count()
-    large = written(counted.where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "buckets")
-    keyed = nodes.select(*carried).mapInArrow(key_of, ", ".join(["key long", *(f"{c} {_CARRIED[c]}" for c in carried)]))
-    if not large.isEmpty():
-        many = keyed.join(large, "key").withColumn("own", F.pmod(F.xxhash64("node" if "node" in carried else "fp"), F.col("blocks")).cast("int"))
-        many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-        many = many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *carried)
-        keyed = keyed.join(large, "key", "left_anti").unionByName(many)
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long, distance int")
 
+def _runs(key: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
 
-def _known(node: np.ndarray, no: pa.ChunkedArray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Whether the nodes of two rows are a pair of a node and one of its ``no``."""
-    names, rank = np.unique(node, return_inverse=True)
-    lists = no.combine_chunks()
-    asks = np.repeat(rank, np.diff(lists.offsets.to_numpy()))
-    other = lists.flatten().to_numpy()
-    place = np.searchsorted(names, other).clip(0, len(names) - 1)
-    here = names[place] == other
-    pairs = np.unique(asks[here] * len(names) + place[here])
-    return lambda a, b: np.isin(np.maximum(rank[a], rank[b]) * len(names) + np.minimum(rank[a], rank[b]), pairs)
+
+def _stacked(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (its component's smallest node) of all nodes in ``edges`` (``u`` > ``v``).
+    """``node`` and ``root`` (its component's smallest node) of all nodes in ``edges`` (``u``, ``v``).
 
     Each round gives every node's neighbours to the smallest of them, first the larger
-    neighbours, then the others, until nothing changes. A star's centre is one row on
-    one side of a join, so Spark can split its many leaves between tasks.
+    neighbours, then the others, until nothing changes. A star's centre is one row, sent
+    to all tasks that hold some of its many leaves.
     """
 
-    def star(of: DataFrame, both: bool) -> DataFrame:
+    def star(of: DataFrame, both: bool, total: int) -> DataFrame:
         near = of.unionByName(of.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else of
-        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = near.join(low, "u")
+        low = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        joined = join_hot(near, low, "u", 2 * total)
         if both:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -402,13 +391,15 @@ def components(edges: DataFrame) -> DataFrame:
     def state(of: DataFrame) -> tuple:
         return tuple(of.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now, old = written(edges.select("u", "v").distinct(), "edges"), last_written()
+    old: list[str] = []
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges", old)
     seen = state(now)
     while seen[0]:
-        now = written(star(star(now, True), False), "edges")
+        fresh: list[str] = []
+        now = written(star(star(now, True, seen[0]), False, seen[0]), "edges", fresh)
         after = state(now)
-        remove_written(edges.sparkSession, old)
-        old = last_written()
+        remove_written(edges.sparkSession, *old)
+        old = fresh
         if after == seen:
             break
         seen = after
@@ -418,163 +409,316 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, words: int, bits: int, tables: list[np.ndarray], radius: int) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``: the smallest id that links lead to, its own included."""
     marked = written(fingerprints(docs, words, bits), "simhash")
+    total = marked.count()
     node = F.xxhash64("fp") if bits > 64 else F.conv(F.hex("fp"), 16, -10).cast("long")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", node), "nodes")
-    named = _named(nodes, components(links(nodes, tables, radius))).select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", node)
+    nodes = written(nodes, "nodes")
+    rooted = nodes.join(components(links(nodes, tables, radius)), "node", "left")
+    rooted = written(rooted.select("fp", "first", F.col("n").alias("copies"), F.coalesce("root", "node").alias("root")), "rooted")
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = written(join_hot(rooted, lowest, "root", total).select("fp", "component_id", F.col("copies").alias("n")), "named")
+    return join_hot(marked, named, "fp", total).select("doc_id", "fp", "component_id")
+
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """The contract's groups: 64 bits over three words, links at two or fewer differing bits."""
+    groups = near_groups(docs, words=3, bits=64, tables=all_choices(64, 4, 2), radius=2)
+    return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+#: Corpus de-duplication: five words, similarity of 0.8 or more. At a Jaccard similarity of
+#: 0.8 (a cosine of 0.89) a bit differs with probability 0.152, so of 512 bits 78 do, with a
+#: standard deviation of 8: the radius is three deviations beyond.
+CORPUS = {"words": 5, "bits": 512, "radius": 102, "similarity": 0.8}
+#: Tables, and the least hashes that key a bucket. Single bits of a fingerprint tell too
+#: little to key buckets of a large corpus (16 of them make 65,536 buckets, whatever the
+#: rows), so here a table's key is the least shingle hash in each of four orders: two texts
+#: of similarity s meet in it with probability s^4, in one of 16 tables with 0.9998 at 0.8.
+#: The key has 64 bits, so texts meet by what they share, not by chance.
+CORPUS_TABLES = (16, 4)
+#: Groups into which the links of one hub are dealt, so that no task holds all of them.
+DEALT = 4096
+_ORDERS = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def least_keys(own: np.ndarray, tables: int, size: int) -> np.ndarray:
+    """Bucket keys of a set of shingle hashes, one for each table."""
+    if not len(own):
+        return np.empty(0, np.int64)
+    odd, least = _ORDERS[: tables * size, None], None
+    for k in range(0, len(own), 4096):
+        some = (own[None, k : k + 4096] * odd).min(1)
+        least = some if least is None else np.minimum(least, some)
+    mixed = np.arange(1, tables + 1, dtype=np.uint64)
+    for order in least.reshape(tables, size).T:
+        mixed = (mixed ^ order) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed.view(np.int64)
+
+
+def corpus_marks(docs: DataFrame, words: int, bits: int, tables: tuple[int, int]) -> DataFrame:
+    """``id`` and ``same`` (its hash) of every row, its ``node`` (its set of shingles), ``fp``, ``size`` of the set, and bucket ``keys``."""
 
-def _named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``nodes`` with ``root`` and ``component_id``."""
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(lowest, "root")
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, words) for t in part.column(2).to_pylist()]
+        columns = [
+            pa.array([node_of_set(x) for x in sets], pa.int64()), pa.array([_majority(x, bits) for x in sets], pa.binary()),
+            pa.array([len(x) for x in sets], pa.int64()), pa.array([least_keys(x, *tables) for x in sets], pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["id", "same", "node", "fp", "size", "keys"])
+
+    rows = docs.select(docs["doc_id"].alias("id"), row_hash(docs).alias("same"), docs["text"].alias("text"))
+    return map_slices(rows, run, "id long, same long, node long, fp binary, size long, keys array<long>")
 
 
-def similar_groups(docs: DataFrame, words: int, bits: int, tables: list[np.ndarray], radius: int, similarity: float) -> DataFrame:
-    """``doc_id``, ``node``, ``root`` and ``component_id`` of groups in which every link is confirmed.
+def _compare_by(radius: int, similarity: float, best: bool):
+    """Compares buckets of rows ``key, node, part, size, ask, fp``: ``hub``, ``leaf``, their parts, ``rank``.
 
-    A node is a set of shingles, its fingerprint is that of the distinct ones. A link counts
-    only if the two sets have at least that Jaccard ``similarity``.
+    Nodes whose parts differ and whose sizes allow the similarity are linked if they are
+    within the radius. ``ask`` is 1 for rows that are only compared with others, 0 for
+    those that others are only compared with, 2 for both. With ``best`` a node is linked
+    only to that of its neighbours that has most neighbours (``rank``); the rest of the
+    nodes of a dealt bucket (``ask`` 3, as 2) come out without a hub.
     """
 
-    def marks(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
-        fps, keys = [_majority(x, bits) for x in sets], [node_of_set(x) for x in sets]
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.int64())], names=["doc_id", "fp", "node"])
+    def run(rows: pa.Table) -> pa.RecordBatch:
+        key, node, part, size, ask = (rows.column(c).to_numpy() for c in ("key", "node", "part", "size", "ask"))
+        runs, fps = _runs(key), _stacked(rows.column("fp").to_pylist())
+        low, high = size * similarity, size / similarity
+
+        def pairs(asking, mask, base, owner) -> tuple[np.ndarray, np.ndarray]:
+            r, lane = _pairs(mask, base)
+            a, b = asking[r], owner[lane]
+            ok = (part[a] != part[b]) & (ask[a] > 0) & (ask[b] != 1) & (size[b] >= low[a] - 1e-9) & (size[b] <= high[a] + 1e-9)
+            return a[ok], b[ok]
+
+        none = np.empty(0, np.int64)
+        if not best:
+            found = [(none, none)]
+            for block in compared(fps, _mixed(runs, part), radius, ask > 0):
+                a, b = pairs(*block)
+                once = (ask[a] == 1) | (a < b)
+                found.append((a[once], b[once]))
+            a, b = (np.concatenate(c) for c in zip(*found))
+            hub, rank = pa.array(node[a], pa.int64()), np.zeros(len(a), np.int64)
+        else:
+            blocks = list(compared(fps, runs, radius))
+            degree = np.zeros(len(node), np.int64)
+            for asking, mask, _, _ in blocks:
+                degree[asking] += np.bitwise_count(mask).sum(1, dtype=np.int64)
+            order = np.lexsort((node, -degree))
+            place = np.empty(len(node), np.int64)
+            place[order] = np.arange(len(node))
+            nearest = place.copy()
+            for block in blocks:
+                a, b = pairs(*block)
+                np.minimum.at(nearest, a, place[b])
+            b = np.flatnonzero((nearest < place) | (ask == 3))
+            a = order[nearest[b]]
+            hub, rank = pa.array(node[a], pa.int64(), mask=a == b), degree[a]
+        columns = [hub, *(pa.array(x, pa.int64()) for x in (node[b], part[a], part[b], rank))]
+        return pa.RecordBatch.from_arrays(columns, names=["hub", "leaf", "hub_part", "leaf_part", "rank"])
+
+    return by_bucket(run)
+
+
+def _mixed(runs: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """``runs`` with those of one part only cut into single rows, which are not compared."""
+    starts, sizes = runs[:-1], np.diff(runs)
+    if not len(part):
+        return runs
+    one = np.minimum.reduceat(part, starts) == np.maximum.reduceat(part, starts)
+    return np.unique(np.concatenate([runs, np.flatnonzero(np.repeat(one, sizes))]))
+
+
+_LINK = "hub long, leaf long, hub_part long, leaf_part long, rank long"
+
 
-    marked = written(map_slices(docs.select("doc_id", "text"), marks, "doc_id long, fp binary, node long"), "simhash")
-    nodes = written(marked.groupBy("node", "fp").agg(F.min("doc_id").alias("first")), "nodes")
-    named = _named(nodes, confirmed(docs, nodes, words, tables, radius, similarity)).select("node", "root", "component_id")
-    return marked.join(named, "node").select("doc_id", "node", "root", "component_id")
+def _compared(rows: DataFrame, radius: int, similarity: float, best: bool) -> DataFrame:
+    rows = rows.select("key", "node", "part", "size", "ask", "fp").repartition("key").sortWithinPartitions("key", "node")
+    return rows.mapInArrow(_compare_by(radius, similarity, best), _LINK)
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, words: int, tables: list[np.ndarray], radius: int, similarity: float) -> DataFrame:
-    """The components of all links of a bucket that are similar enough.
+def near_parts(docs: DataFrame, nodes: DataFrame, words: int, radius: int, similarity: float, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The ``part`` of every ``node`` that has a neighbour, and the ``root`` of parts that belong together.
 
-    A forest of nearest links is tested first. Where it held a false link, true ones may
-    stand behind it: the nodes of such a component go through the buckets again, those
-    that are joined as one part and without the pairs found false, for more forests each
-    time, until a round finds nothing false.
+    Every pair of a bucket that is within the radius and could be similar enough is
+    either joined already or tested on the two sets of shingles:
+
+    1. each node is tested against the neighbour that has most neighbours (in a large
+       bucket, among those dealt to the same block): the centre of a group of copies;
+    2. in large buckets, all nodes against the one that most tests have confirmed;
+    3. in all buckets, whatever pairs of nodes are not joined by now.
+    """
+    nodes = nodes.where("size > 0")
+    key = F.explode("keys").alias("key")
+    large = large_buckets(nodes.select(key), paths)
+    total = nodes.select(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    dealt = not large.isEmpty()
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    rows = nodes.select(key, "node", F.col("node").alias("part"), "size", "fp")
+    if dealt:
+        rows = with_blocks(rows, large, total).withColumns({"key": F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", block)), "ask": F.when(F.col("blocks").isNull(), 2).otherwise(3)})
+    else:
+        rows = rows.withColumn("ask", F.lit(2))
+    first = _compared(rows, radius, similarity, True)
+    first = first.groupBy("leaf").agg(F.max_by("hub", F.struct(F.col("hub").isNotNull(), "rank", "hub")).alias("hub"))
+    first = written(first, "near", paths)
+    near = first.where("hub IS NOT NULL")
+    known = first.select(F.col("leaf").alias("node")).unionByName(near.select(F.col("hub").alias("node"))).distinct()
+    known = written(nodes.join(known, "node", "left_semi"), "known", paths)
+    sets = written(shingle_sets(docs, known, words), "sets", paths)
+    edges = F.col("hub").alias("u"), F.col("leaf").alias("v")
+    tested = written(confirmed(near, sets, similarity), "tested", paths)
+    alike = tested.where("alike").select(*edges)
+    now = _parted(known, components(alike), paths)
+    if dealt:
+        degree = alike.groupBy(F.col("u").alias("node")).count()
+        held = join_hot(now.select(key, "node", "part", "size", "fp"), large, "key", total)
+        centre = held.join(degree, "node").groupBy("key", "blocks").agg(F.max_by(F.struct("node", "part", "size", "fp"), F.struct("count", "node")).alias("c"))
+        asks = centre.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "c.*")
+        asks = asks.select(F.xxhash64("key", "block").alias("key"), "node", "part", "size", "fp", F.lit(1).alias("ask"))
+        rows = held.withColumns({"key": F.xxhash64("key", block), "ask": F.lit(0)}).select(asks.columns).unionByName(asks)
+        found = _compared(rows, radius, similarity, False).groupBy("leaf").agg(F.max("hub").alias("hub"))
+        second = written(confirmed(written(found, "near", paths), sets, similarity), "tested", paths)
+        now = _parted(known, components(alike.unionByName(second.where("alike").select(*edges))), paths)
+    rows = now.select(key, "node", "part", "size", "fp")
+    if dealt:
+        rows = with_blocks(rows, large, total)
+        few, many = rows.where("blocks IS NULL").drop("blocks"), rows.where("blocks IS NOT NULL")
+        rows = few.withColumn("ask", F.lit(2)).unionByName(_left_over(many, total))
+    else:
+        rows = rows.withColumn("ask", F.lit(2))
+    found = _compared(rows, radius, similarity, False)
+    last = found.groupBy(F.least("hub", "leaf").alias("a"), F.greatest("hub", "leaf").alias("b")).agg(F.max(F.struct("hub", "leaf", "hub_part", "leaf_part")).alias("x"))
+    last = written(last.select("x.*"), "near", paths)
+    joined = confirmed(last, sets, similarity).where("alike").join(last, ["hub", "leaf"])
+    again = components(joined.select(F.col("hub_part").alias("u"), F.col("leaf_part").alias("v")))
+    return now.select("node", "part"), again.select(F.col("node").alias("part"), "root")
+
+
+def _parted(known: DataFrame, roots: DataFrame, paths: list[str]) -> DataFrame:
+    joined = known.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
+    return written(joined.select("node", "part", "size", "fp", "keys"), "parted", paths)
+
+
+def _left_over(held: DataFrame, total: int) -> DataFrame:
+    """Rows of large buckets as blocks: nodes outside a bucket's greatest part against all of its nodes.
+
+    Buckets in which all are joined give nothing.
     """
-    pairs = lambda found: written(found.where("u <> v").select("u", "v").distinct(), "links")
-    last = pairs(links(nodes, tables, radius, ("fp", "node")))
-    sets = written(shingle_sets(docs, nodes, last, words), "sets")
-    whole = None
-    tested = last = written(compared(last, sets, similarity), "tested")
-    roots, forests = components(tested.where("alike")), 8
-    while not last.where("NOT alike").isEmpty():
-        if whole is None:  # no link leads out of the components of the first forests, true or false
-            whole = nodes.select("node").join(components(tested), "node", "left")
-            whole = written(whole.select("node", F.coalesce("root", "node").alias("root")), "whole")
-        again = whole.join(last.where("NOT alike").select(F.col("u").alias("node")), "node", "left_semi").select("root").distinct()
-        left = nodes.select("fp", "node").join(whole.join(again, "root", "left_semi").select("node"), "node", "left_semi")
-        no = tested.where("NOT alike").groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("no"))
-        left = left.join(roots, "node", "left").join(no, "node", "left")
-        left = left.select("fp", "node", F.coalesce("root", "node").alias("part"), F.coalesce("no", F.array().cast("array<long>")).alias("no"))
-        last = pairs(links(written(left, "left"), tables, radius, ("fp", "node", "part", "no"), forests))
-        last = written(compared(last, sets, similarity), "tested")
-        tested, forests = tested.unionByName(last), min(8 * forests, 64)
-        if not last.where("alike").isEmpty():
-            roots = components(tested.where("alike"))
-    return roots
-
-
-def shingle_sets(docs: DataFrame, nodes: DataFrame, edges: DataFrame, words: int) -> DataFrame:
-    """``node`` and ``shingles`` of all nodes in ``edges``.
-
-    Only texts of such edges are dealt out: a bitmap of fixed size on the ids keeps most
-    others from it, the node tells apart rows that share an id. Rows without an id are
-    all dealt out.
+    by_part = held.groupBy("key", "part").count()
+    by_key = by_part.groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("most"), F.max("count").alias("top"), F.sum("count").alias("n"))
+    by_key = by_key.where("top < n").select("key", "most", F.ceil((F.col("n") - F.col("top")) / BLOCK).alias("rest"), "n")
+    rows = join_hot(held, by_key, "key", total)
+    up_to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    members = rows.select("*", own("blocks").alias("m"), up_to("rest").alias("r"), F.lit(0).alias("ask"))
+    asks = rows.where("part <> most").select("*", own("rest").alias("r"), up_to("blocks").alias("m"), F.lit(1).alias("ask"))
+    return members.unionByName(asks).select(F.xxhash64("key", "m", "r").alias("key"), "node", "part", "size", "fp", "ask")
+
+
+def shingle_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """``node`` and ``shingles`` of the nodes ``asked``.
+
+    Only one row of each is dealt out: a bitmap of fixed size on the row's hash keeps
+    most others from it, the node tells the rest apart.
     """
-    asked = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-    asked = written(nodes.join(asked, "node", "left_semi").select("node", "first"), "asked")
-    place = F.col("first").bitwiseAND(FILTER_BITS - 1)
-    parts = asked.where("first IS NOT NULL").select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(0x7FFF).alias("bit"))
+    place = F.col("first.same").bitwiseAND(FILTER_BITS - 1)
+    parts = asked.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(0x7FFF).alias("bit"))
     bitmap = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
     for part, held in parts.groupBy("part").agg(F.bitmap_construct_agg("bit")).collect():
         bitmap[part] = np.frombuffer(held, np.uint8)
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap.ravel())
 
     def sets(part: pa.RecordBatch) -> pa.RecordBatch:
-        keys, found = [], []
-        for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
-            at = None if doc is None else doc & (FILTER_BITS - 1)
-            if at is None or bitmap.value[at >> 3] >> (at & 7) & 1:
-                own = shingle_set(text.as_py(), words)
-                keys.append(node_of_set(own))
-                found.append(own.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    looked_up = map_slices(docs.select("doc_id", "text"), sets, "node long, shingles array<long>")
-    return looked_up.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
-
-
-def compared(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``u``, ``v`` and whether they are ``alike``."""
-    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
-    shared = F.size(F.array_intersect("of_u", "of_v"))
-    alike = shared >= similarity * (F.size("of_u") + F.size("of_v") - shared)
-    return edges.join(a, "u").join(b, "v").select("u", "v", alike.alias("alike"))
+        at = part.column(0).to_numpy() & (FILTER_BITS - 1)
+        hit = np.flatnonzero(bitmap.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        found = [shingle_set(part.column(1)[int(k)].as_py(), words) for k in hit]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([node_of_set(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["node", "shingles"]
+        )
 
+    looked_up = map_slices(docs.select(row_hash(docs).alias("same"), docs["text"].alias("text")), sets, "node long, shingles array<long>")
+    return looked_up.groupBy("node").agg(F.first("shingles").alias("shingles")).join(asked.select("node"), "node", "left_semi")
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """The contract's groups: 64 bits over three words, links at two or fewer differing bits."""
-    groups = near_groups(docs, words=3, bits=64, tables=all_choices(64, 4, 2), radius=2)
-    return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``hub``, ``leaf`` and whether they are ``alike``: a Jaccard similarity of at least that much.
 
-#: Corpus de-duplication: five words, similarity of 0.8 or more. At a Jaccard similarity of
-#: 0.8 (a cosine of 0.89) a bit differs with probability 0.152, so of 512 bits 78 do, with a
-#: standard deviation of 8: the radius is three deviations beyond. Two such fingerprints agree
-#: on the 16 bits of at least one of 48 tables with probability 0.97, at 0.85 with 0.996.
-#: Every link is confirmed on the texts' distinct shingles, of which the fingerprint is made.
-CORPUS = {"words": 5, "bits": 512, "radius": 102, "similarity": 0.8}
-CORPUS_TABLES = (48, 16)
+    The links of a hub are dealt into groups by their leaf, and its set is sent to each
+    group once, so that no task has all links of a hub, and no link carries its hub's set.
+    """
+    group = F.pmod(F.xxhash64("leaf"), F.lit(DEALT)).alias("group")
+    pairs = pairs.select("hub", "leaf", group)
+    leaves = pairs.join(sets, pairs["leaf"] == sets["node"]).select("hub", "group", "leaf", "shingles")
+    hubs = pairs.select("hub", "group").distinct().join(sets, F.col("hub") == sets["node"]).select("hub", "group", F.lit(None).cast("long").alias("leaf"), "shingles")
+    rows = leaves.unionByName(hubs).repartition("hub", "group").sortWithinPartitions("hub", "group", F.col("leaf").asc_nulls_first())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.empty(0, np.int64)
+        for part in batches:
+            hubs, leaves, alike = [], [], []
+            lists = part.column(3)
+            starts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for k, (hub, leaf) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
+                other = values[starts[k] : starts[k + 1]].view(np.uint64)
+                if leaf is None:
+                    own = other.copy()
+                    continue
+                at = np.searchsorted(own, other).clip(0, len(own) - 1)
+                shared = int((own[at] == other).sum())
+                hubs.append(hub)
+                leaves.append(leaf)
+                alike.append(shared >= similarity * (len(own) + len(other) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(leaves, pa.int64()), pa.array(alike, pa.bool_())], names=["hub", "leaf", "alike"])
+
+    return rows.mapInArrow(run, "hub long, leaf long, alike boolean")
+
+
+def similar_groups(docs: DataFrame, words: int, bits: int, radius: int, similarity: float, tables: tuple[int, int], paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``id`` and ``same`` of each group's row of smallest id (null after all others), and of the rows that are there more than once."""
+    marked = written(corpus_marks(docs, words, bits, tables), "simhash", paths)
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "same")).alias("first")
+    nodes = marked.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = written(nodes, "nodes", paths)
+    now, again = near_parts(docs, nodes, words, radius, similarity, paths)
+    by_part = nodes.select("node", "first").join(now, "node", "left").groupBy(F.coalesce("part", "node").alias("part")).agg(F.min("first").alias("first"))
+    groups = by_part.join(again, "part", "left").groupBy(F.coalesce("root", "part").alias("root")).agg(F.min("first").alias("first"))
+    return groups.select("first.id", "first.same"), marked.groupBy("id", "same").count().where("count > 1").select("id", "same")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """With the id it tells rows apart, but for those that share id and text."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all of their columns, of which each group keeps one: that of its smallest id.
 
-    Rows that share an id and a group count as one group's members too: one stays. Of a
-    group in which no row has an id, one row stays.
-    """
-    tables = spread_tables(CORPUS["bits"], *CORPUS_TABLES)
-    groups = written(similar_groups(docs, tables=tables, **CORPUS), "groups")
-    kept = groups.where(F.col("doc_id") == F.col("component_id"))
-    per_id = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    keepers = written(per_id.select(F.col("doc_id").alias("__keep"), "n"), "keepers")
-    # the same plan at every size: texts are dealt out by id once, nothing is broadcast
-    once = docs.join(keepers.where("n = 1").select("__keep").hint("merge"), docs["doc_id"] == F.col("__keep"), "left_semi")
-    often = keepers.where("n > 1")
-    if not often.isEmpty():  # ids that are not unique: decide by row contents
-        rows = docs.join(often.select("__keep"), docs["doc_id"] == F.col("__keep"), "left_semi")
-        once = once.unionByName(_one_of_each(rows, groups))
-    nameless = groups.where("component_id IS NULL")
-    if not nameless.isEmpty():
-        once = once.unionByName(_one_of_each(docs.where("doc_id IS NULL"), nameless))
-    return once
-
-
-def _one_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of each group among ``rows``, whose ids don't tell them apart."""
-    data = F.struct(*(rows[c] for c in rows.columns))
-    marked = rows.select(data.alias("__row"), F.sha2(F.coalesce(rows["text"], F.lit("")).cast("binary"), 256).alias("__sha"))
-    by_text = rows.select("doc_id", "text").dropDuplicates(["doc_id", "text"])
-    shas = nodes_of_texts(by_text)
-    named = groups.select(F.col("node").alias("__node"), F.col("root").alias("__root")).distinct()
-    rooted = shas.join(named, "__node").select("__sha", "__root").distinct()
-    one = marked.join(rooted, "__sha").dropDuplicates(["__root"])
-    return one.select("__row.*")
-
-
-def nodes_of_texts(rows: DataFrame) -> DataFrame:
-    """``__sha`` of the text and ``__node``, that of its set of shingles."""
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in part.column(0).to_pylist()]
-        keys = [node_of_set(shingle_set(t, CORPUS["words"])) for t in texts]
-        shas = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-        return pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(keys, pa.int64())], names=["__sha", "__node"])
+    A text's words and shingles are as in the query; a group is what links join, and two
+    texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8
+    or more: fingerprints of the sets are compared bit-sliced within buckets, and every
+    pair within the radius is confirmed on the sets themselves.
 
-    return map_slices(rows.select("text"), run, "__sha string, __node long").distinct()
+    Texts without words are one group. Of rows that share id and text one stays; of a
+    group in which no row has an id, one row stays; an empty table gives no rows.
+    """
+    paths: list[str] = []
+    groups, often = similar_groups(docs, **CORPUS, tables=CORPUS_TABLES, paths=paths)
+    kept = written(groups, "keepers")
+    often = written(often.join(kept, _same(often, kept), "left_semi"), "often")
+    remove_written(docs.sparkSession, *paths)
+    if not often.isEmpty():
+        kept = kept.join(often, _same(kept, often), "left_anti")
+    # the same plan at every size: rows are dealt out by id and text once
+    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["id"]) & (row_hash(docs) == kept["same"]), "left_semi")
+    if often.isEmpty():
+        return out
+    rows = docs.join(often.hint("merge"), docs["doc_id"].eqNullSafe(often["id"]) & (row_hash(docs) == often["same"]), "left_semi")
+    rows = rows.select(F.struct(*(rows[c] for c in rows.columns)).alias("row"), rows["doc_id"].alias("id"), row_hash(rows).alias("same"))
+    return out.unionByName(rows.groupBy("id", "same").agg(F.first("row").alias("row")).select("row.*"))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["id"].eqNullSafe(b["id"]) & (a["same"] == b["same"])
