@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -409,6 +410,34 @@ def test_formulas_are_text_and_scripts_run_on():
     assert html_text.Page("<video>" * 20000 + "x").runs[0][1] == "x"
 
 
+FIRST, SECOND = "First long paragraph of text, which goes on for a while, and then a bit.", "Second one, which goes on for a while too, and then some more words here."
+NAV, FOOT = '<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>', "<footer>(c) 2020 Some company</footer>"
+COMMENTS = '<div id="comments"><h3>2 replies</h3><div class="comment"><p>me too, I think this is right</p></div><div class="comment"><p>no way at all</p></div></div>'
+BODY = f"<h1>Title</h1><p>{FIRST}</p><p>{SECOND}</p>"
+REFERENCES = "".join(f'<li><a href="#">Reference number {i} of the study</a></li>' for i in range(6))
+LAYOUTS = {
+    "links in the article": (f"{NAV}<article>{BODY}<h2>References</h2><ul>{REFERENCES}</ul></article>{FOOT}", ["References", *(f"Reference number {i} of the study" for i in range(6))]),
+    "comments in main": (f"{NAV}<main>{BODY}{COMMENTS}</main>{FOOT}", []),
+    "a plain division": (f"<div class='header'><a href='/'>Site</a></div><div id='content'>{BODY}</div><div class='sidebar'><h3>Popular</h3><ul><li><a>x y</a></li></ul></div>{COMMENTS}{FOOT}", []),
+    "no container": (f"{NAV}{BODY}{FOOT}", []),
+    "a section with an advert": (f"<header><h2>Site</h2>{NAV}</header><section class='post'>{BODY}<div class='ad-slot'>Buy now</div></section><aside>Related things</aside>{FOOT}", []),
+    "forms and notices": (f"{NAV}<div class='entry-content'>{BODY}</div><form action='/s'><label>Search</label><input></form><div class='cookie-notice'><p>We use cookies, do you agree to that?</p></div>{FOOT}", []),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_html_layouts(layout):
+    body, more = LAYOUTS[layout]
+    assert html_text.extract([f"<body>{body}</body>"], html_text.fit()) == ["\n".join(["Title", FIRST, SECOND, *more])]
+
+
+@pytest.mark.parametrize("tag", ["<b>", "<blockquote>", "<div>", "<li>", "<b>x<p>"])
+def test_unclosed_tags_take_linear_time(tag):
+    trees, began = html_text.fit(), time.time()
+    html_text.extract([f"{tag}y " * 16000], trees)
+    assert time.time() - began < 8
+
+
 def test_decoding_is_the_best_consistent_labelling():
     rng = np.random.default_rng(4)
     for _ in range(20):

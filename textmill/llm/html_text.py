@@ -14,7 +14,9 @@ Defined results: a null, empty or text-less page has the empty text; markup that
 the middle of a tag is text; unclosed elements close with their parents; what stands
 inside scripts, forms' lists, graphics, media and embedded objects isn't text, but only
 scripts, styles, titles and text areas run on to the end of the page if nothing closes
-them; formulas are text of the block around them; repeated rows and null ids are kept each; an empty table gives no rows; other columns are ignored.
+them; formulas are text of the block around them; lists of links and rows of tags inside
+the article are its text; repeated rows and null ids are kept each; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import html as html_lib
 import random
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +63,8 @@ _CUES = [
         r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|adsense)(?:$|[\s_-]|\d)",
         r"comment|discussion|disqus|repl(?:y|ies)|review",
         r"footer|copyright|colophon|legal|masthead|header|topbar|site-?(?:head|foot)",
-        r"side-?bar|related|recommend|widget|share|social|tags?(?:$|[\s_-])|popular|trending|author|byline|meta",
+        r"side-?bar|related|recommend|widget|popular|trending",
+        r"share|social|tags?(?:$|[\s_-])|author|byline|meta",
         r"cookie|consent|notice|alert|popup|modal|newsletter|subscribe|signup|gdpr|overlay|login|search|form",
     )
 ]
@@ -80,11 +84,19 @@ class Page:
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("html", 0)]  # open elements; an inline one has its block's node
+        stack: list[tuple[str, int]] = []  # open elements; an inline one has its block's node
+        places: dict[str, list[int]] = {"html": [], "p": []}  # where in the stack each name is open
+        scopes: list[int] = []  # where in the stack the elements are that end a search
         pending: list[str] = []
         links, at, size = 0, 0, len(source)
         unclosed: set[str] = set()
 
+        def push(name: str, node: int) -> None:
+            places.setdefault(name, []).append(len(stack))
+            if name in _SCOPE:
+                scopes.append(len(stack))
+            stack.append((name, node))
+
         def flush() -> None:
             if pending:
                 text = " ".join(html_lib.unescape("".join(pending)).split())
@@ -100,17 +112,22 @@ class Page:
 
         def close(k: int) -> None:
             nonlocal links
-            for name, _ in stack[k:]:
+            while len(stack) > k:
+                name = stack[-1][0]
                 if name not in _INLINE:
                     flush()
                 links -= name == "a"
-            del stack[k:]
+                places[name].pop()
+                if name in _SCOPE:
+                    scopes.pop()
+                stack.pop()
 
         def add(text: str) -> None:
             pending.append(text)
             if links:
                 self.own[stack[-1][1]][1] += len(text)
 
+        push("html", 0)
         while at < size:
             m = _TOKEN.search(source, at)
             if not m:
@@ -124,12 +141,9 @@ class Page:
                 continue
             name, ends, attributes = name.lower(), m[1] or m[4], (m[3] or m[6] or "")
             if ends:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
-                    if stack[k][0] in _SCOPE and name in _INLINE:
-                        break
+                k = places[name][-1] if places.get(name) else 0
+                if k and (name not in _INLINE or not scopes or k > scopes[-1]):
+                    close(k)
                 continue
             if name == "br" or name == "wbr":
                 pending.append(" ")
@@ -156,24 +170,20 @@ class Page:
                 self.own[node][4] += 1
                 self.own[node][5] += name == "button"
                 if not attributes.rstrip().endswith("/"):
-                    stack.append((name, node))
+                    push(name, node)
                     links += name == "a"
                 continue
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                open_name = stack[k][0]
-                if open_name == "p" or open_name in _ENDED_BY.get(name, ()):
-                    close(k)
-                    break
-                if open_name in _SCOPE:
-                    break
+            k = max((places[x][-1] for x in ("p", *_ENDED_BY.get(name, ())) if places.get(x)), default=0)
+            if k > (scopes[-1] if scopes else 0):
+                close(k)
             parent = stack[-1][1]
             cue = 0
             if attributes:
                 words = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(attributes))
                 if words:
                     cue = sum(1 << i for i, pattern in enumerate(_CUES) if pattern.search(words))
-            stack.append((name, len(self.tags)))
+            push(name, len(self.tags))
             self.tags.append(name)
             self.parents.append(parent)
             self.depths.append(self.depths[parent] + 1)
@@ -198,7 +208,8 @@ class Forest:
         self.depth, self.cues = join("depths"), join("cues")
         self.group = np.array([_GROUP_OF.get(t, len(_GROUPS)) for p in pages for t in p.tags], np.int64)
         self.own = np.array([x for p in pages for x in p.own], np.float64).reshape(-1, 7)
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(1, int(self.depth.max(initial=0)) + 1)]
+        order = np.argsort(self.depth, kind="stable")
+        self.levels = np.split(order, np.searchsorted(self.depth[order], np.arange(1, int(self.depth.max(initial=0)) + 1)))[1:]
 
     def up(self, values: np.ndarray) -> np.ndarray:
         """Sums over subtrees."""
@@ -315,7 +326,8 @@ _NAMES = {
     "sidebar": ["sidebar", "side-bar", "related", "widget", "recommended", ""],
     "notice": ["cookie-notice", "consent", "notice", "newsletter", "alert"],
     "form": ["search", "login-form", "subscribe", ""],
-    "share": ["share", "social", "tags", "byline"],
+    "share": ["share", "social", "tags", "byline", "author", "post-meta"],
+    "references": ["references", "sources", "footnotes", "links", "further-reading", ""],
 }
 _SYLLABLES = "an er in on th re st de la mo ri ta ne ko lu sa pe vi do ga el or um ki sch eau ción ñ ß é".split()
 
@@ -370,14 +382,33 @@ class _Maker:
                 out.append(self.el("pre", text, 1))
         return "".join(out)
 
+    def references(self) -> str:
+        """A list of links that is part of the article."""
+        rng = self.rng
+        link = lambda: f'<a href="#">{self.words(1, 9)}</a>' + (f" {self.words(1, 8)}" if rng.random() < 0.3 else "")
+        items = "".join(self.el("li", link(), 1, close=rng.random() < 0.8) for _ in range(rng.randint(1, 8)))
+        found = (self.el(rng.choice(["h2", "h3"]), self.words(1, 3), 1) if rng.random() < 0.6 else "") + self.el(rng.choice(["ul", "ol"]), items, 1)
+        return self.el(rng.choice(["div", "section"]), found, 1, "references") if rng.random() < 0.4 else found
+
     def article(self) -> str:
         rng = self.rng
         title = self.el("h1", self.words(2, 12), 1)
         if rng.random() < 0.15:
             title = self.el("header", title, 1)
         inside = (title if rng.random() < 0.9 else "") + self.paragraphs()
-        if rng.random() < 0.2:
-            inside += self.el(rng.choice(["div", "footer"]), " ".join(f'<a href="#">{self.words(1, 2)}</a>' for _ in range(4)), 0, "share")
+        if rng.random() < 0.25:
+            inside += self.references()
+            if rng.random() < 0.3:
+                inside += self.paragraphs()
+        links = lambda: " ".join(f'<a href="#">{self.words(1, 2)}</a>' for _ in range(4))
+        if rng.random() < 0.4:
+            row = self.el("div", links() if rng.random() < 0.6 else self.words(1, 6), 1, "share")
+            inside = row + inside if rng.random() < 0.3 else inside + row
+        if rng.random() < 0.1:
+            inside += self.el("footer", links(), 0, "footer")
+        for kind in ("ad", "comments", "sidebar", "nav", "form", "notice"):
+            if rng.random() < 0.08:
+                inside += self.extra(kind)
         if rng.random() < 0.15:
             return inside
         if rng.random() < 0.5:
@@ -401,8 +432,10 @@ class _Maker:
         if kind == "form":
             return self.el("form", f"<label>{self.words(1, 3)}</label><input><button>Go</button>", 0, "form")
         if kind == "comments":
-            one = lambda: self.el("div", self.el("p", self.words(3, 40), 0), 0)
-            return self.el(rng.choice(["div", "section"]), self.el("h3", self.words(1, 2), 0) + "".join(one() for _ in range(rng.randint(1, 6))), 0, "comments")
+            one = lambda: self.el(rng.choice(["div", "li", "article"]), self.el("p", self.words(3, 40), 0), 0)
+            title = self.words(1, 2) if rng.random() < 0.5 else f"{rng.randint(0, 40)} {self.words(1, 1)}"
+            heading = self.el(rng.choice(["h2", "h3", "h4", "p", "div"]), title, 0) if rng.random() < 0.85 else ""
+            return self.el(rng.choice(["div", "section"]), heading + "".join(one() for _ in range(rng.randint(0, 6))), 0, "comments")
         return self.el(rng.choice(["footer", "footer", "div"]), f"&copy; {self.words(1, 3)} &middot; {self.words(1, 20)}" if rng.random() < 0.5 else self.el("p", self.words(2, 20), 0), 0, "footer")
 
     def page(self) -> str:
@@ -433,7 +466,9 @@ def training_pages(n: int, seed: int = 11) -> tuple[list[Page], np.ndarray]:
     return pages, np.array(labels, np.float64)
 
 
-def fit(pages: int = 500) -> Trees:
+@lru_cache
+def fit(pages: int = 1000) -> Trees:
+    """The trees, trained once per process."""
     made, y = training_pages(pages)
     return boost(Forest(made).features(), y)
 
