@@ -308,6 +308,57 @@ def test_toxicity(spark, edges):
     assert {r["score"] for r in toxicity.score(edges, none).collect()} == {0.0}
 
 
+def chain_by_hand(model, words):
+    """Marginals by the forward and backward sums of one document, a word at a time."""
+    if not words:
+        return []
+    own = [[int(x) & ((1 << toxicity.BITS) - 1) for x in toxicity.forms(w)] for w in words]
+    s = [float(model.own[f].sum()) for f in own]
+    for t in range(len(words)):
+        if t:
+            s[t] += float(model.before[own[t - 1][0]])
+        if t + 1 < len(words):
+            s[t] += float(model.after[own[t + 1][0]])
+    e = [(1.0, float(np.exp(np.clip(x, -30, 30)))) for x in s]
+    norm = lambda v: [x / sum(v) for x in v]
+    ahead = [norm([model.start[j] * e[0][j] for j in (0, 1)])]
+    for x in e[1:]:
+        ahead.append(norm([sum(ahead[-1][i] * model.trans[i, j] for i in (0, 1)) * x[j] for j in (0, 1)]))
+    back = [[0.5, 0.5]]
+    for x in e[:0:-1]:
+        back.append(norm([sum(model.trans[i, j] * x[j] * back[-1][j] for j in (0, 1)) for i in (0, 1)]))
+    both = [(a[0] * b[0], a[1] * b[1]) for a, b in zip(ahead, back[::-1])]
+    return [one / (zero + one) for zero, one in both]
+
+
+def test_toxicity_query_by_hand(spark, docs, labels):
+    """The query on a small table: every score from the chain's own sums; a ranking though six labels are toxic."""
+    model = toxicity.fit(docs, labels)
+    rows = {r["doc_id"]: r for r in QUERIES["op5_toxicity"](spark, SF_DIR).collect()}
+    source = texts(docs)
+    assert len(rows) == len(source)
+    for doc, text in source:
+        p = chain_by_hand(model, re.findall(rb"[^ \t-\r]+", text.encode().lower()))
+        top = min(max(max(p, default=0.0), 1e-4), 1 - 1e-4)
+        z = model.slope[0] * np.log(top / (1 - top)) + model.slope[1] * np.log1p(sum(x for x in p if x > 0.5)) + model.offset
+        assert rows[doc]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+        assert rows[doc]["predicted"] == int(rows[doc]["score"] >= 0.7) and rows[doc]["held_out"] == (zlib.crc32(str(doc).encode()) % 3 == 1)
+    assert len({round(r["score"], 9) for r in rows.values()}) > 50
+
+
+def auc(scores, y):
+    scores, y = np.array(scores), np.array(y)
+    up, down = scores[y == 1][:, None], scores[y == 0][None]
+    return float(((up > down) + 0.5 * (up == down)).mean())
+
+
+def test_toxicity_ranks_held_out_rows(spark):
+    sf = SF_DIR.replace("0.001", "0.01")
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in QUERIES["op5_toxicity"](spark, sf).collect() if r["held_out"] and r["doc_id"] in truth]
+    assert auc([r["score"] for r in rows], [truth[r["doc_id"]] for r in rows]) > 0.9
+
+
 # --- 6 byte-level BPE
 
 

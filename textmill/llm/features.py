@@ -118,6 +118,8 @@ def fit_platt(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     """Slope and offset that turn margins into probabilities (Newton steps on smoothed targets)."""
     up, down = (y == 1).sum(), (y == 0).sum()
     target = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
+    middle, spread = float(z.mean()), max(float(z.std()), 1e-6)
+    z = (z - middle) / spread
     a, b = 1.0, 0.0
     for _ in range(rounds):
         p = sigmoid(a * z + b)
@@ -125,4 +127,5 @@ def fit_platt(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
         h = np.array([[(d * z * z).sum() + 1e-6, (d * z).sum()], [(d * z).sum(), d.sum() + 1e-6]])
         step = np.linalg.solve(h, [(r * z).sum() + 1e-6 * (a - 1), r.sum()])
         a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
-    return max(float(a), 1e-3), float(b)
+    a = max(float(a), 1e-3) / spread
+    return a, float(b) - a * middle

@@ -3,11 +3,14 @@
 Labels mark whole documents, so tokens are labelled first: in a toxic document, a token
 is toxic if one of its forms (the word, its beginnings of 3 to 6 bytes, its ending) occurs
 in toxic documents so much more than in clean ones that less than one such form is
-expected by chance over all forms; near copies count once. A two-state chain with hashed features of the token and of its neighbours is
+expected by chance over all forms; near copies count once. Where no form is beyond chance
+(few labels), each token is toxic with the probability that its forms' evidence gives. A
+two-state chain with hashed features of the token and of its neighbours is
 trained on these tokens by maximum likelihood. Forward-backward marginals give each
 token's probability; a document's score is a calibrated function of its greatest
 marginal and of its expected number of toxic tokens, and runs of probable tokens are
-returned as spans with code-point offsets.
+returned as spans with code-point offsets. Calibration is on documents that the chain
+didn't see: each half of the sample is scored by a chain trained on the other half.
 
 Marginals of all tokens of a batch are computed together: the chain is one product of
 2 x 2 matrices that starts anew at each document, cut into blocks that advance in step.
@@ -26,6 +29,7 @@ import re
 from array import array
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -38,7 +42,7 @@ from .features import fit_platt, sigmoid
 
 PER_CLASS = 1500
 MAX_BYTES = 20_000
-#: Documents of either class whose tokens train the chain (the others calibrate it).
+#: Documents of either class whose tokens train a chain.
 CHAIN_DOCS = 500
 THRESHOLD = 0.7
 #: Hash width of the chain's weights, and of the counts that label tokens: there a
@@ -132,35 +136,42 @@ class Model:
     slope: tuple = (1.0, 1.0)
     offset: float = 0.0
     known: dict = field(default_factory=dict)
-    table: list = field(default_factory=list)
+    table: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "table": []}
+        return self.__dict__ | {"known": {}, "table": None}
 
     def _codes(self, words: list[bytes]) -> list[int]:
+        """Numbers of words; of new ones the scores (own, what they add to the next and to the one before) are kept."""
         known = self.known
-        try:
-            return list(map(known.__getitem__, words))
-        except KeyError:
-            for w in set(words).difference(known):
-                f = [x & ((1 << BITS) - 1) for x in forms(w)]
-                known[w] = len(self.table)
-                self.table.append((float(self.own[f].sum()), float(self.before[f[0]]), float(self.after[f[0]])))
-            return list(map(known.__getitem__, words))
+        new = set(words).difference(known)
+        if new:
+            held = len(known)
+            f = np.array([forms(w) for w in new], np.int64) & ((1 << BITS) - 1)
+            rows = np.stack([self.own[f].sum(1), self.before[f[:, 0]], self.after[f[:, 0]]], axis=1)
+            known.update(zip(new, range(held, held + len(new))))
+            if self.table is None or len(self.table) < len(known):
+                grown = np.empty((max(1024, 2 * len(known)), 3))
+                grown[:held] = 0 if self.table is None else self.table[:held]
+                self.table = grown
+            self.table[held : len(known)] = rows
+        return list(map(known.__getitem__, words))
+
+    def forget(self) -> None:
+        self.known, self.table = {}, None
 
     def probabilities(self, texts: list[str]) -> list[np.ndarray]:
         """Marginal of every word of every text."""
         if len(self.known) > CACHE_WORDS:
-            self.known, self.table = {}, []
-        codes = [self._codes(tokens_of(t)) for t in texts]
-        lens = np.array([len(c) for c in codes], np.int64)
-        flat = np.fromiter((c for one in codes for c in one), np.int64, int(lens.sum()))
+            self.forget()
+        words = [tokens_of(t) for t in texts]
+        lens = np.array([len(w) for w in words], np.int64)
+        flat = np.array(self._codes(list(chain.from_iterable(words))), np.int64)
         if not len(flat):
             return [np.empty(0)] * len(texts)
         first = np.zeros(len(flat), bool)
         first[(np.cumsum(lens) - lens)[lens > 0]] = True
-        scores = np.array(self.table)[flat]
-        prob = marginals(chain_scores(scores, first), first, self.trans, self.start)
+        prob = marginals(chain_scores(self.table[flat], first), first, self.trans, self.start)
         return np.split(prob, np.cumsum(lens)[:-1])
 
     def scores(self, probabilities: list[np.ndarray]) -> np.ndarray:
@@ -204,8 +215,12 @@ def unlike(docs: list[list[bytes]], keys: int = 8, shared: int = 3) -> np.ndarra
     return keep
 
 
-def toxic_forms(docs: list[list[bytes]], y: np.ndarray) -> set[int]:
-    """Forms that toxic documents hold beyond chance, corrected for the number of forms."""
+def toxic_forms(docs: list[list[bytes]], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forms in order, and how probably each is toxic in a toxic document.
+
+    Forms beyond chance, corrected for the number of forms, are toxic; if there are none,
+    all that toxic documents hold more often have the probability of their evidence.
+    """
     size = 1 << LABEL_BITS
     in_toxic, in_clean = np.zeros(size, np.int32), np.zeros(size, np.int32)
     cache: dict[bytes, array] = {}
@@ -216,29 +231,35 @@ def toxic_forms(docs: list[list[bytes]], y: np.ndarray) -> set[int]:
                 cache[w] = array("i", (x & (size - 1) for x in forms(w)))
             held.update(cache[w])
         (in_toxic if label else in_clean)[list(held)] += 1
-    seen = np.flatnonzero(in_toxic >= 3)
-    n_forms, share = int(((in_toxic + in_clean) > 0).sum()), y.mean()
+    seen = np.flatnonzero(in_toxic)
+    chance, share = np.log(max(1, int(((in_toxic + in_clean) > 0).sum()))), y.mean()
     in_toxic, in_clean = in_toxic[seen], in_clean[seen]
     total = in_toxic + in_clean
     rate = (in_toxic / total).clip(1e-9, 1 - 1e-9)
     gain = total * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
-    return set(seen[(rate >= 0.95) & (gain > np.log(max(1, n_forms)))].tolist())
+    sure = (in_toxic >= 3) & (rate >= 0.95) & (gain > chance)
+    if sure.any():
+        return seen[sure], np.ones(int(sure.sum()))
+    more = rate > share
+    return seen[more], sigmoid(gain[more] - chance)
 
 
-def _train_chain(docs: list[list[bytes]], marked: set[int], y: np.ndarray, rounds: int = 60, rate: float = 0.15, l2: float = 1e-3) -> Model:
+def _train_chain(docs: list[list[bytes]], marked: tuple[np.ndarray, np.ndarray], y: np.ndarray, rounds: int = 60, rate: float = 0.15, l2: float = 1e-3) -> Model:
     vocabulary: dict[bytes, int] = {}
     flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for d in docs for w in d], np.int64)
     hashed = np.array([forms(w) for w in vocabulary], np.int64).reshape(-1, 6)
-    bad = np.isin(hashed & ((1 << LABEL_BITS) - 1), list(marked)).any(1)
+    names, chances = np.append(marked[0], -1), np.append(marked[1], 0.0)
+    at = np.searchsorted(marked[0], hashed & ((1 << LABEL_BITS) - 1))
+    bad = np.where(names[at] == hashed & ((1 << LABEL_BITS) - 1), chances[at], 0.0).max(1, initial=0.0)
     places, features = np.unique(hashed & ((1 << BITS) - 1), return_inverse=True)  # weights of what training meets
     features = features.reshape(-1, 6)
     lens = np.array([len(d) for d in docs], np.int64)
     first = np.zeros(len(flat), bool)
     first[(np.cumsum(lens) - lens)[lens > 0]] = True
-    target = (bad[flat] & np.repeat(y == 1, lens)).astype(np.float64)
+    target = bad[flat] * np.repeat(y == 1, lens)
     inner = ~first[1:]
-    a, b = target[:-1][inner].astype(int), target[1:][inner].astype(int)
-    observed = np.bincount(a * 2 + b, minlength=4).reshape(2, 2).astype(float)
+    a, b = target[:-1][inner], target[1:][inner]
+    observed = np.array([[(1 - a) @ (1 - b), (1 - a) @ b], [a @ (1 - b), a @ b]])
     begun = np.array([(1 - target[first]).sum(), target[first].sum()])
     size = len(places)
     w = {"own": np.zeros(size), "before": np.zeros(size), "after": np.zeros(size), "trans": np.zeros((2, 2)), "start": np.zeros(2)}
@@ -270,28 +291,42 @@ def _train_chain(docs: list[list[bytes]], marked: set[int], y: np.ndarray, round
     return Model(full["own"], full["before"], full["after"], trans, start)
 
 
+def learn(words: list[list[bytes]], y: np.ndarray, per_class: int = CHAIN_DOCS) -> Model:
+    """A chain trained on documents of both classes, not yet calibrated."""
+    marked = toxic_forms(words, y)
+    picked = np.concatenate([np.flatnonzero(y == label)[:per_class] for label in (0, 1)])
+    return _train_chain([words[k] for k in picked], marked, y[picked])
+
+
+def _summaries(model: Model, texts: list[str]) -> np.ndarray:
+    z = summary([p for k in range(0, len(texts), 256) for p in model.probabilities(texts[k : k + 256])]).sum(1)
+    model.forget()
+    return z
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
     """The chain and its calibration; a model that scores 0 if the labels don't hold both classes."""
     rows = labelled_sample(docs, labels, "toxic", per_class, max_bytes).toArrow()
     y, texts = rows.column("y").to_numpy(), rows.column("text").to_pylist()
     shared: dict[bytes, bytes] = {}  # one object for each word
     words = [[shared.setdefault(w, w) for w in tokens_of(t)] for t in texts]
-    none = np.zeros(1 << BITS, np.float32)
     single = np.flatnonzero(unlike(words))
-    marked = toxic_forms([words[k] for k in single], y[single]) if len(set(y[single].tolist())) == 2 else set()
-    if not marked:
+    y, texts, words = y[single], [texts[k] for k in single], [words[k] for k in single]
+    if len(set(y.tolist())) < 2:
+        none = np.zeros(1 << BITS, np.float32)
         return Model(none, none, none, np.ones((2, 2)), np.ones(2), fitted=False)
-    chain: list[int] = []
+    half = np.zeros(len(y), bool)
     for label in (0, 1):
-        chain += single[y[single] == label][:CHAIN_DOCS].tolist()
-    model = _train_chain([words[k] for k in chain], marked, y[chain])
-    del words, shared
-    prob = [p for k in range(0, len(texts), 256) for p in model.probabilities(texts[k : k + 256])]
-    z = summary(prob)
-    # one direction for both summaries, then a calibrated slope and offset along it
-    a, b = fit_platt(z[:, 0] + z[:, 1], y)
+        half[np.flatnonzero(y == label)[::2]] = True
+    z = np.empty(len(y))
+    for own in (half, ~half):
+        apart = own if len(set(y[~own].tolist())) == 2 else np.zeros(len(y), bool)  # one toxic row: nothing can be left out
+        other = learn([words[k] for k in np.flatnonzero(~apart)], y[~apart], CHAIN_DOCS // 2)
+        z[own] = _summaries(other, [texts[k] for k in np.flatnonzero(own)])
+    model = learn(words, y)
+    # one direction for both summaries, and a calibrated slope and offset along it
+    a, b = fit_platt(z, y)
     model.slope, model.offset = (a, a), b
-    model.known, model.table = {}, []
     return model
 
 
