@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import itertools
 import random
@@ -14,6 +15,7 @@ import pytest
 import xxhash
 from conftest import SF_DIR
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import public_tokenizers
 from textmill.llm import byte_bpe, features, fingerprints, html_text, packing, pii, quality_knn, quality_rules, simhash, token_counts, toxicity
@@ -22,7 +24,7 @@ from textmill.llm.word_bpe import WordBpe
 
 EDGES = [
     (1, None, "x"), (2, "", "x"), (3, " \n\t ", "x"), (4, "One", "x"), (5, "One", "y"), (5, "One", "y"), (None, "no id", None), (6, "word " * 4000, "z"),
-    (7, "a" * 30000, None), (8, "日本語 ünï Σς 🙂 İ", None), (9, "+1 (988) 555-2485 a@b.co 1.2.3.4 4111 1111 1111 1111", None),
+    (7, "a" * 30000, None), (10, "one <|endoftext|> two <|startoftext|>", None), (8, "日本語 ünï Σς 🙂 İ", None), (9, "+1 (988) 555-2485 a@b.co 1.2.3.4 4111 1111 1111 1111", None),
 ]
 SCHEMA = "doc_id long, text string, score string"
 
@@ -46,9 +48,16 @@ def texts(df):
     return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
 
 
-def word_ids(text):
-    bpe = WordBpe(WORD_BPE)
-    return bpe.library.encode(text, add_special_tokens=False).ids + [1]
+@functools.lru_cache
+def library(special=True):
+    made = Tokenizer.from_file(WORD_BPE)
+    if not special:
+        made.encode_special_tokens = True
+    return made
+
+
+def word_ids(text, special=True):
+    return library(special).encode(text, add_special_tokens=False).ids + [1]
 
 
 # --- 1 packing
@@ -107,11 +116,14 @@ def test_level_minimises_the_sum_of_squares():
 
 
 def test_word_bpe_is_the_library():
-    bpe, rng = WordBpe(WORD_BPE), random.Random(1)
+    rng = random.Random(1)
     letters = list("ab's't 're  12²½ªµ.,!?\n\t\x85\xa0\x1c\x1d<|endoftext|>İıŁſΣσςéé́ö日本🙂ǅﬁA")
     made = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(1500)] + ["x" * 5000, "l'l'll'LL I'M", ""]
     made += ["".join(chr(rng.randint(0, 0x17F)) for _ in range(40)) for _ in range(500)]
-    assert [list(x) for x in bpe.encode(made)] == [bpe.library.encode(t, add_special_tokens=False).ids for t in made]
+    made += ["hello <|endoftext|> world <|startoftext|>", "a<|ENDOFTEXT|>b", "<|endoftext|>", "<|endoftext |>"]
+    for special in (True, False):
+        assert [list(x) for x in WordBpe(WORD_BPE, special).encode(made)] == [word_ids(t, special)[:-1] for t in made]
+    assert word_ids(made[-4])[:-1] == [3306, 49407, 1002, 49406]
 
 
 # --- 2 token counts
@@ -136,7 +148,7 @@ def test_separator_scan(spark, block, monkeypatch):
 def test_token_counts_of_documents(spark, docs, edges):
     for df, block in ((docs, 1 << 20), (edges, 50)):
         counted = token_counts.document_token_counts(df, WORD_BPE, 49407, block)
-        assert sorted(((r["doc_id"] or -1), r["n_tokens"]) for r in counted.collect()) == sorted(((d or -1), len(word_ids(t)) - 1) for d, t in texts(df))
+        assert sorted(((r["doc_id"] or -1), r["n_tokens"]) for r in counted.collect()) == sorted(((d or -1), len(word_ids(t, False)) - 1) for d, t in texts(df))
     assert token_counts.document_token_counts(edges.limit(0), WORD_BPE, 49407).count() == 0
 
 
@@ -577,7 +589,7 @@ def test_corpus_near_duplicates(spark, edges):
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash.drop_near_duplicates(edges).collect()) == sorted(
-        {(1, ""), (4, "One"), (0, "no id"), (6, "word " * 4000), (7, "a" * 30000), (8, EDGES[9][1]), (9, EDGES[10][1])}
+        {(1, ""), (4, "One"), (0, "no id"), (6, "word " * 4000), (7, "a" * 30000), (10, EDGES[9][1]), (8, EDGES[10][1]), (9, EDGES[11][1])}
     )
 
 

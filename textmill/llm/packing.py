@@ -8,7 +8,8 @@ windows: the level array holds that number for every fill from 1 to ``window - 1
 What is still open when the split ends is filled up by cutting the emptiest windows'
 pieces, so at most one window per split is padded.
 
-Defined results: a null or empty text is the ``end_id`` alone; repeated rows are packed
+Defined results: a null or empty text is the ``end_id`` alone; the string of a special
+token in a text is that token, as the library gives it by default; repeated rows are packed
 once each; a null id is kept; an empty table gives no rows; other columns are ignored.
 """
 

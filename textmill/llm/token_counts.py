@@ -36,6 +36,9 @@ FAN = 1024
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: int = 1 << 20) -> DataFrame:
     """Tokenise ``docs`` into flat files in the shared folder, one per input split.
 
+    The string of a special token in a text is ordinary text here, so that no text holds
+    a separator.
+
     Columns: ``file_id``, ``block``, ``tokens`` (binary), and ``doc_ids``: the ids of the
     file's documents in order, in portions that have nothing to do with block bounds
     (a document's portion is the block being filled when it was begun).
@@ -44,7 +47,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, block_t
     arrow = pa.schema([("file_id", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("first_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file_id = loaded(tokenizer_path), TaskContext.get().partitionId()
+        encoder, file_id = loaded(tokenizer_path, special=False), TaskContext.get().partitionId()
         held, size, docs_held, first, block = [], 0, [], 0, 0
 
         def out(tokens: bytes) -> pa.RecordBatch:

@@ -3,7 +3,9 @@
 The ids are those of the ``tokenizers`` library for the same file; the work is done
 for all distinct words of a batch at once: each round of merges is a handful of
 array operations over every word that still has a mergeable pair. Texts outside
-the Latin ranges, and words beyond ``MATRIX_BYTES``, go to the library itself.
+the Latin ranges, texts with the string of a special token, and words beyond
+``MATRIX_BYTES`` go to the library itself. What such a string means is a parameter:
+the token, as the library does by default, or ordinary text.
 """
 
 from __future__ import annotations
@@ -90,14 +92,17 @@ class _Codes(dict):
 class WordBpe:
     """Encoder with a bounded cache of words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        names = [re.escape(t["content"]) for t in file.get("added_tokens", []) if special or not t.get("special")]
+        self.added = re.compile("|".join(names) or "(?!)", re.I)
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int32)
@@ -185,7 +190,7 @@ class WordBpe:
         code, tail = self.codes.__getitem__, [] if end_id is None else [end_id]
         coded, sizes, plain = [], [], []
         for text in texts:
-            plain.append(_FAST.fullmatch(text) is not None)
+            plain.append(_FAST.fullmatch(text) is not None and not self.added.search(text))
             words = _WORD.findall(text.lower()) if plain[-1] else []
             coded.extend(map(code, words))
             sizes.append(len(words))
@@ -203,11 +208,11 @@ class WordBpe:
         return out
 
 
-_LOADED: dict[str, WordBpe] = {}
+_LOADED: dict[tuple[str, bool], WordBpe] = {}
 
 
-def loaded(path: str) -> WordBpe:
-    """One encoder per worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+def loaded(path: str, special: bool = True) -> WordBpe:
+    """One encoder per worker process, file and meaning of special tokens' strings."""
+    if (path, special) not in _LOADED:
+        _LOADED[path, special] = WordBpe(path, special)
+    return _LOADED[path, special]
