@@ -274,6 +274,33 @@ def test_long_secrets_are_candidates(spark):
     assert all(out[i] == 'set token = "<SECRET>" now' for i in range(60))
 
 
+def test_names_addresses_and_accounts(spark):
+    rows = [
+        (1, "Dear Mr. John Smith, contact Anna Müller or the James Joyce Committee."), (2, "IBAN: GB29 NWBK 6016 1331 9268 19, not GB29 NWBK 6016 1331 9268 18"),
+        (3, "he lives at 12 Baker Street, London and in der Goethestraße 12a"), (4, "SSN 123-45-6789, part 000-45-6789"), (5, "The And Of 12 345 plain"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS base", "3 AS wide", "4 AS spans")
+    out = pii.redact(df, pii.fit(df))
+    assert out.columns == df.columns
+    texts = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert texts[1] == "Dear <NAME>, contact <NAME> or the James Joyce Committee." and texts[2].startswith("IBAN: <IBAN>, not GB29")
+    assert texts[3] == "he lives at <ADDRESS>, London and in der <ADDRESS>" and texts[4] == "SSN <SSN>, part 000-45-6789" and texts[5] == rows[4][1]
+
+
+def test_many_spans_in_one_text(spark):
+    """Time grows with the text, also where it holds thousands of spans; what cuts through a base span goes."""
+    took = []
+    for n in (2000, 8000):
+        text = " ".join(f"user{i}@mail.com tok{i}abcdef0123456789 x{i}y1234567890123@a.co" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        model = pii.fit(df)
+        began = time.time()
+        row, new = pii.find(df, model).first(), pii.redact(df, model).first()["text"]
+        took.append(time.time() - began)
+        assert row["n_email"] == 2 * n and new.split(" ")[::3] == ["<EMAIL>"] * n and "@" not in new
+    assert took[1] < 4 * took[0]
+
+
 def test_personal_data_runs_no_python(docs):
     plan = pii.find(docs, pii.fit(docs))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

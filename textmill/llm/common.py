@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Texts handled together inside one Python worker: bounds its memory, not the result.
 SLICE_ROWS = 256
@@ -67,21 +69,49 @@ def remove_written(spark: SparkSession, *paths: str) -> None:
             _WRITTEN.remove(path)
 
 
-#: A key is hot if it holds more than one in so many of all rows; so at most that many are.
-HOT = 4096
+#: A key is hot if it holds more than one in so many of all rows, so at most that many are,
+#: and more rows than are a burden to any task. A hot key's rows are dealt to ``SALTS`` tasks.
+HOT, LEAST, SALTS = 4096, 20_000, 64
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right`` on ``key``, no task taking more than a small share of ``left``.
 
     ``right`` holds each key once, with ``n``, its number of rows in ``left``, which has
-    ``total`` rows. Hot keys are at most ``HOT``, so their rows of ``right`` are broadcast;
-    the rest is shuffled, and none of it is hot.
+    ``total`` rows. The rows of hot keys are salted by their other columns, and what
+    ``right`` has for them is there once for each salt. The list of hot keys (at most
+    ``HOT``) is all that comes to the driver.
     """
-    least = total // HOT
-    hot = right.where(F.col("n") > least).drop("n")
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col("n") <= least).drop("n"), key)
-    return left.join(F.broadcast(hot), key).unionByName(rest)
+    least = max(total // HOT, LEAST)
+    hot = [r[0] for r in right.where(F.col("n") > least).select(key).collect()] if total > least else []
+    right = right.drop("n")
+    if not hot:
+        return left.join(right, key, how)
+    other = [F.xxhash64(*(c for c in left.columns if c != key))]
+    mine = F.col(key).isin(hot)
+    salted = left.withColumn("salt_", F.when(mine, F.pmod(other[0], F.lit(SALTS))).otherwise(0))
+    salts = F.when(mine, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return salted.join(right.withColumn("salt_", F.explode(salts)), [key, "salt_"], how).drop("salt_")
+
+
+def fitted(sample: DataFrame, train: Callable[[pa.Table], object], order: str = "order"):
+    """What ``train`` makes of a bounded ``sample``, in the order of its column ``order``.
+
+    Training runs in one task, so the driver holds no more than the model.
+    """
+    schema = to_arrow_schema(sample.schema)
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> pa.Table:
+        rows = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in batches], schema)
+        return rows.sort_by(order)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = pickle.dumps(train(whole(batches)))
+        for k in range(0, len(raw), 1 << 24):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([raw[k : k + (1 << 24)]], pa.binary())], names=["k", "raw"])
+
+    parts = sample.repartition(1).mapInArrow(run, "k long, raw binary").collect()
+    return pickle.loads(b"".join(bytes(r["raw"]) for r in sorted(parts))) if parts else train(whole([]))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_at: str) -> Iterator[pa.RecordBatch]:
@@ -124,26 +154,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> DataFrame:
-    """A bounded, deterministic sample of labelled texts: columns ``text``, ``y``.
+    """A bounded, deterministic sample of labelled texts: columns ``order``, ``text``, ``y``.
 
     ``per_class`` labels of either value are taken in the order of a hash of their
-    id, so at most ``2 * per_class`` ids are broadcast and as many rows return.
-    Rows with a null id, a label outside 0 and 1, or a text beyond ``max_bytes``
+    id, so at most ``2 * per_class`` ids are broadcast and as many rows return, one for
+    each id. Rows with a null id, a label outside 0 and 1, or a text beyond ``max_bytes``
     are not learnt from (they are scored all the same).
     """
     picked = None
-    clean = labels.where(F.col(label).isin(0, 1) & may_learn(F.col("doc_id"))).select(
-        F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")
-    )
+    clean = labels.where(labels[label].isin(0, 1) & may_learn(labels["doc_id"])).select(labels["doc_id"].alias("_id"), labels[label].cast("int").alias("y"))
     for value in (0, 1):
         one = clean.where(F.col("y") == value).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         picked = one if picked is None else picked.unionByName(one)
     picked = picked.groupBy("_id").agg(F.max("y").alias("y"))
-    return (
-        docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-        .select(F.col("doc_id").alias("_id"), "text")
-        .join(F.broadcast(picked), "_id")
-        .orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text"))
-        .limit(2 * per_class)
-        .select("text", "y")
-    )
+    texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
+    joined = texts.join(F.broadcast(picked), "_id").groupBy("_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t"))
+    return joined.select(F.xxhash64("_id").alias("order"), F.col("t.text").alias("text"), "y")

@@ -52,7 +52,7 @@ def unit_rows(texts: list[str], weight: np.ndarray | None = None) -> np.ndarray:
 
 
 class Rows:
-    """Sparse training rows with 0/1 labels, as gathered by :func:`training_rows`."""
+    """Sparse training rows with 0/1 labels, made of those of :func:`training_rows`."""
 
     def __init__(self, rows: pa.Table):
         at, n = (rows.column(c).combine_chunks() for c in ("at", "n"))
@@ -81,18 +81,18 @@ class Rows:
         return v / np.maximum(norm, 1e-12)[self.owner]
 
 
-def training_rows(sample: DataFrame) -> Rows:
-    """Features of a bounded sample (``text``, ``y``), counted on the executors from whole texts."""
+def training_rows(sample: DataFrame) -> DataFrame:
+    """Features of a bounded sample (``order``, ``text``, ``y``), counted from whole texts: ``order``, ``at``, ``n``, ``y``."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         counts = count_rows(texts_of(part))
         at = [np.flatnonzero(row).astype(np.int32) for row in counts]
         n = [row[k].astype(np.float32) for row, k in zip(counts, at)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32())), part.column(1)], names=["at", "n", "y"]
+            [part.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32())), part.column(2)], names=["order", "at", "n", "y"]
         )
 
-    return Rows(map_slices(sample.select("text", "y"), run, "at array<int>, n array<float>, y int").toArrow())
+    return map_slices(sample.select("order", "text", "y"), run, "order long, at array<int>, n array<float>, y int")
 
 
 def sigmoid(z):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_slices, texts_of
+from .common import fitted, held_out, labelled_sample, map_slices, texts_of
 from .features import SIZE, Rows, training_rows, unit_rows
 
 PER_CLASS = 1500
@@ -53,6 +53,10 @@ class Model:
         cosines = v @ self.vectors.T
         k = min(NEIGHBOURS, len(self.y))
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(cosines, near, 1).min(1, keepdims=True)
+        tied = np.flatnonzero((cosines >= least).sum(1) > k)  # more rows share the last place: the first of them
+        if len(tied):
+            near[tied] = np.argsort(-cosines[tied], axis=1, kind="stable")[:, :k]
         weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** SHARPNESS
         return ((weight * self.y[near]).sum(1) + PRIOR * 0.5) / (weight.sum(1) + PRIOR)
 
@@ -83,7 +87,12 @@ def _decompose(rows: Rows, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
-    rows = training_rows(labelled_sample(docs, labels, "quality", per_class, max_bytes))
+    """The labelled vectors and what projects other texts onto them."""
+    return fitted(training_rows(labelled_sample(docs, labels, "quality", per_class, max_bytes)), _train)
+
+
+def _train(table: pa.Table) -> Model:
+    rows = Rows(table)
     n = max(1, len(rows))
     idf = np.log((1 + n) / (1 + np.bincount(rows.at, minlength=SIZE))).astype(np.float32) + np.float32(0.05)
     if not len(rows):

@@ -24,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import labelled_sample, map_slices, texts_of
-from .features import fit_logistic, fit_platt, sigmoid, training_rows, unit_rows
+from .common import fitted, labelled_sample, map_slices, texts_of
+from .features import Rows, fit_logistic, fit_platt, sigmoid, training_rows, unit_rows
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -53,7 +53,11 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model | None:
     """The classifier for ``labels.quality``; None if there aren't both classes."""
-    rows = training_rows(labelled_sample(docs, labels, "quality", per_class, max_bytes))
+    return fitted(training_rows(labelled_sample(docs, labels, "quality", per_class, max_bytes)), _train)
+
+
+def _train(table: pa.Table) -> Model | None:
+    rows = Rows(table)
     if len(rows) < 8 or len(set(rows.y)) < 2:
         return None
     apart = np.arange(len(rows)) % 4 == 0

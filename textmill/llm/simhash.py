@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, join_hot, map_slices, remove_written, written
+from .common import join_hot, map_slices, remove_written, written
 
 #: Nodes of one block of a bucket.
 BLOCK = 4096
@@ -311,7 +311,7 @@ def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
     keyed = nodes.select("fp").mapInArrow(key_of, "key long, fp binary")
     large = large_buckets(nodes.select("fp").mapInArrow(keys_only, "key long"))
     if not large.isEmpty():
-        rows = with_blocks(keyed, large, nodes.count() * len(tables))
+        rows = join_hot(keyed, large, "key", nodes.count() * len(tables), "left")
         many = rows.where("blocks IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
         many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         many = many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
@@ -329,14 +329,6 @@ def large_buckets(keys: DataFrame, paths: list[str] | None = None) -> DataFrame:
     return written(counted.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"), "n"), "buckets", paths)
 
 
-def with_blocks(rows: DataFrame, large: DataFrame, total: int) -> DataFrame:
-    """``rows`` with the ``blocks`` of their bucket, null in a small one; hot buckets as in ``join_hot``."""
-    least = total // HOT
-    hot = F.broadcast(large.where(F.col("n") > least).select("key", "blocks"))
-    rest = rows.join(hot.select("key"), "key", "left_anti").join(large.where(F.col("n") <= least).select("key", "blocks"), "key", "left")
-    return rows.join(hot, "key").unionByName(rest)
-
-
 def by_bucket(run: Callable[[pa.Table], pa.RecordBatch]):
     """``run`` on tables of whole buckets, given batches in order of ``key``."""
 
@@ -374,8 +366,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (its component's smallest node) of all nodes in ``edges`` (``u``, ``v``).
 
     Each round gives every node's neighbours to the smallest of them, first the larger
-    neighbours, then the others, until nothing changes. A star's centre is one row, sent
-    to all tasks that hold some of its many leaves.
+    neighbours, then the others, until nothing changes. The leaves of a large star are
+    dealt to several tasks.
     """
 
     def star(of: DataFrame, both: bool, total: int) -> DataFrame:
@@ -558,7 +550,7 @@ def near_parts(docs: DataFrame, nodes: DataFrame, words: int, radius: int, simil
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     rows = nodes.select(key, "node", F.col("node").alias("part"), "size", "fp")
     if dealt:
-        rows = with_blocks(rows, large, total).withColumns({"key": F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", block)), "ask": F.when(F.col("blocks").isNull(), 2).otherwise(3)})
+        rows = join_hot(rows, large, "key", total, "left").withColumns({"key": F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", block)), "ask": F.when(F.col("blocks").isNull(), 2).otherwise(3)})
     else:
         rows = rows.withColumn("ask", F.lit(2))
     first = _compared(rows, radius, similarity, True)
@@ -584,7 +576,7 @@ def near_parts(docs: DataFrame, nodes: DataFrame, words: int, radius: int, simil
         now = _parted(known, components(alike.unionByName(second.where("alike").select(*edges))), paths)
     rows = now.select(key, "node", "part", "size", "fp")
     if dealt:
-        rows = with_blocks(rows, large, total)
+        rows = join_hot(rows, large, "key", total, "left")
         few, many = rows.where("blocks IS NULL").drop("blocks"), rows.where("blocks IS NOT NULL")
         rows = few.withColumn("ask", F.lit(2)).unionByName(_left_over(many, total))
     else:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_slices, texts_of
+from .common import fitted, held_out, labelled_sample, map_slices, texts_of
 from .features import fit_platt, sigmoid
 
 PER_CLASS = 1500
@@ -306,7 +306,10 @@ def _summaries(model: Model, texts: list[str]) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
     """The chain and its calibration; a model that scores 0 if the labels don't hold both classes."""
-    rows = labelled_sample(docs, labels, "toxic", per_class, max_bytes).toArrow()
+    return fitted(labelled_sample(docs, labels, "toxic", per_class, max_bytes), _train)
+
+
+def _train(rows: pa.Table) -> Model:
     y, texts = rows.column("y").to_numpy(), rows.column("text").to_pylist()
     shared: dict[bytes, bytes] = {}  # one object for each word
     words = [[shared.setdefault(w, w) for w in tokens_of(t)] for t in texts]
