@@ -18,6 +18,7 @@ from .config import PROFILES, profile
 from .operators.pipeline import reduce_all
 from .sources import store as stores
 from .sources.files import read_texts, write_companions
+from .sources.scratch import clear
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,11 +45,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if given.command == "reduce":
         cfg = profile(given.profile)
         texts = read_texts(spark, given.source)
-        done = reduce_all(texts, cfg)
-        out = write_companions(done.join(texts.select("doc_id", "path"), "doc_id"), given.target, given.dry_run)
+        done = reduce_all(texts, cfg, keep=("path", "text"))
+        out = write_companions(done.drop("text"), given.target, given.dry_run)
         if given.store and not given.dry_run:
-            stores.Store(spark, given.store, cfg).put(out.join(texts.select("doc_id", "text"), "doc_id"))
+            stores.Store(spark, given.store, cfg).put(done.where("was_compressed"))
         saved = out.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("chars_saved"), F.lit(0)).alias("saved")).first()
+        clear(spark)
         print(f"{saved['n']} texts reduced, {saved['saved']:,} characters saved")
         return 0
     store = stores.Store(spark, given.store)

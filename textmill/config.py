@@ -9,7 +9,11 @@ from dataclasses import asdict, dataclass, fields, replace
 class Config:
     """Defaults are the balanced profile. ``date_prefix_is_log`` and ``bare_hunks`` widen two
     detections: a line that begins with an ISO date is no search hit, and a hunk header may
-    have no text after it."""
+    have no text after it. ``log_max_errors``, the ``code_`` thresholds and
+    ``ls_strip_month`` are part of the profiles, by which these are told apart, and change
+    no reducer."""
+
+    #: The defaults of all thresholds.
 
     min_compress_chars: int = 3000
     json_max_rows_before_drop: int = 200
@@ -97,6 +101,30 @@ def profile(name: str, base: Config = Config()) -> Config:
     return replace(base, **({k: default[k] for k in PROFILE_KEYS} | PROFILES[name]))
 
 
+def overridden(given: dict[str, str], base: Config = Config()) -> Config:
+    """``base`` with thresholds given as text; an unknown name is a ValueError."""
+    kinds = {f.name: type(getattr(base, f.name)) for f in fields(Config)}
+    unknown = set(given) - set(kinds)
+    if unknown:
+        raise ValueError(f"no threshold {', '.join(sorted(unknown))}")
+    return replace(base, **{k: v.strip().lower() == "true" if kinds[k] is bool else int(v) for k, v in given.items()})
+
+
+def from_file(path: str, base: Config = Config()) -> Config:
+    """Thresholds of a file with a ``name: value`` on each line; ``profile`` names the base, ``#`` begins a comment."""
+    with open(path, encoding="utf-8") as f:
+        lines = [line.split("#")[0].strip() for line in f]
+    given = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in lines if line)}
+    named = given.pop("profile", None)
+    return overridden(given, profile(named, base) if named else base)
+
+
+def from_session(spark, base: Config = Config()) -> Config:
+    """Thresholds that the session sets as ``textmill.<name>``."""
+    given = {f.name: spark.conf.get(f"textmill.{f.name}", None) for f in fields(Config)}
+    return overridden({k: v for k, v in given.items() if v is not None}, base)
+
+
 def profile_rows() -> list[tuple[str, str, str]]:
     """All profiles as (profile, key, value) rows."""
     return [(name, k, str(asdict(profile(name))[k]).lower()) for name in PROFILES for k in PROFILE_KEYS]

@@ -33,6 +33,17 @@ def content_key(c: Column, length: int = 12) -> Column:
     return F.substring(F.sha2(c, 256), 1, length)
 
 
+def is_whole_json(text: Column) -> Column:
+    """Whether all of a text is one JSON value.
+
+    Spark's parsers stop after the first value; within brackets a second value makes the
+    array longer, and as an object's only value an early closing bracket breaks the object.
+    """
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    whole = F.size(F.json_object_keys(F.concat(F.lit('{"a":'), text, F.lit("}")))) == 1
+    return F.coalesce(alone & whole, F.lit(False))
+
+
 def short_number(v: Column) -> Column:
     """Two significant digits, as C's %.2g writes them."""
     size = F.abs(v)

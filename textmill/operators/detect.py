@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.text import content_key, percent_saved
+from ..functions.text import content_key, is_whole_json, percent_saved
 
 #: The kinds in the order that decides ties, and their patterns.
 PATTERNS = {
@@ -38,14 +38,8 @@ REDUCERS = {
 
 
 def is_json(text: Column) -> Column:
-    """Valid JSON as a whole, and an object or array.
-
-    Spark's parsers stop after the first value; within brackets a second value makes the
-    array longer, and as an object's only value an early closing bracket breaks the object.
-    """
-    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    whole = F.size(F.json_object_keys(F.concat(F.lit('{"a":'), text, F.lit("}")))) == 1
-    return F.coalesce(text.rlike(r"^\s*[\[{]") & alone & whole, F.lit(False))
+    """Valid JSON as a whole, and an object or array."""
+    return F.coalesce(text.rlike(r"^\s*[\[{]") & is_whole_json(text), F.lit(False))
 
 
 def _hits(lines: Column, kind: str, cfg: Config) -> Column:
@@ -64,25 +58,24 @@ def _hits(lines: Column, kind: str, cfg: Config) -> Column:
 
 def scores(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """``df`` with one hit count per kind, ``hits_<kind>``."""
-    lines = F.split(F.substring_index("text", "\n", 20), "\n", -1)
-    held = df.withColumn("lines_", lines)
-    return held.withColumns({f"hits_{k}": _hits(F.col("lines_"), k, cfg) for k in PATTERNS}).drop("lines_")
+    lines = F.split(F.substring_index(df["text"], "\n", 20), "\n", -1)
+    held = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), lines.alias("lines"))
+    return held.select("row.*", *(_hits(F.col("lines"), k, cfg).alias(f"hits_{k}") for k in PATTERNS))
 
 
 def detect(df: DataFrame, cfg: Config = Config(), hint: str | None = None) -> DataFrame:
     """``df`` with ``content_type``; a valid value of the column ``hint`` overrides detection."""
-    scored = scores(df, cfg)
-    ranked = F.array(*(F.struct(F.col(f"hits_{k}").alias("hits"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, k in enumerate(PATTERNS)))
-    best = F.array_max(ranked)
+    row = F.struct(*(df[c] for c in df.columns)).alias("row")
+    scored = scores(df.select(row, df["text"].alias("text"), (df[hint] if hint else F.lit(None).cast("string")).alias("hint")), cfg)
+    best = F.array_max(F.array(*(F.struct(F.col(f"hits_{k}").alias("hits"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, k in enumerate(PATTERNS))))
     found = (
-        F.when(F.coalesce(F.length("text"), F.lit(0)) < 16, "text")
+        F.when(F.col("hint").isin(KINDS), F.col("hint"))
+        .when(F.coalesce(F.length("text"), F.lit(0)) < 16, "text")
         .when(is_json(F.col("text")), "json")
         .when(best["hits"] > 0, best["kind"])
         .otherwise("text")
     )
-    if hint:
-        found = F.when(F.col(hint).isin(KINDS), F.col(hint)).otherwise(found)
-    return scored.withColumn("content_type", found).drop(*(f"hits_{k}" for k in PATTERNS))
+    return scored.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c != "content_type"), found.alias("content_type"))
 
 
 def large_enough(df: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -91,16 +84,16 @@ def large_enough(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     return df.where(size > cfg.min_compress_chars)
 
 
-def accounted(reduced: DataFrame, cfg: Config = Config()) -> DataFrame:
+def accounted(reduced: DataFrame, cfg: Config = Config(), keep: tuple[str, ...] = ()) -> DataFrame:
     """The common result: accept a reduction that is strictly shorter, and state what it saves.
 
-    Takes ``doc_id, content_type, compressor, mode, text, compressed``.
+    Takes ``doc_id, content_type, compressor, mode, text, compressed`` and what to ``keep``.
     """
     before, after = F.length("text"), F.length("compressed")
     ok = F.col("compressor").isNotNull() & (after < before)
     saved = before - after
     return reduced.select(
-        "doc_id", "content_type", "compressor", "mode", before.alias("original_chars"), after.alias("compressed_chars"), ok.alias("was_compressed"),
+        "doc_id", *keep, "content_type", "compressor", "mode", before.alias("original_chars"), after.alias("compressed_chars"), ok.alias("was_compressed"),
         F.when(ok, saved).alias("chars_saved"), F.when(ok, F.floor(saved / 4).cast("int")).alias("est_token_savings"),
         F.when(ok, percent_saved(before, after)).alias("compression_pct"), F.when(ok, content_key(F.col("text"), cfg.hash_length)).alias("hash"), "compressed",
     )

@@ -16,7 +16,7 @@ def marked_lines(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Every line with its ``role``, file number ``f``, hunk number ``h``, and whether it is kept."""
     hunk = r"^@@ -\d+,?\d* \+\d+,?\d* @@" + (".*" if cfg.bare_hunks else ".+") + r"\z"
     line, doc = F.col("line"), Window.partitionBy("doc_id").orderBy("pos")
-    rows = text_lines(df).withColumns({"is_file": line.rlike(FILE), "is_hunk": line.rlike(hunk)})
+    rows = text_lines(df.select("doc_id", "text").repartition("doc_id")).withColumns({"is_file": line.rlike(FILE), "is_hunk": line.rlike(hunk)})
     count = lambda flag: F.sum(F.when(flag, 1).otherwise(0))
     rows = rows.withColumn("f", count(F.col("is_file")).over(doc))
     rows = rows.withColumn("h", count(F.col("is_hunk")).over(Window.partitionBy("doc_id", "f").orderBy("pos")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.text import content_key, short_number
+from ..functions.text import content_key, is_whole_json, short_number
 
 _ROWS = "array<map<string,string>>"
 #: A string token, with the colon if it is a key.
@@ -15,7 +15,7 @@ _STRING = r'"(?:[^"\\]++|\\.)*+"(?:\s*+:)?+'
 
 def canonical(text: Column) -> Column:
     """Keys sorted, no white space; what isn't JSON stays as it is."""
-    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+    return F.coalesce(F.when(is_whole_json(text), F.to_json(F.try_parse_json(text))), text)
 
 
 def as_rows(df: DataFrame) -> DataFrame:
@@ -99,10 +99,12 @@ def row_drop(df: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def reduce_json(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """``df`` with ``mode`` and ``compressed``: object, uniform array, short array, long array, scalar."""
-    rows = as_rows(df).withColumn("keys", shared_keys(F.col("rows")))
+    own = [c for c in df.columns if c not in ("mode", "compressed")]
+    rows = as_rows(df.select(F.struct(*(df[c] for c in own)).alias("row"), df["doc_id"].alias("doc_id"), df["text"].alias("text")))
+    rows = rows.withColumn("keys", shared_keys(F.col("rows")))
     uniform = F.lit(cfg.json_auto_columnar) & (F.col("items") >= cfg.json_columnar_min_rows) & F.col("keys").isNotNull()
     mode = (
-        F.when(F.try_parse_json("text").isNull(), "passthrough").when(F.col("text").rlike(r"^\s*\{"), "compact_object")
+        F.when(~is_whole_json(F.col("text")) | F.try_parse_json("text").isNull(), "passthrough").when(F.col("text").rlike(r"^\s*\{"), "compact_object")
         .when(F.col("items").isNull(), "compact_scalar").when(F.coalesce(uniform, F.lit(False)), "columnar")
         .when(F.col("items") <= cfg.json_max_rows_before_drop, "compact_array").otherwise("row_drop")
     )
@@ -112,6 +114,7 @@ def reduce_json(df: DataFrame, cfg: Config = Config()) -> DataFrame:
         .when(F.col("mode") == "compact_object", large_strings_out(canonical(F.col("text")), cfg))
         .when(F.col("mode") == "row_drop", F.lit(None)).otherwise(canonical(F.col("text")))
     )
-    rows = rows.withColumn("short", new).drop("rows", "items", "keys")
+    rows = rows.select("row", "doc_id", "text", "mode", new.alias("short"))
     long = row_drop(rows.where("mode = 'row_drop'").select("doc_id", "text"), cfg)
-    return rows.join(long, "doc_id", "left").withColumn("compressed", F.coalesce("short", "compressed")).drop("short")
+    joined = rows.join(long, "doc_id", "left")
+    return joined.select(*(F.col("row").getField(c).alias(c) for c in own), "mode", F.coalesce("short", "compressed").alias("compressed"))

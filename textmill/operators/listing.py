@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 
+#: The forms of a row and of the total.
 ROW = r"^([dlrwxs-]{10})\s+\d+\s+(\S+)\s+(\S+)\s+(\d+)\s+(\w+\s+\d+\s+\d+:\d+|\w+\s+\d+\s+\d{4})\s+(.+)\z"
 TOTAL = r"^total (\d+)"
 

@@ -46,34 +46,39 @@ def patterns(df: DataFrame) -> DataFrame:
 
 
 def kept_lines(df: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Output lines ``doc_id, pos, sub, out``, in order of pos and sub, with the headline and the cap."""
+    """Output lines ``doc_id, pos, sub, out``, in order of pos and sub, with the headline and the cap.
+
+    Texts are dealt out by id once, before they are cut into lines; all windows keep to that.
+    """
     group = Window.partitionBy("doc_id", "norm", "blank")
     order = group.orderBy("pos")
     full = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    doc = Window.partitionBy("doc_id").orderBy("pos")
-    rows = classified(df).withColumns({
+    whole, doc = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("pos")
+    rows = classified(df.select("doc_id", "text").repartition("doc_id")).withColumns({
         "n": F.count(F.lit(1)).over(group),
+        "new": F.row_number().over(order) == 1,
         "rn": F.row_number().over(Window.partitionBy("doc_id", "norm", "blank", "is_stack").orderBy("pos")),
         "first": F.first("line").over(full),
         "last": F.last("line").over(full),
     })
+    rows = rows.withColumns({
+        "n_lines": F.count(F.lit(1)).over(whole),
+        "n_unique": F.count(F.when(F.col("new") & ~F.col("blank") & (F.col("norm") != ""), 1)).over(whole),
+    })
     rows = rows.where(F.col("blank") | F.col("is_stack") | (F.col("rn") == 1))
-    totals = classified(df).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_distinct(F.when(~F.col("blank") & (F.col("norm") != ""), F.col("norm"))).alias("n_unique")
-    )
     many = (F.col("n") >= cfg.log_min_repetitions) & ~F.col("is_stack")
     counted = F.concat(F.lit("[x"), F.col("n"), F.lit("] "), F.col("first"))
     twice = many & (F.col("last") != F.col("first")) & F.lit(cfg.log_keep_first_last)
     out = F.when(F.col("blank"), F.array(F.lit(""))).when(twice, F.array(counted, F.concat(F.lit("[last]  "), F.col("last")))).when(many, F.array(counted))
-    rows = rows.select("doc_id", "pos", "blank", out.otherwise(F.array("line")).alias("outs"))
-    head = totals.where("n_lines > 20").select(
-        "doc_id", F.lit(-1).alias("pos"), F.lit(False).alias("blank"),
-        F.array(F.format_string("# %d lines, %d unique patterns", "n_lines", "n_unique")).alias("outs"),
-    )
-    rows = rows.unionByName(head).withColumn("before", F.lag("blank").over(doc)).where(~F.col("blank") | (F.col("before") == F.lit(False)))
-    lines = rows.select("doc_id", "pos", F.posexplode("outs").alias("sub", "out"))
+    # a text's first line is always among the rows: the headline stands before it
+    headed = (F.col("pos") == 0) & (F.col("n_lines") > 20)
+    headline = F.array(F.format_string("# %d lines, %d unique patterns", "n_lines", "n_unique"))
+    before = F.when(headed, F.lit(False)).otherwise(F.lag("blank").over(doc))
+    rows = rows.select("doc_id", "pos", "blank", out.otherwise(F.array("line")).alias("outs"), headed.alias("headed"), headline.alias("headline"), before.alias("before"))
+    rows = rows.where(~F.col("blank") | (F.col("before") == F.lit(False)))
+    lines = rows.select("doc_id", "pos", F.posexplode(F.when(F.col("headed"), F.concat("headline", "outs")).otherwise(F.col("outs"))).alias("sub", "out"))
     cap, half = cfg.log_max_lines_total, cfg.log_max_lines_total // 2
-    lines = lines.withColumns({"r": F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "sub")), "c": F.count(F.lit(1)).over(Window.partitionBy("doc_id"))})
+    lines = lines.withColumns({"r": F.row_number().over(whole.orderBy("pos", "sub")), "c": F.count(F.lit(1)).over(whole)})
     lines = lines.where((F.col("c") <= cap) | (F.col("r") <= half) | (F.col("r") > F.col("c") - half))
     cut = F.concat(F.lit("... "), F.col("c") - cap, F.lit(" more lines truncated ..."))
     both = F.when((F.col("c") > cap) & (F.col("r") == half), F.array(F.col("out"), cut)).otherwise(F.array("out"))

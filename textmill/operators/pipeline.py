@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..sources.scratch import written
 from .code import strip_c_like, strip_python
 from .detect import REDUCERS, accounted, detect, large_enough
 from .diff import reduce_diff
@@ -53,18 +54,21 @@ def _in_place(df: DataFrame, cfg: Config) -> DataFrame:
     return prose.withColumns({"mode": mode, "compressed": new})
 
 
-def reduce_all(df: DataFrame, cfg: Config = Config(), hint: str | None = None, detected: bool = False) -> DataFrame:
-    """The common result of every text of ``df`` (``doc_id``, ``text``) above the size gate.
+def reduce_all(df: DataFrame, cfg: Config = Config(), hint: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The common result of every text of ``df`` (``doc_id``, ``text``) above the size gate, with the columns ``keep``.
 
-    Ids must be unique. Each branch re-reads the classified rows; give ``detected=True``
-    with a persisted or written frame that has ``content_type`` where the source is costly.
+    ``df`` is read once: what passes the gate is classified and written in folders by
+    reducer, and each branch reads its own. Rows get a key of their own there, so null and
+    repeated ids are reduced like any other.
     """
-    kinds = df if detected else detect(large_enough(df, cfg), cfg, hint)
     named = F.create_map(*(F.lit(x) for pair in REDUCERS.items() for x in pair))
-    kinds = kinds.select("doc_id", "text", "content_type", named[F.col("content_type")].alias("compressor"))
-    grouped = [k for k, v in REDUCERS.items() if v in RUNNERS]
-    out = _in_place(kinds.where(~F.col("content_type").isin(grouped)), cfg).select(*_COLUMNS)
+    branch = F.when(F.col("compressor").isin(list(RUNNERS)), F.col("compressor")).otherwise("in_place")
+    kinds = detect(large_enough(df, cfg), cfg, hint).withColumn("compressor", named[F.col("content_type")])
+    extra = [c for c in keep if c != "text"]
+    kinds = kinds.select(F.monotonically_increasing_id().alias("row"), "doc_id", *extra, "text", "content_type", "compressor", branch.alias("branch"))
+    kinds = written(kinds, "classified", "branch").withColumnsRenamed({"doc_id": "id", "row": "doc_id"})
+    columns = ["id", *extra, *_COLUMNS[1:]]
+    out = _in_place(kinds.where("branch = 'in_place'"), cfg).select(columns)
     for name, run in RUNNERS.items():
-        own = [k for k, v in REDUCERS.items() if v == name]
-        out = out.unionByName(run(kinds.where(F.col("content_type").isin(own)), cfg).select(*_COLUMNS))
-    return accounted(out, cfg)
+        out = out.unionByName(run(kinds.where(F.col("branch") == name), cfg).select(columns))
+    return accounted(out.withColumnRenamed("id", "doc_id"), cfg, keep)

@@ -11,7 +11,6 @@ from .pipeline import reduce_all
 TOOL = "retrieve_original"
 _TOOL_TYPE = "struct<type:string,function:struct<name:string,description:string,parameters:string>>"
 _PARAMETERS = '{"type":"object","properties":{"hash":{"type":"string"},"query":{"type":"string"}},"required":["hash"]}'
-_PLACE = 1 << 12
 
 
 def tool_definition() -> Column:
@@ -38,14 +37,9 @@ def large_texts(requests: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def walk(requests: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """The common result of every accepted text, with its place."""
-    place = (F.col("request_id") * _PLACE + F.col("msg")) * _PLACE + F.col("item") + 1
-    done = reduce_all(large_texts(requests, cfg).select(place.alias("doc_id"), "text"), cfg).where("was_compressed")
-    return done.withColumns({
-        "request_id": F.floor(F.col("doc_id") / (_PLACE * _PLACE)),
-        "msg": F.pmod(F.floor(F.col("doc_id") / _PLACE), F.lit(_PLACE)).cast("int"),
-        "item": (F.pmod("doc_id", F.lit(_PLACE)) - 1).cast("int"),
-    })
+    """The common result of every accepted text, with its place ``request_id, msg, item``."""
+    rows = large_texts(requests, cfg).withColumn("doc_id", F.lit(None).cast("long"))
+    return reduce_all(rows, cfg, keep=("request_id", "msg", "item")).where("was_compressed").drop("doc_id")
 
 
 def transform_requests(requests: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -80,6 +74,11 @@ def resolve_calls(calls: DataFrame, store: DataFrame) -> DataFrame:
     return keyed.join(store.select("hash", "original"), "hash", "left").select("call_id", "name", "hash", "original")
 
 
+def transform_response(responses: DataFrame) -> DataFrame:
+    """Responses go back as they came: a hook for what a backend's answers need."""
+    return responses
+
+
 def strip_fields(requests: DataFrame, names: list[str]) -> DataFrame:
     """Requests without fields that a backend refuses."""
     return requests.drop(*names)

@@ -26,7 +26,7 @@ def parsed(df: DataFrame) -> DataFrame:
         F.when(line.rlike(MATCH), 1).when(line.rlike(CONTEXT), 2)
         .when(line.rlike(OTHER) & ~F.regexp_extract(line, OTHER, 1).endswith(".") & (F.length(F.regexp_extract(line, OTHER, 1)) > 2), 3).otherwise(0)
     )
-    rows = text_lines(df).where(strip(line) != "--").withColumn("form", form)
+    rows = text_lines(df.select("doc_id", "text").repartition("doc_id")).where(strip(line) != "--").withColumn("form", form)
     pick = lambda k: F.when(F.col("form") == 1, F.regexp_extract(line, MATCH, k)).when(F.col("form") == 2, F.regexp_extract(line, CONTEXT, k))
     rows = rows.select(
         "doc_id", "pos", "line", "form",
@@ -53,20 +53,22 @@ def ranked_files(matches: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def picked(df: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """The shown matches, with their file's rank; files stop after the one that reaches the total."""
-    matches = parsed(df)
-    files = ranked_files(matches, cfg)
-    limit = cfg.search_max_per_file
-    by_file = Window.partitionBy("doc_id", "file").orderBy(F.desc("score"), "lnum", "pos")
-    rows = matches.join(files.select("doc_id", "file", "rank", "n"), ["doc_id", "file"]).withColumn("rn", F.row_number().over(by_file))
+    """The shown matches, with their file's rank; files stop after the one that reaches the total.
+
+    Lines are cut and parsed once; everything after is a window within the text.
+    """
+    limit, file, doc = cfg.search_max_per_file, Window.partitionBy("doc_id", "file"), Window.partitionBy("doc_id")
+    rows = parsed(df).withColumns({"total": F.sum("score").over(file), "n": F.count(F.lit(1)).over(file), "first_pos": F.min("pos").over(file)})
+    rows = rows.withColumn("rank", F.dense_rank().over(doc.orderBy(F.desc("total"), "first_pos"))).where(F.col("rank") <= cfg.search_max_files)
+    rows = rows.withColumn("rn", F.row_number().over(file.orderBy(F.desc("score"), "lnum", "pos")))
     rows = rows.where((F.col("n") <= limit) | (F.col("rn") <= limit - 2) | (F.col("rn") == F.col("n")))
     same = F.row_number().over(Window.partitionBy("doc_id", "file", "lnum", "match", "score").orderBy("rn"))
     rows = rows.withColumn("same", same).where((F.col("n") <= limit) | (F.col("rn") <= limit - 2) | (F.col("same") == 1))
-    per_file = rows.groupBy("doc_id", "file", "rank").agg(F.count(F.lit(1)).alias("k"))
-    before = Window.partitionBy("doc_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    per_file = per_file.withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0)))
-    per_file = per_file.withColumn("n_top", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).where(F.col("before") < cfg.search_max_total)
-    return rows.join(per_file.select("doc_id", "file", "k", "n_top"), ["doc_id", "file"]).select("doc_id", "file", "rank", "n", "k", "n_top", "lnum", "match", "rn")
+    rows = rows.withColumns({"k": F.count(F.lit(1)).over(file), "once": F.row_number().over(file.orderBy("rn")) == 1})
+    earlier = doc.orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"before": F.coalesce(F.sum(F.when(F.col("once"), F.col("k"))).over(earlier), F.lit(0)), "n_top": F.max("rank").over(doc)})
+    rows = rows.where(F.col("before") < cfg.search_max_total)
+    return rows.select("doc_id", "file", "rank", "n", "k", F.col("n_top").cast("long").alias("n_top"), "lnum", "match", "rn")
 
 
 def reduce_search(df: DataFrame, cfg: Config = Config()) -> DataFrame:

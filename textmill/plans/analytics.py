@@ -75,6 +75,11 @@ def duration_histogram(logs: DataFrame) -> DataFrame:
     return durations(logs).groupBy("doc_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(ms > 100, 1)).alias("slow"))
 
 
+def slow_durations(logs: DataFrame, above: float = 100) -> DataFrame:
+    """The durations that count as slow, one row each."""
+    return durations(logs).where(F.col("ms") > above)
+
+
 def peak_hour_ips(logs: DataFrame) -> DataFrame:
     """The busiest hour of each log (the earlier on ties) and its distinct addresses."""
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "hour"))
@@ -85,13 +90,25 @@ def peak_hour_ips(logs: DataFrame) -> DataFrame:
 
 
 def report(logs: DataFrame) -> DataFrame:
-    """Per log: the most frequent address and path, with their counts."""
+    """Per log: the most frequent address and path with their counts, sums of status classes, and totals."""
 
     def top(counts: DataFrame, key: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), key))
         return counts.withColumn("rank", rank).where("rank = 1").select("doc_id", F.col(key).alias(f"top_{key}"), F.col("n").alias(f"top_{key}_n"))
 
-    return top(ip_counts(logs), "ip").join(top(path_counts(logs), "path"), "doc_id", "full")
+    tops = top(ip_counts(logs), "ip").join(top(path_counts(logs), "path"), "doc_id", "full")
+    return totals(logs).join(tops, "doc_id", "left").join(status_classes(logs), "doc_id", "left").na.fill(0, ["n_2xx", "n_4xx", "n_5xx"])
+
+
+def all_counts(logs: DataFrame) -> DataFrame:
+    """Everything that is counted about a log: ``doc_id, field, key, n``."""
+    parts = {"ip": ip_counts(logs), "status": status_counts(logs).withColumnRenamed("code", "key"), "path": path_counts(logs), "level": level_counts(logs), "hour": hour_counts(logs), "duration": duration_histogram(logs).withColumnRenamed("bucket", "key")}
+    out = None
+    for field, counts in parts.items():
+        key = "key" if "key" in counts.columns else field
+        one = counts.select("doc_id", F.lit(field).alias("field"), F.col(key).cast("string").alias("key"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,6 +131,7 @@ def savings_rollup(results: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("original_chars").alias("original"),
         F.sum(F.when(F.col("was_compressed"), F.col("compressed_chars")).otherwise(F.col("original_chars"))).alias("reduced"),
         F.max("compression_pct").alias("best_pct"), F.min("compression_pct").alias("worst_pct"),
+        F.bool_and(~F.col("was_compressed") | F.col("hash").isNotNull()).alias("all_reversible"),
     )
 
 

@@ -6,7 +6,7 @@ from ..config import PROFILES, profile
 from ..operators import detect, diff, listing, logs, search
 from ..sources.fixtures import oracle as fixture_sql
 from . import analytics
-from .queries import ALL_KINDS, OFFSET
+from .queries import ALL_KINDS, DETECTED, OFFSET
 
 NL = "chr(10)"
 
@@ -23,7 +23,7 @@ def lines(source: str) -> str:
     return f"(SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, {NL}) AS l FROM {source}))"
 
 
-ALL = "(" + " UNION ALL ".join(f"SELECT doc_id + {k * OFFSET} AS doc_id, kind, text FROM {fx(n)}" for k, n in enumerate(ALL_KINDS)) + ")"
+ALL = "(" + " UNION ALL ".join(f"SELECT doc_id + {k * OFFSET} AS doc_id, kind, text FROM {fx(n)}" for k, n in enumerate(DETECTED)) + ")"
 STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
@@ -144,12 +144,15 @@ ROW_DROP = f"""WITH o AS (SELECT o_custkey % 20 AS doc_id, '{{"id":' || o_orderk
         FROM (SELECT doc_id, max(c) AS c, string_agg(row, ',' ORDER BY rn) FILTER (rn <= 10) AS head, string_agg(row, ',' ORDER BY rn) FILTER (rn > c - 10) AS tail FROM o GROUP BY doc_id)
         JOIN r USING (doc_id) JOIN {fx("json_mixed")} f USING (doc_id)"""
 BODY = f"replace(replace(replace(text, {NL}, ' '), '\"', ' '), '\\', ' ')"
-OBJECTS = f"""SELECT doc_id, 'compact_object' AS mode, '{{"body":' || v || ',"id":' || doc_id || ',"meta":{{"lang":"' || lang || '","note":' || v || '}}}}' AS compressed
-        FROM (SELECT *, '"[stored:' || substr(sha256({BODY}), 1, 12) || ']"' AS v FROM documents WHERE n_chars > 1600)"""
 #: All documents: a body of the limit or more is stored, a shorter one stays.
-OBJECTS_ALL = f"""SELECT doc_id, 'compact_object' AS mode, '{{"body":' || v || ',"id":' || doc_id || ',"meta":{{"lang":"' || lang || '","note":' || v || '}}}}' AS compressed
+OBJECTS = f"""SELECT doc_id, 'compact_object' AS mode, '{{"body":' || v || ',"id":' || doc_id || ',"meta":{{"lang":"' || lang || '","note":' || v || '}}}}' AS compressed
         FROM (SELECT *, CASE WHEN length({BODY}) >= 1000 THEN '"[stored:' || substr(sha256({BODY}), 1, 12) || ']"' ELSE '"' || {BODY} || '"' END AS v FROM documents)"""
 
+JSON_MODES = f"""SELECT p_partkey AS doc_id, CASE p_partkey % 6 WHEN 0 THEN 'compact_array' WHEN 1 THEN 'compact_scalar' WHEN 4 THEN 'columnar' WHEN 5 THEN 'compact_array' ELSE 'passthrough' END AS mode,
+        CASE p_partkey % 6 WHEN 0 THEN '[{{"a":' || p_partkey || ',"b":"x,y"}},{{"a":2,"b":null}}]' WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN '{{"a": ' || p_partkey
+            WHEN 3 THEN '{{"a": 1}}{{"a": ' || p_partkey || '}}' WHEN 4 THEN 'COLUMNS' || {NL} || '# k, v' || {NL} || '1,"a,b"' || {NL} || '2,' || {NL} || '3,c' || {NL} || '4,' || {NL} || p_partkey || ',d e'
+            ELSE '[1,2,3,4,5,' || p_partkey || ']' END AS compressed FROM part"""
+
 DIFF = f"""(WITH a AS (SELECT *, regexp_matches(line, {q(diff.FILE)}) AS isf, regexp_matches(line, '^@@ -\\d+,?\\d* \\+\\d+,?\\d* @@') AS ish FROM {lines(fx("diff_git"))}),
         b AS (SELECT *, sum(isf::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS f FROM a),
         c AS (SELECT *, sum(ish::INT) OVER (PARTITION BY doc_id, f ORDER BY pos) AS h FROM b),
@@ -205,6 +208,8 @@ SIZES = f"SELECT conv_id, sum(length(text)) AS total_chars, sum(length(text)) >
 CANDIDATES = f"""SELECT h.*, CASE WHEN role = 'user' THEN compressed END AS new FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role IN ('user', 'assistant') ORDER BY turn DESC) AS back FROM {HISTORIES}) h
         JOIN ({SIZES}) USING (conv_id) WHERE triggered AND back > 2 AND role = 'user' AND length(text) >= 100"""
 ACCEPTED = f"SELECT *, round_even((1 - length(new) / length(text)) * 100, 1) AS pct, substr(sha256(text), 1, 12) AS hash FROM ({CANDIDATES}) WHERE length(text) > 3000 AND tool_text IS NOT NULL AND length(new) < length(text)"
+HISTORY_REWRITE = f"""SELECT h.conv_id, h.turn, h.role, CASE WHEN a.hash IS NOT NULL THEN '[Reduced: text of turn ' || h.turn || ' (' || CAST(round_even(a.pct, 0) AS INT) || '% saved), restore=' || a.hash || ']' ELSE h.text END AS text, a.hash
+        FROM {HISTORIES} h LEFT JOIN ({ACCEPTED}) a ON a.conv_id = h.conv_id AND a.turn = h.turn"""
 WALK = f"""SELECT conv_id AS request_id, CAST(msg AS INT) AS msg, CASE WHEN turn % 2 = 0 THEN 0 ELSE -1 END AS item, length(text) AS original_chars, length(compressed) AS compressed_chars
         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS msg FROM {HISTORIES})
         WHERE role = 'user' AND conv_id % 5 <> 0 AND length(text) > 3000 AND tool_text IS NOT NULL AND length(compressed) < length(text)"""
@@ -226,8 +231,18 @@ MS = f"(SELECT doc_id, CAST(unnest(regexp_extract_all(line, {q(analytics.DURATIO
 STATUS = f"(SELECT doc_id, CAST({first(analytics.STATUS)} AS INT) AS code FROM {ACCESS} WHERE regexp_matches(line, {q(analytics.STATUS)}))"
 EVERY_TEXT = f"SELECT kind, text FROM {ALL}"
 STORED = f"(SELECT substr(sha256(text), 1, 12) AS hash, min(doc_id) AS doc_id, any_value(text) AS text, any_value(compressed) AS compressed FROM {LOG_REDUCED} GROUP BY 1)"
+LOG_TOTALS = f"SELECT doc_id, len(string_split(text, {NL})) AS total_lines, length(text) AS total_chars FROM {fx('access_log')}"
+STATUS_CLASSES = f"SELECT doc_id, count(*) FILTER (code BETWEEN 200 AND 299) AS n_2xx, count(*) FILTER (code BETWEEN 400 AND 499) AS n_4xx, count(*) FILTER (code >= 500) AS n_5xx FROM {STATUS} GROUP BY doc_id"
 _IP_TOP = f"SELECT doc_id, ip AS top_ip, n AS top_ip_n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, ip) AS r FROM (SELECT doc_id, ip, count(*) AS n FROM {IPS} GROUP BY ALL)) WHERE r = 1"
 _PATH_TOP = f"SELECT doc_id, path AS top_path, n AS top_path_n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, path) AS r FROM ({PATHS})) WHERE r = 1"
+#: Every counted field by line, so that the lines outside the first ten can be counted apart.
+_FIELDS = f"""SELECT doc_id, 'ip' AS field, ip AS key, pos FROM {IPS}
+        UNION ALL SELECT doc_id, 'status', CAST(CAST({first(analytics.STATUS)} AS INT) AS VARCHAR), pos FROM {ACCESS} WHERE regexp_matches(line, {q(analytics.STATUS)})
+        UNION ALL SELECT doc_id, 'path', {first(analytics.PATH)} || ' ' || {first(analytics.PATH, 2)}, pos FROM {ACCESS} WHERE regexp_matches(line, {q(analytics.PATH)})
+        UNION ALL SELECT doc_id, 'level', {first(analytics.LEVEL)}, pos FROM {ACCESS} WHERE regexp_matches(line, {q(analytics.LEVEL)})
+        UNION ALL SELECT doc_id, 'hour', {first(analytics.STAMP)}, pos FROM {ACCESS} WHERE regexp_matches(line, {q(analytics.STAMP)})
+        UNION ALL SELECT doc_id, 'duration', CASE WHEN ms < 10 THEN '<10ms' WHEN ms < 100 THEN '10-100ms' WHEN ms < 500 THEN '100-500ms' ELSE '>500ms' END, pos
+            FROM (SELECT doc_id, pos, CAST(unnest(regexp_extract_all(line, {q(analytics.DURATION)}, 1)) AS DOUBLE) AS ms FROM {ACCESS})"""
 #: Blocks are what blank lines part; adjacent blocks of equal patterns form an island.
 BLOCKS = f"""WITH c AS (SELECT *, sum(blank::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM {log_class(fx("logs_mixed"))}),
         b AS (SELECT doc_id, block, min(pos) AS pos, list(norm ORDER BY pos) AS key, string_agg(line, {NL} ORDER BY pos) AS body FROM c WHERE NOT blank GROUP BY doc_id, block),
@@ -243,8 +258,8 @@ ORACLE_SQL: dict[str, str] = {
     "detect_scores": SCORES,
     "detect_kind": DETECT,
     "hint_override": f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'logs' ELSE content_type END AS content_type FROM ({DETECT})",
-    "summary_lines": f"""SELECT doc_id, '[compress text: ' || format('{{:,}}', CAST(original_chars AS BIGINT)) || '→' || format('{{:,}}', CAST(compressed_chars AS BIGINT)) || ' chars (' || printf('%+.1f', compression_pct)
-        || '%), saved ~' || est_token_savings || ' tokens | restore: ' || hash || ']' AS summary FROM ({TEXT_REDUCE})""",
+    "summary_lines": f"""SELECT doc_id, CASE WHEN NOT was_compressed THEN '' ELSE '[compress ' || content_type || ': ' || format('{{:,}}', CAST(original_chars AS BIGINT)) || '→' || format('{{:,}}', CAST(compressed_chars AS BIGINT)) || ' chars (' || printf('%+.1f', compression_pct)
+        || '%), saved ~' || est_token_savings || ' tokens | restore: ' || hash || ']' END AS summary FROM ({PIPELINE})""",
     "log_normalize": f"SELECT doc_id, pos, norm, is_error, is_stack FROM {log_class(fx('logs_mixed'))}",
     "log_score": f"SELECT doc_id, pos, score FROM {log_class(fx('logs_mixed'))}",
     "log_patterns": f"SELECT doc_id, norm, count(*) AS n, min(pos) AS first_pos FROM {log_class(fx('logs_mixed'))} WHERE NOT blank AND norm <> '' GROUP BY doc_id, norm",
@@ -263,9 +278,8 @@ ORACLE_SQL: dict[str, str] = {
     "json_row_drop": ROW_DROP,
     "json_ranges": RANGES,
     "json_large_strings": OBJECTS,
-    "json_stored_strings": f"SELECT doc_id, {BODY} AS original, substr(sha256({BODY}), 1, 12) AS hash FROM documents, range(2) WHERE n_chars > 1600",
-    "json_large_strings_all": OBJECTS_ALL,
-    "json_stored_strings_all": f"SELECT doc_id, {BODY} AS original, substr(sha256({BODY}), 1, 12) AS hash FROM documents, range(2) WHERE length({BODY}) >= 1000",
+    "json_stored_strings": f"SELECT doc_id, {BODY} AS original, substr(sha256({BODY}), 1, 12) AS hash FROM documents, range(2) WHERE length({BODY}) >= 1000",
+    "json_modes": JSON_MODES,
     "diff_lines": f"SELECT doc_id, role, kept, count(*) AS n FROM {DIFF} GROUP BY ALL",
     "diff_stats": f"SELECT doc_id, least(max(f), 20) AS files_affected, count(*) FILTER (role = 'add') AS additions, count(*) FILTER (role = 'delete') AS deletions, count(*) FILTER (role = 'hunk' AND kept) AS hunks_kept FROM {DIFF} GROUP BY doc_id",
     "diff_reduce": _DIFF_TEXT,
@@ -273,21 +287,20 @@ ORACLE_SQL: dict[str, str] = {
     "py_strip": PY,
     "c_strip": C,
     "pipeline_all": f"SELECT doc_id, content_type, original_chars, compressed_chars, was_compressed, coalesce(est_token_savings, 0) AS est_token_savings, coalesce(compression_pct, 0) AS compression_pct, coalesce(hash, '') AS hash FROM ({PIPELINE})",
-    "store_put": f"""SELECT DISTINCT substr(sha256(text), 1, 12) AS hash, length(text) AS original_chars, len(string_split(text, {NL})) AS original_lines FROM {fx("logs_iso")} WHERE doc_id % 3 = 0
-        AND sha256(text) NOT IN (SELECT sha256(text) FROM {fx("logs_iso")} WHERE doc_id % 2 = 0)""",
-    "store_get": f"SELECT substr(sha256(text), 1, 12) AS hash, text AS original FROM {fx('logs_iso')} WHERE doc_id % 5 = 0 UNION ALL SELECT 'none' || range, NULL FROM range(3)",
-    "store_put_all": f"""SELECT DISTINCT substr(sha256(text), 1, 12) AS hash, length(text) AS original_chars, len(string_split(text, {NL})) AS original_lines, CASE WHEN sha256(text) < 'b' THEN 1 ELSE 2 END AS batch
+    "store_put": f"""SELECT DISTINCT substr(sha256(text), 1, 12) AS hash, length(text) AS original_chars, len(string_split(text, {NL})) AS original_lines, CASE WHEN sha256(text) < 'b' THEN 1 ELSE 2 END AS batch
         FROM {fx("logs_iso")}""",
-    "store_get_all": f"SELECT substr(sha256(text), 1, 12) AS hash, text AS original FROM {fx('logs_iso')} UNION ALL SELECT 'none' || range, NULL FROM range(3)",
+    "store_get": f"SELECT substr(sha256(text), 1, 12) AS hash, text AS original FROM {fx('logs_iso')} UNION ALL SELECT 'none' || range, NULL FROM range(3)",
     "store_retention": f"SELECT hash FROM {STORED} ORDER BY doc_id DESC, hash LIMIT 50",
     "store_stats": f"SELECT count(*) AS entries, coalesce(sum(strlen(text) + strlen(compressed)), 0) AS total_bytes, 500 AS max_entries FROM {STORED}",
     "round_trip": f"SELECT kind, count(*) AS n, count(*) AS restored FROM ({EVERY_TEXT}) GROUP BY kind",
     "history_trigger": SIZES,
     "history_candidates": f"SELECT conv_id, turn FROM ({CANDIDATES})",
-    "history_rewrite": f"""SELECT h.conv_id, h.turn, h.role, CASE WHEN a.hash IS NOT NULL THEN '[Reduced: text of turn ' || h.turn || ' (' || CAST(round_even(a.pct, 0) AS INT) || '% saved), restore=' || a.hash || ']' ELSE h.text END AS text, a.hash
-        FROM {HISTORIES} h LEFT JOIN ({ACCEPTED}) a ON a.conv_id = h.conv_id AND a.turn = h.turn""",
-    "history_stats": f"""SELECT s.*, coalesce(n, 0) AS compressed_count, coalesce(saved, 0) AS chars_saved, coalesce(tokens, 0) AS tokens_saved_estimate FROM ({SIZES}) s LEFT JOIN
-        (SELECT conv_id, count(*) AS n, sum(length(text) - length(new)) AS saved, sum((length(text) - length(new)) // 4) AS tokens FROM ({ACCEPTED}) GROUP BY conv_id) USING (conv_id)""",
+    "history_rewrite": HISTORY_REWRITE,
+    "history_items": HISTORY_REWRITE,
+    "history_stats": f"""SELECT s.*, coalesce(n, 0) AS compressed_count, coalesce(saved, 0) AS chars_saved, coalesce(tokens, 0) AS tokens_saved_estimate, coalesce(e, '') AS entries FROM ({SIZES}) s LEFT JOIN
+        (SELECT conv_id, count(*) AS n, sum(length(text) - length(new)) AS saved, sum((length(text) - length(new)) // 4) AS tokens,
+            string_agg(turn || ':' || hash || ':' || length(text) || ':' || length('[Reduced: text of turn ' || turn || ' (' || CAST(round_even(pct, 0) AS INT) || '% saved), restore=' || hash || ']'), ',' ORDER BY turn) AS e
+        FROM ({ACCEPTED}) GROUP BY conv_id) USING (conv_id)""",
     "request_walk": WALK,
     "request_transform": f"""SELECT h.request_id, coalesce(n, 0) AS compressed, coalesce(saved, 0) AS total_saved, CASE WHEN request_id % 4 = 0 OR n > 0 THEN 1 ELSE 0 END AS n_tools, chars - coalesce(saved, 0) AS chars
         FROM (SELECT conv_id AS request_id, sum(length(text)) AS chars FROM {HISTORIES} GROUP BY conv_id) h
@@ -296,9 +309,9 @@ ORACLE_SQL: dict[str, str] = {
     "resolve_calls": f"""SELECT doc_id AS call_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN substr(sha256(text), 1, 12) ELSE 'unknown' END AS hash,
         CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 = 0 THEN length(text) ELSE 0 END AS original_chars FROM {fx("logs_iso")}""",
     "profile_detect": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{p if profile(p) else p}')" for p in PROFILES) + ") t(given, detected)",
-    "log_totals": f"SELECT doc_id, len(string_split(text, {NL})) AS total_lines, length(text) AS total_chars FROM {fx('access_log')}",
+    "log_totals": LOG_TOTALS,
     "log_ip_counts": f"SELECT doc_id, ip, count(*) AS n FROM {IPS} GROUP BY ALL",
-    "log_status_classes": f"SELECT doc_id, count(*) FILTER (code BETWEEN 200 AND 299) AS n_2xx, count(*) FILTER (code BETWEEN 400 AND 499) AS n_4xx, count(*) FILTER (code >= 500) AS n_5xx FROM {STATUS} GROUP BY doc_id",
+    "log_status_classes": STATUS_CLASSES,
     "log_status_counts": f"SELECT doc_id, code, count(*) AS n FROM {STATUS} GROUP BY ALL",
     "log_paths": PATHS,
     "log_levels": counted(analytics.LEVEL, "level", first(analytics.LEVEL)),
@@ -307,15 +320,17 @@ ORACLE_SQL: dict[str, str] = {
     "log_duration_hist": f"SELECT doc_id, CASE WHEN ms < 10 THEN '<10ms' WHEN ms < 100 THEN '10-100ms' WHEN ms < 500 THEN '100-500ms' ELSE '>500ms' END AS bucket, count(*) AS n, count(*) FILTER (ms > 100) AS slow FROM {MS} GROUP BY ALL",
     "log_peak_ips": f"""SELECT doc_id, peak_hour, count(DISTINCT ip) AS n_ips FROM (SELECT a.doc_id, p.hour AS peak_hour, unnest(regexp_extract_all(line, {q(analytics.IP)})) AS ip FROM {ACCESS} a
         JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, hour) AS r FROM ({HOURS})) p ON p.doc_id = a.doc_id AND r = 1 AND {first(analytics.STAMP)} = p.hour) GROUP BY ALL""",
-    "log_report": f"SELECT * FROM ({_IP_TOP}) FULL JOIN ({_PATH_TOP}) USING (doc_id)",
+    "log_report": f"""SELECT * REPLACE (coalesce(n_2xx, 0) AS n_2xx, coalesce(n_4xx, 0) AS n_4xx, coalesce(n_5xx, 0) AS n_5xx) FROM ({LOG_TOTALS}) LEFT JOIN ({_IP_TOP}) USING (doc_id)
+        LEFT JOIN ({_PATH_TOP}) USING (doc_id) LEFT JOIN ({STATUS_CLASSES}) USING (doc_id)""",
+    "log_slow": f"SELECT doc_id, ms FROM {MS} WHERE ms > 100",
     "analysis_diff": f"""SELECT doc_id, ip, count(*) AS n_left, count(*) FILTER (pos >= 10) AS n_right FROM {IPS} GROUP BY doc_id, ip HAVING count(*) <> count(*) FILTER (pos >= 10)""",
+    "analysis_diff_all": f"SELECT doc_id, field, key, count(*) AS n_left, count(*) FILTER (pos >= 10) AS n_right FROM ({_FIELDS}) GROUP BY ALL HAVING count(*) <> count(*) FILTER (pos >= 10)",
     "merge_by_time": "SELECT 's' || (event_id % 3) AS source, ts, event_id AS seq, event_type AS line FROM events",
-    "savings_rollup": f"SELECT content_type, count(*) AS n, sum(original_chars) AS original, sum(CASE WHEN was_compressed THEN compressed_chars ELSE original_chars END) AS reduced, max(compression_pct) AS best_pct, min(compression_pct) AS worst_pct FROM ({TEXT_REDUCE}) GROUP BY ROLLUP (content_type)",
-    "cost_projection": f"SELECT t AS tokens, round(t / 1e6 * 2, 6) AS per_run, round(t / 1e6 * 2 * 100, 4) AS per_day, round(t / 1e6 * 2 * 100 * 365, 2) AS per_year FROM (SELECT sum(est_token_savings) AS t FROM ({TEXT_REDUCE}))",
+    "savings_rollup": f"SELECT content_type, count(*) AS n, sum(original_chars) AS original, sum(CASE WHEN was_compressed THEN compressed_chars ELSE original_chars END) AS reduced, max(compression_pct) AS best_pct, min(compression_pct) AS worst_pct, bool_and(NOT was_compressed OR hash IS NOT NULL) AS all_reversible FROM ({PIPELINE}) GROUP BY ROLLUP (content_type)",
+    "cost_projection": f"SELECT t AS tokens, round(t / 1e6 * 2, 6) AS per_run, round(t / 1e6 * 2 * 100, 4) AS per_day, round(t / 1e6 * 2 * 100 * 365, 2) AS per_year FROM (SELECT sum(est_token_savings) AS t FROM ({PIPELINE}))",
     "latency_summary": "SELECT event_type AS kind, round(avg(floor(value)), 3) AS avg_ms, CAST(min(floor(value)) AS BIGINT) AS min_ms, CAST(max(floor(value)) AS BIGINT) AS max_ms, quantile_cont(floor(value), 0.5) AS p50_ms FROM events GROUP BY 1",
     "recent_list": "SELECT name, ts, seq FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY ts DESC, seq) AS r FROM (SELECT CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS name, ts, event_id AS seq FROM events)) WHERE r = 1 ORDER BY ts DESC, seq LIMIT 10",
-    "field_fidelity": "SELECT count(*) AS id, count(*) AS meta, count(*) AS body, count(*) AS n FROM documents WHERE n_chars > 1600",
-    "field_fidelity_all": "SELECT count(*) AS id, count(*) AS meta, count(*) AS body, count(*) AS n FROM documents",
+    "field_fidelity": "SELECT count(*) AS id, count(*) AS meta, count(*) AS body, count(*) AS n FROM documents",
     "stream_text_reduce": f"SELECT doc_id, length(compressed) AS compressed_chars, CASE WHEN length(compressed) < length(text) THEN substr(sha256(text), 1, 12) END AS hash FROM ({prose(fx('text_blank'))})",
 }
 

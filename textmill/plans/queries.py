@@ -22,6 +22,8 @@ CFG = Config()
 HISTORY = Config(history_threshold_chars=5000, history_keep_recent=2)
 #: Fixtures that go through the whole pipeline, and the offsets that keep their ids apart.
 ALL_KINDS = ["logs_mixed", "json_uniform", "search_multi", "diff_git", "listing", "code_py", "code_c", "text_blank"]
+#: Those, and the fixtures that only detection tells apart.
+DETECTED = [*ALL_KINDS, "build_log", "code_js", "code_ts", "code_rust"]
 OFFSET = 1_000_000_000
 FIXED_TIME = "2024-01-01 00:00:00"
 
@@ -30,9 +32,9 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def all_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_fixtures(spark: SparkSession, sf_dir: str, names: list[str] = DETECTED) -> DataFrame:
     out = None
-    for k, name in enumerate(ALL_KINDS):
+    for k, name in enumerate(names):
         part = fixture(spark, sf_dir, name).select((F.col("doc_id") + k * OFFSET).alias("doc_id"), "kind", "text")
         out = part if out is None else out.unionByName(part)
     return out
@@ -47,6 +49,26 @@ def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", "turn", "role", F.when(F.col("role") == "user", F.coalesce("tool_text", "text")).otherwise(F.col("text")).alias("text"))
 
 
+def item_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same conversations; in every second one user turns are lists of a short text and a tool result."""
+    listed = (F.col("conv_id") % 2 == 0) & (F.col("role") == "user")
+    none = F.lit(None).cast("string")
+    items = F.array(
+        F.struct(F.lit("text").alias("type"), F.lit("see below").alias("text"), none.alias("content")), F.struct(F.lit("tool_result").alias("type"), none.alias("text"), F.col("text").alias("content"))
+    )
+    return histories(spark, sf_dir).select("conv_id", "turn", "role", F.when(~listed, F.col("text")).alias("text"), F.when(listed, items).alias("items"))
+
+
+def history_items(spark, sf_dir):
+    done = history.rewrite(item_histories(spark, sf_dir), HISTORY)
+    return done.select("conv_id", "turn", "role", F.coalesce("text", F.col("items")[1]["content"]).alias("text"), "hash")
+
+
+def history_stats(spark, sf_dir):
+    entries = F.transform("entries", lambda e: F.concat_ws(":", e["turn"], e["hash"], e["original_size"], e["compressed_size"]))
+    return history.stats(histories(spark, sf_dir), HISTORY).withColumn("entries", F.coalesce(F.array_join(entries, ","), F.lit("")))
+
+
 def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as nested requests; every second user turn is a tool result."""
     rows = histories(spark, sf_dir)
@@ -99,16 +121,19 @@ def hint_override(spark, sf_dir):
     return detect.detect(rows, hint="hint").select("doc_id", "content_type")
 
 
+def reduced_kinds(spark, sf_dir):
+    return reduce_all(all_fixtures(spark, sf_dir, ALL_KINDS), hint="kind")
+
+
 def pipeline_all(spark, sf_dir):
-    done = reduce_all(all_fixtures(spark, sf_dir), hint="kind")
-    return done.select(
+    return reduced_kinds(spark, sf_dir).select(
         "doc_id", "content_type", "original_chars", "compressed_chars", "was_compressed", F.coalesce("est_token_savings", F.lit(0)).alias("est_token_savings"),
         F.coalesce("compression_pct", F.lit(0.0)).alias("compression_pct"), F.coalesce("hash", F.lit("")).alias("hash"),
     )
 
 
 def summary_lines(spark, sf_dir):
-    return detect.summary_line(text_reduce(spark, sf_dir))
+    return detect.summary_line(reduced_kinds(spark, sf_dir))
 
 
 def round_trip(spark, sf_dir):
@@ -120,19 +145,6 @@ def round_trip(spark, sf_dir):
 
 
 def store_put(spark, sf_dir):
-    """Two batches that overlap: what the second adds to the first."""
-    texts = fixture(spark, sf_dir, "logs_iso").withColumns({"compressed": F.lit(""), "content_type": F.lit("logs"), "compressed_at": F.lit(FIXED_TIME).cast("timestamp")})
-    first, second = store.entries(texts.where("doc_id % 2 = 0")), store.entries(texts.where("doc_id % 3 = 0"))
-    return store.fresh(second, first).select("hash", "original_chars", "original_lines")
-
-
-def store_get(spark, sf_dir):
-    kept = stored(spark, sf_dir)
-    keys = fixture(spark, sf_dir, "logs_iso").where("doc_id % 5 = 0").select(content_key(F.col("text")).alias("hash"))
-    return store.lookup(keys.unionByName(spark.range(3).select(F.concat(F.lit("none"), F.col("id")).alias("hash"))), kept).select("hash", "original")
-
-
-def store_put_all(spark, sf_dir):
     """Two batches by key that overlap and hold every text together: what the store has after both, and which put it."""
     texts = fixture(spark, sf_dir, "logs_iso").withColumns({"compressed": F.lit(""), "content_type": F.lit("logs"), "compressed_at": F.lit(FIXED_TIME).cast("timestamp")})
     key = content_key(F.col("text"))
@@ -141,7 +153,7 @@ def store_put_all(spark, sf_dir):
     return held.select("hash", "original_chars", "original_lines", "batch")
 
 
-def store_get_all(spark, sf_dir):
+def store_get(spark, sf_dir):
     """The keys of all texts, and three that the store doesn't hold."""
     keys = fixture(spark, sf_dir, "logs_iso").select(content_key(F.col("text")).alias("hash"))
     return store.lookup(keys.unionByName(spark.range(3).select(F.concat(F.lit("none"), F.col("id")).alias("hash"))), stored(spark, sf_dir)).select("hash", "original")
@@ -186,6 +198,13 @@ def analysis_diff(spark, sf_dir):
     return found.na.fill(0, ["n_left", "n_right"])
 
 
+def analysis_diff_all(spark, sf_dir):
+    """Every field of the analysis of all lines against that of lines outside the first ten."""
+    whole = fixture(spark, sf_dir, "access_log")
+    later = text_lines(whole).where("pos >= 10").groupBy("doc_id").agg(F.array_join(F.collect_list("line"), "\n").alias("text"))
+    return analytics.difference(analytics.all_counts(whole), analytics.all_counts(later), ["doc_id", "field", "key"]).na.fill(0, ["n_left", "n_right"])
+
+
 def merge_by_time(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     parts = [events.where(f"event_id % 3 = {k}").select(F.lit(f"s{k}").alias("source"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("line")) for k in range(3)]
@@ -204,13 +223,13 @@ def recent_list(spark, sf_dir):
     return analytics.recent(events.select(name.alias("name"), "ts", F.col("event_id").alias("seq")))
 
 
-def field_fidelity(spark, sf_dir, name="json_object"):
-    texts = fixture(spark, sf_dir, name).select("text", json.canonical(F.col("text")).alias("restored"))
+def field_fidelity(spark, sf_dir):
+    texts = fixture(spark, sf_dir, "json_object").select("text", json.canonical(F.col("text")).alias("restored"))
     return analytics.field_fidelity(texts, ["id", "meta", "body"])
 
 
 def cost_projection(spark, sf_dir):
-    done = analytics.cost_projection(text_reduce(spark, sf_dir))
+    done = analytics.cost_projection(reduced_kinds(spark, sf_dir))
     return done.select("tokens", F.round("per_run", 6).alias("per_run"), F.round("per_day", 4).alias("per_day"), F.round("per_year", 2).alias("per_year"))
 
 
@@ -241,8 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_ranges": _fx("json_mixed", lambda d: json.numeric_ranges(json.as_rows(d))),
     "json_large_strings": _fx("json_object", lambda d: json.reduce_json(d).select("doc_id", "mode", "compressed")),
     "json_stored_strings": _fx("json_object", lambda d: json.stored_strings(d)),
-    "json_large_strings_all": _fx("json_object_all", lambda d: json.reduce_json(d).select("doc_id", "mode", "compressed")),
-    "json_stored_strings_all": _fx("json_object_all", lambda d: json.stored_strings(d)),
+    "json_modes": _fx("json_values", lambda d: json.reduce_json(d).select("doc_id", "mode", "compressed")),
     "diff_lines": _fx("diff_git", lambda d: diff.marked_lines(d).groupBy("doc_id", "role", "kept").agg(F.count(F.lit(1)).alias("n"))),
     "diff_stats": _fx("diff_git", diff.stats),
     "diff_reduce": _fx("diff_git", diff.reduce_diff),
@@ -252,15 +270,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline_all": pipeline_all,
     "store_put": store_put,
     "store_get": store_get,
-    "store_put_all": store_put_all,
-    "store_get_all": store_get_all,
     "store_retention": lambda s, d: store.retained(stored(s, d), Config(store_max_entries=50)).select("hash"),
     "store_stats": lambda s, d: store.stats(stored(s, d)),
     "round_trip": round_trip,
     "history_trigger": lambda s, d: history.conversation_sizes(histories(s, d), HISTORY),
     "history_candidates": lambda s, d: history.candidates(histories(s, d), HISTORY).where("candidate").select("conv_id", "turn"),
     "history_rewrite": lambda s, d: history.rewrite(histories(s, d), HISTORY),
-    "history_stats": lambda s, d: history.stats(histories(s, d), HISTORY),
+    "history_stats": history_stats,
+    "history_items": history_items,
     "request_walk": lambda s, d: requests.walk(chat_requests(s, d)).select("request_id", "msg", "item", "original_chars", "compressed_chars"),
     "request_transform": request_transform,
     "tool_inject": tool_inject,
@@ -275,15 +292,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "log_errors": _access(analytics.error_messages),
     "log_hours": _access(analytics.hour_counts),
     "log_duration_hist": _access(analytics.duration_histogram),
+    "log_slow": _access(analytics.slow_durations),
     "log_peak_ips": _access(analytics.peak_hour_ips),
     "log_report": _access(analytics.report),
     "analysis_diff": analysis_diff,
+    "analysis_diff_all": analysis_diff_all,
     "merge_by_time": merge_by_time,
-    "savings_rollup": lambda s, d: analytics.savings_rollup(text_reduce(s, d)),
+    "savings_rollup": lambda s, d: analytics.savings_rollup(reduced_kinds(s, d)),
     "cost_projection": cost_projection,
     "latency_summary": latency_summary,
     "recent_list": recent_list,
     "field_fidelity": field_fidelity,
-    "field_fidelity_all": lambda spark, sf_dir: field_fidelity(spark, sf_dir, "json_object_all"),
     "stream_text_reduce": lambda s, d: stream_text_reduce(fixture(s, d, "text_blank")).select("doc_id", "compressed_chars", "hash"),
 }

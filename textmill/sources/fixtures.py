@@ -34,7 +34,7 @@ FIXTURES = {
                 CASE WHEN o_orderkey % 3 = 0 THEN ', "vip": 1' ELSE '' END AS extra FROM orders) x GROUP BY doc_id""",
     "json_object": """
         SELECT doc_id, 'json' AS kind, '{"id": ' || CAST(doc_id AS VARCHAR(20)) || ', "meta": {"lang": "' || lang || '", "note": "' || body || '"}, "body": "' || body || '"}' AS text
-        FROM (SELECT doc_id, lang, replace(replace(replace(text, chr(10), ' '), '"', ' '), '\\', ' ') AS body FROM documents WHERE n_chars > 1600) x""",
+        FROM (SELECT doc_id, lang, replace(replace(replace(text, chr(10), ' '), '"', ' '), '\\', ' ') AS body FROM documents) x""",
     "search_multi": """
         SELECT doc_id % 20 AS doc_id, 'search_results' AS kind, @agg(CASE (doc_id * 7 + pos) % 11
             WHEN 0 THEN '--'
@@ -83,13 +83,39 @@ FIXTURES = {
                 || event_type || ' (from 10.1.0.' || CAST(event_id % 20 AS VARCHAR(9)) || ')'
             ELSE '[' || @fmt(ts) || '] ' || CAST(event_id % 700 AS VARCHAR(9)) || '.5ms 3 rows | SELECT ' || event_type END; event_id) AS text
         FROM events GROUP BY user_id % 10""",
+    "build_log": """
+        SELECT user_id AS doc_id, 'build_output' AS kind, @agg(CASE event_id % 5
+            WHEN 0 THEN 'error: cannot find ' || event_type
+            WHEN 1 THEN 'warning: unused ' || event_type
+            WHEN 2 THEN CAST(event_id % 90 AS VARCHAR(9)) || ' tests passed'
+            WHEN 3 THEN 'step ' || event_type || ' FAILED'
+            ELSE '   compiling ' || event_type END; event_id) AS text
+        FROM events GROUP BY user_id""",
+    "code_js": """
+        SELECT p_partkey % 8 AS doc_id, 'code_javascript' AS kind, @agg(CASE p_partkey % 4 WHEN 0 THEN 'const a' WHEN 1 THEN 'let b' WHEN 2 THEN 'function f' ELSE 'export default g' END
+            || CAST(p_partkey AS VARCHAR(20)) || ' = ' || CAST(p_size AS VARCHAR(9)) || ';'; p_partkey) AS text
+        FROM part GROUP BY p_partkey % 8""",
+    "code_ts": """
+        SELECT p_partkey % 8 AS doc_id, 'code_typescript' AS kind, @agg(CASE p_partkey % 3 WHEN 0 THEN 'interface P' WHEN 1 THEN 'type Q' ELSE 'enum R' END
+            || CAST(p_partkey AS VARCHAR(20)) || ' { size: number; name: string }'; p_partkey) AS text
+        FROM part GROUP BY p_partkey % 8""",
+    "code_rust": """
+        SELECT p_partkey % 8 AS doc_id, 'code_rust' AS kind, @agg(CASE p_partkey % 4 WHEN 0 THEN 'pub fn f' WHEN 1 THEN 'struct S' WHEN 2 THEN '#[test] // t' ELSE 'impl T' END
+            || CAST(p_partkey AS VARCHAR(20)) || ' { ' || CAST(p_size AS VARCHAR(9)) || ' }'; p_partkey) AS text
+        FROM part GROUP BY p_partkey % 8""",
+    "json_values": """
+        SELECT p_partkey AS doc_id, 'json' AS kind, CASE p_partkey % 6
+            WHEN 0 THEN '[{"b": "x,y", "a": ' || CAST(p_partkey AS VARCHAR(20)) || '}, {"a": 2, "b": null}]'
+            WHEN 1 THEN CAST(p_size AS VARCHAR(9))
+            WHEN 2 THEN '{"a": ' || CAST(p_partkey AS VARCHAR(20))
+            WHEN 3 THEN '{"a": 1}{"a": ' || CAST(p_partkey AS VARCHAR(20)) || '}'
+            WHEN 4 THEN '[{"v": "a,b", "k": 1}, {"v": null, "k": 2}, {"k": 3, "v": "c"}, {"k": 4, "v": ""}, {"k": ' || CAST(p_partkey AS VARCHAR(20)) || ', "v": "d e"}]'
+            ELSE '[1, 2, 3, 4, 5, ' || CAST(p_partkey AS VARCHAR(20)) || ']' END AS text
+        FROM part""",
     "text_blank": """
         SELECT doc_id, 'text' AS kind, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END AS text FROM documents WHERE n_chars > 3000""",
 }
 
-#: Every document, whatever its length.
-FIXTURES["json_object_all"] = FIXTURES["json_object"].replace(" WHERE n_chars > 1600", "")
-
 _TABLES = ["documents", "events", "orders", "lineitem", "part"]
 
 

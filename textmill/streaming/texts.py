@@ -18,6 +18,7 @@ from ..functions.text import content_key
 from ..operators.detect import accounted, detect, large_enough
 from ..operators.pipeline import reduce_all
 from ..operators.text import reduce_text
+from ..sources.scratch import clear
 from ..sources.store import Store
 
 
@@ -37,13 +38,10 @@ def reduce_stream(texts: DataFrame, sink: Callable[[DataFrame], None], checkpoin
     """All reducers on every micro-batch; ``sink`` gets the batch's common result."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        df = df.persist()
-        try:
-            result = reduce_all(df, cfg)
-            sink(result)
-            if store is not None:
-                store.put(result.where("was_compressed").join(df.select("doc_id", "text"), "doc_id"))
-        finally:
-            df.unpersist()
+        result = reduce_all(df, cfg, keep=("text",))
+        sink(result.drop("text"))
+        if store is not None:
+            store.put(result.where("was_compressed"))
+        clear(df.sparkSession)
 
     return texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
