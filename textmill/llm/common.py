@@ -26,16 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (local tests) a folder of our own is set.
+    Only where it is unset in a session without other machines (tests) a folder of our own is set.
     """
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textmill-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textmill-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def written(df: DataFrame, what: str, paths: list[str] | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_slices, slices, texts_of, written
+from .common import join_hot, map_slices, slices, texts_of, written
 
 #: Size of the bitmap that tells which texts to compare byte by byte (4 MB).
 FILTER_BITS = 1 << 25
@@ -124,8 +124,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``fingerprint`` and ``group_id``: the smallest id with the same canonical text."""
     marked = written(digests(docs).select("doc_id", F.col("digest").alias("fingerprint")), "digests")
     marked = _resolved(docs, marked)
-    groups = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"))
-    return marked.join(groups, "fingerprint").select("doc_id", "fingerprint", "group_id")
+    groups = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n"))
+    return join_hot(marked, groups, "fingerprint", marked.count()).select("doc_id", "fingerprint", "group_id")
 
 
 def _resolved(docs: DataFrame, marked: DataFrame) -> DataFrame:
@@ -133,8 +133,9 @@ def _resolved(docs: DataFrame, marked: DataFrame) -> DataFrame:
     apart = written(collisions(docs, marked), "collisions")
     if apart.isEmpty():
         return marked
-    apart = apart.withColumnRenamed("digest", "fingerprint")
-    return marked.join(apart, ["doc_id", "fingerprint"], "left").withColumn("fingerprint", F.coalesce("own", "fingerprint")).select(*marked.columns)
+    apart = apart.select(F.col("doc_id").alias("of"), "digest", "own")
+    joined = marked.join(apart, marked["doc_id"].eqNullSafe(apart["of"]) & (marked["fingerprint"] == apart["digest"]), "left")
+    return joined.select(*(F.coalesce("own", "fingerprint").alias(c) if c == "fingerprint" else marked[c] for c in marked.columns))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

@@ -282,7 +282,7 @@ def node_of(fp: bytes) -> int:
     return _signed(int.from_bytes(fp, "big") if len(fp) == 8 else xxhash.xxh64_intdigest(fp, 42))
 
 
-def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
+def links(nodes: DataFrame, tables: list[np.ndarray], radius: int, paths: list[str] | None = None) -> DataFrame:
     """The links between nodes, of each bucket a forest of nearest ones: ``u`` and ``v``, the smaller.
 
     A row of the shuffle is a bucket and the fingerprint.
@@ -309,7 +309,7 @@ def links(nodes: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     keyed = nodes.select("fp").mapInArrow(key_of, "key long, fp binary")
-    large = large_buckets(nodes.select("fp").mapInArrow(keys_only, "key long"))
+    large = large_buckets(nodes.select("fp").mapInArrow(keys_only, "key long"), paths)
     if not large.isEmpty():
         rows = join_hot(keyed, large, "key", nodes.count() * len(tables), "left")
         many = rows.where("blocks IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
@@ -362,7 +362,7 @@ def _stacked(raw: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """``node`` and ``root`` (its component's smallest node) of all nodes in ``edges`` (``u``, ``v``).
 
     Each round gives every node's neighbours to the smallest of them, first the larger
@@ -395,20 +395,24 @@ def components(edges: DataFrame) -> DataFrame:
         if after == seen:
             break
         seen = after
+    if paths is not None:
+        paths += old
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_groups(docs: DataFrame, words: int, bits: int, tables: list[np.ndarray], radius: int) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``: the smallest id that links lead to, its own included."""
+    paths: list[str] = []
     marked = written(fingerprints(docs, words, bits), "simhash")
     total = marked.count()
     node = F.xxhash64("fp") if bits > 64 else F.conv(F.hex("fp"), 16, -10).cast("long")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", node)
-    nodes = written(nodes, "nodes")
-    rooted = nodes.join(components(links(nodes, tables, radius)), "node", "left")
-    rooted = written(rooted.select("fp", "first", F.col("n").alias("copies"), F.coalesce("root", "node").alias("root")), "rooted")
+    nodes = written(nodes, "nodes", paths)
+    rooted = nodes.join(components(links(nodes, tables, radius, paths), paths), "node", "left")
+    rooted = written(rooted.select("fp", "first", F.col("n").alias("copies"), F.coalesce("root", "node").alias("root")), "rooted", paths)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
     named = written(join_hot(rooted, lowest, "root", total).select("fp", "component_id", F.col("copies").alias("n")), "named")
+    remove_written(docs.sparkSession, *paths)
     return join_hot(marked, named, "fp", total).select("doc_id", "fp", "component_id")
 
 
@@ -563,7 +567,7 @@ def near_parts(docs: DataFrame, nodes: DataFrame, words: int, radius: int, simil
     edges = F.col("hub").alias("u"), F.col("leaf").alias("v")
     tested = written(confirmed(near, sets, similarity), "tested", paths)
     alike = tested.where("alike").select(*edges)
-    now = _parted(known, components(alike), paths)
+    now = _parted(known, components(alike, paths), paths)
     if dealt:
         degree = alike.groupBy(F.col("u").alias("node")).count()
         held = join_hot(now.select(key, "node", "part", "size", "fp"), large, "key", total)
@@ -573,7 +577,7 @@ def near_parts(docs: DataFrame, nodes: DataFrame, words: int, radius: int, simil
         rows = held.withColumns({"key": F.xxhash64("key", block), "ask": F.lit(0)}).select(asks.columns).unionByName(asks)
         found = _compared(rows, radius, similarity, False).groupBy("leaf").agg(F.max("hub").alias("hub"))
         second = written(confirmed(written(found, "near", paths), sets, similarity), "tested", paths)
-        now = _parted(known, components(alike.unionByName(second.where("alike").select(*edges))), paths)
+        now = _parted(known, components(alike.unionByName(second.where("alike").select(*edges)), paths), paths)
     rows = now.select(key, "node", "part", "size", "fp")
     if dealt:
         rows = join_hot(rows, large, "key", total, "left")
@@ -585,7 +589,7 @@ def near_parts(docs: DataFrame, nodes: DataFrame, words: int, radius: int, simil
     last = found.groupBy(F.least("hub", "leaf").alias("a"), F.greatest("hub", "leaf").alias("b")).agg(F.max(F.struct("hub", "leaf", "hub_part", "leaf_part")).alias("x"))
     last = written(last.select("x.*"), "near", paths)
     joined = confirmed(last, sets, similarity).where("alike").join(last, ["hub", "leaf"])
-    again = components(joined.select(F.col("hub_part").alias("u"), F.col("leaf_part").alias("v")))
+    again = components(joined.select(F.col("hub_part").alias("u"), F.col("leaf_part").alias("v")), paths)
     return now.select("node", "part"), again.select(F.col("node").alias("part"), "root")
 
 
