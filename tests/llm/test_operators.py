@@ -196,6 +196,8 @@ def test_quality_on_held_out_rows(spark):
 
 def test_knn_is_an_exact_vote(docs, labels, edges):
     model = quality_knn.fit(docs, labels)
+    tied = quality_knn.Model(model.idf, model.basis, np.ones((3000, 1), np.float32), np.array([1.0] * 15 + [0.0] * 2985))
+    assert tied.vote(np.ones((2, 1), np.float32)) == pytest.approx([15.025 / 15.05] * 2)
     sample = [t for _, t in texts(docs)[:40]]
     v = model.project(features.unit_rows(sample, model.idf))
     got = model.vote(v)
@@ -401,12 +403,15 @@ def test_toxicity_ranks_held_out_rows(spark):
 # --- 6 byte-level BPE
 
 
-def test_transducer_is_the_library():
+def byte_library():
     import tiktoken
 
-    bpe = byte_bpe.ByteBpe(BYTE_BPE, public_tokenizers.PATTERN)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTE_BPE, "rb"))}
-    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_transducer_is_the_library():
+    bpe, library = byte_bpe.ByteBpe(BYTE_BPE, public_tokenizers.PATTERN), byte_library()
     rng = random.Random(1)
     letters = list("ab's't 're  12²½ªµ.,!?\n\t\x85\xa0\x1c\x1d İıŁſΣσςéé́ö日本🙂ǅﬁA")
     made = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(3000)]
@@ -418,11 +423,29 @@ def test_transducer_is_the_library():
     assert bpe.transducer.encode(b" encyclopaedias") == library.encode_ordinary(" encyclopaedias")
 
 
+def test_utf8_machine_in_any_chunks():
+    rng = random.Random(9)
+    some = ["a", "é", "ß", "日", "🙂", "\U0010ffff"]
+    for _ in range(3000):
+        raw = b"".join(rng.choice([rng.choice(some).encode(), rng.choice(some).encode()[:1], bytes([rng.randrange(256)])]) for _ in range(8))
+        machine, out, at = byte_bpe.Utf8Machine(), [], 0
+        while at < len(raw):
+            step = rng.randint(1, 4)
+            out.append(machine.feed(raw[at : at + step]))
+            assert len(machine.held) < 4
+            at += step
+        assert "".join([*out, machine.finish()]) == raw.decode("utf-8", "replace")
+
+
 def test_round_trip(spark, docs, edges):
+    encoding = byte_library()
     for df in (docs, edges):
         sent = collections.Counter((d, hashlib.sha256(t.encode()).hexdigest()) for d, t in texts(df))
         rows = byte_bpe.round_trip(df, BYTE_BPE, public_tokenizers.PATTERN).collect()
         assert collections.Counter((r["doc_id"], r["decoded_sha256"]) for r in rows) == sent
+        ids = [(d, encoding.encode_ordinary(t)) for d, t in texts(df)]
+        digest = lambda x: hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest()
+        assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in rows) == collections.Counter((d, len(x), digest(x)) for d, x in ids)
         ids = byte_bpe.encode(df, BYTE_BPE, public_tokenizers.PATTERN)
         back = byte_bpe.decode(ids, BYTE_BPE, public_tokenizers.PATTERN)
         assert collections.Counter(map(tuple, back.collect())) == collections.Counter(texts(df))
@@ -440,7 +463,9 @@ def test_edited_fingerprints(spark, docs):
         edited = text[: len(text) - half] + following[:half]
         assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (doc, len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert r["edited_fingerprint"] == fingerprints.digest(fingerprints.canonical(edited))
+        assert r["fingerprint"] == fingerprints.digest(fingerprints.canonical(text))
         assert r["near_next"] == (fingerprints.canonical(text) == fingerprints.canonical(following))
+        assert r["near_edited"] == (fingerprints.canonical(text) == fingerprints.canonical(edited))
 
 
 def test_fingerprint_edges(spark, edges):

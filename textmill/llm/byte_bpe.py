@@ -187,27 +187,50 @@ class Transducer:
         return out
 
 
+def _utf8_moves() -> list[dict[int, int]]:
+    """Moves of the UTF-8 machine, by state and byte; a byte without a move ends in an error.
+
+    State 0 is between characters, 1 to 3 wait for that many bytes of any kind, the others
+    for a second byte whose range the first one narrows (no overlong form, no surrogate,
+    nothing beyond U+10FFFF).
+    """
+    more = range(0x80, 0xC0)
+    narrow = {0xE0: (range(0xA0, 0xC0), 1), 0xED: (range(0x80, 0xA0), 1), 0xF0: (range(0x90, 0xC0), 2), 0xF4: (range(0x80, 0x90), 2)}
+    moves: list[dict[int, int]] = [dict.fromkeys(range(0x80), 0) | dict.fromkeys(range(0xC2, 0xE0), 1) | dict.fromkeys(range(0xE1, 0xF0), 2) | dict.fromkeys(range(0xF1, 0xF4), 3)]
+    moves += [dict.fromkeys(more, 0), dict.fromkeys(more, 1), dict.fromkeys(more, 2)]
+    for first, (second, then) in narrow.items():
+        moves[0][first] = len(moves)
+        moves.append(dict.fromkeys(second, then))
+    return moves
+
+
 class Utf8Machine:
-    """Incremental decoding: what ends in the middle of a character waits for the next bytes."""
+    """Incremental decoding: the bytes of a character that isn't over wait for the next ones.
+
+    The machine's state at the end of a chunk follows from its last bytes, from the last
+    one that can begin a character on; all before is decoded at once.
+    """
+
+    MOVES = _utf8_moves()
 
     def __init__(self):
         self.held = b""
 
-    @staticmethod
-    def unfinished(data: bytes) -> int:
-        """Bytes at the end that begin a character without ending it."""
+    def waiting(self, data: bytes) -> int:
+        """Bytes at the end that bring the machine into a state that waits for more."""
         for back in range(1, min(3, len(data)) + 1):
-            lead = data[-back]
-            if lead < 0x80:
-                return 0
-            if lead >= 0xC0:
-                need = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                return back if back < need else 0
+            if data[-back] < 0x80 or data[-back] > 0xBF:
+                state: int | None = 0
+                for byte in data[-back:]:
+                    state = self.MOVES[state].get(byte)
+                    if state is None:
+                        return 0
+                return back if state else 0
         return 0
 
     def feed(self, data: bytes) -> str:
         data = self.held + data
-        k = self.unfinished(data)
+        k = self.waiting(data)
         data, self.held = (data[:-k], data[-k:]) if k else (data, b"")
         return data.decode("utf-8", errors="replace")
 
