@@ -329,8 +329,8 @@ def large_buckets(keys: DataFrame, paths: list[str] | None = None) -> DataFrame:
     return written(counted.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"), "n"), "buckets", paths)
 
 
-def by_bucket(run: Callable[[pa.Table], pa.RecordBatch]):
-    """``run`` on tables of whole buckets, given batches in order of ``key``."""
+def by_bucket(run: Callable[[pa.Table], pa.RecordBatch], at_once: int = 8 * BLOCK):
+    """``run`` on tables of whole buckets, of about ``at_once`` rows, given batches in order of ``key``."""
 
     def buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -338,7 +338,7 @@ def by_bucket(run: Callable[[pa.Table], pa.RecordBatch]):
         for part in batches:
             held.append(part)
             size += part.num_rows
-            if size < 8 * BLOCK:
+            if size < at_once:
                 continue
             rows = pa.Table.from_batches(held)
             key = rows.column("key").to_numpy()
@@ -424,8 +424,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 #: Corpus de-duplication: five words, similarity of 0.8 or more. At a Jaccard similarity of
 #: 0.8 (a cosine of 0.89) a bit differs with probability 0.152, so of 512 bits 78 do, with a
-#: standard deviation of 8: the radius is three deviations beyond.
-CORPUS = {"words": 5, "bits": 512, "radius": 102, "similarity": 0.8}
+#: standard deviation of 8: the radius is three deviations beyond. Texts that have such a
+#: neighbour are compared by fingerprints of 4,096 bits after that, with the radius alike.
+CORPUS = {"words": 5, "bits": 512, "radius": 102, "wide": 4096, "wide_radius": 690, "similarity": 0.8}
 #: Tables, and the least hashes that key a bucket. Single bits of a fingerprint tell too
 #: little to key buckets of a large corpus (16 of them make 65,536 buckets, whatever the
 #: rows), so here a table's key is the least shingle hash in each of four orders: two texts
@@ -468,17 +469,18 @@ def corpus_marks(docs: DataFrame, words: int, bits: int, tables: tuple[int, int]
 
 
 def _compare_by(radius: int, similarity: float, best: bool):
-    """Compares buckets of rows ``key, node, part, size, ask, fp``: ``hub``, ``leaf``, their parts, ``rank``.
+    """Compares buckets of rows ``key, node, part, size, ask, pivot, far, fp``: ``hub``, ``leaf``, their parts, ``rank``.
 
     Nodes whose parts differ and whose sizes allow the similarity are linked if they are
-    within the radius. ``ask`` is 1 for rows that are only compared with others, 0 for
+    within the radius. Two nodes whose Jaccard distances ``far`` from the same ``pivot``
+    differ by more than that of a link can't be alike (the distance is a metric). ``ask`` is 1 for rows that are only compared with others, 0 for
     those that others are only compared with, 2 for both. With ``best`` a node is linked
     only to that of its neighbours that has most neighbours (``rank``); the rest of the
     nodes of a dealt bucket (``ask`` 3, as 2) come out without a hub.
     """
 
     def run(rows: pa.Table) -> pa.RecordBatch:
-        key, node, part, size, ask = (rows.column(c).to_numpy() for c in ("key", "node", "part", "size", "ask"))
+        key, node, part, size, ask, pivot, far = (rows.column(c).to_numpy() for c in ("key", "node", "part", "size", "ask", "pivot", "far"))
         runs, fps = _runs(key), _stacked(rows.column("fp").to_pylist())
         low, high = size * similarity, size / similarity
 
@@ -486,6 +488,7 @@ def _compare_by(radius: int, similarity: float, best: bool):
             r, lane = _pairs(mask, base)
             a, b = asking[r], owner[lane]
             ok = (part[a] != part[b]) & (ask[a] > 0) & (ask[b] != 1) & (size[b] >= low[a] - 1e-9) & (size[b] <= high[a] + 1e-9)
+            ok &= (pivot[a] != pivot[b]) | (np.abs(far[a] - far[b]) <= 1 - similarity + 1e-9)
             return a[ok], b[ok]
 
         none = np.empty(0, np.int64)
@@ -515,7 +518,7 @@ def _compare_by(radius: int, similarity: float, best: bool):
         columns = [hub, *(pa.array(x, pa.int64()) for x in (node[b], part[a], part[b], rank))]
         return pa.RecordBatch.from_arrays(columns, names=["hub", "leaf", "hub_part", "leaf_part", "rank"])
 
-    return by_bucket(run)
+    return by_bucket(run, BLOCK if not best else 8 * BLOCK)
 
 
 def _mixed(runs: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -531,11 +534,11 @@ _LINK = "hub long, leaf long, hub_part long, leaf_part long, rank long"
 
 
 def _compared(rows: DataFrame, radius: int, similarity: float, best: bool) -> DataFrame:
-    rows = rows.select("key", "node", "part", "size", "ask", "fp").repartition("key").sortWithinPartitions("key", "node")
+    rows = rows.select("key", "node", "part", "size", "ask", "pivot", "far", "fp").repartition("key").sortWithinPartitions("key", "node")
     return rows.mapInArrow(_compare_by(radius, similarity, best), _LINK)
 
 
-def near_parts(docs: DataFrame, nodes: DataFrame, words: int, radius: int, similarity: float, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def near_parts(docs: DataFrame, nodes: DataFrame, words: int, radius: int, wide: int, wide_radius: int, similarity: float, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """The ``part`` of every ``node`` that has a neighbour, and the ``root`` of parts that belong together.
 
     Every pair of a bucket that is within the radius and could be similar enough is
@@ -552,7 +555,7 @@ def near_parts(docs: DataFrame, nodes: DataFrame, words: int, radius: int, simil
     total = nodes.select(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     dealt = not large.isEmpty()
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    rows = nodes.select(key, "node", F.col("node").alias("part"), "size", "fp")
+    rows = nodes.select(key, "node", F.col("node").alias("part"), "size", F.col("node").alias("pivot"), F.lit(0.0).alias("far"), "fp")
     if dealt:
         rows = join_hot(rows, large, "key", total, "left").withColumns({"key": F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", block)), "ask": F.when(F.col("blocks").isNull(), 2).otherwise(3)})
     else:
@@ -563,29 +566,33 @@ def near_parts(docs: DataFrame, nodes: DataFrame, words: int, radius: int, simil
     near = first.where("hub IS NOT NULL")
     known = first.select(F.col("leaf").alias("node")).unionByName(near.select(F.col("hub").alias("node"))).distinct()
     known = written(nodes.join(known, "node", "left_semi"), "known", paths)
-    sets = written(shingle_sets(docs, known, words), "sets", paths)
-    edges = F.col("hub").alias("u"), F.col("leaf").alias("v")
+    sets = written(shingle_sets(docs, known, words, wide), "sets", paths)
+    edges, own = (F.col("hub").alias("u"), F.col("leaf").alias("v")), ("part", "size", "pivot", "far", "fp")
     tested = written(confirmed(near, sets, similarity), "tested", paths)
     alike = tested.where("alike").select(*edges)
+    pivots = tested.select(F.col("leaf").alias("node"), F.col("hub").alias("pivot"), (1 - F.col("jaccard")).alias("far"))
+    known = known.drop("fp").join(sets.select("node", F.col("wide").alias("fp")), "node")
+    known = known.join(pivots, "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "far": F.coalesce("far", F.lit(0.0))})
+    known = written(known, "known", paths)
     now = _parted(known, components(alike, paths), paths)
     if dealt:
         degree = alike.groupBy(F.col("u").alias("node")).count()
-        held = join_hot(now.select(key, "node", "part", "size", "fp"), large, "key", total)
-        centre = held.join(degree, "node").groupBy("key", "blocks").agg(F.max_by(F.struct("node", "part", "size", "fp"), F.struct("count", "node")).alias("c"))
+        held = join_hot(now.select(key, "node", *own), large, "key", total)
+        centre = held.join(degree, "node").groupBy("key", "blocks").agg(F.max_by(F.struct("node", *own), F.struct("count", "node")).alias("c"))
         asks = centre.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "c.*")
-        asks = asks.select(F.xxhash64("key", "block").alias("key"), "node", "part", "size", "fp", F.lit(1).alias("ask"))
+        asks = asks.select(F.xxhash64("key", "block").alias("key"), "node", *own, F.lit(1).alias("ask"))
         rows = held.withColumns({"key": F.xxhash64("key", block), "ask": F.lit(0)}).select(asks.columns).unionByName(asks)
-        found = _compared(rows, radius, similarity, False).groupBy("leaf").agg(F.max("hub").alias("hub"))
+        found = _compared(rows, wide_radius, similarity, False).groupBy("leaf").agg(F.max("hub").alias("hub"))
         second = written(confirmed(written(found, "near", paths), sets, similarity), "tested", paths)
         now = _parted(known, components(alike.unionByName(second.where("alike").select(*edges)), paths), paths)
-    rows = now.select(key, "node", "part", "size", "fp")
+    rows = now.select(key, "node", *own)
     if dealt:
         rows = join_hot(rows, large, "key", total, "left")
         few, many = rows.where("blocks IS NULL").drop("blocks"), rows.where("blocks IS NOT NULL")
         rows = few.withColumn("ask", F.lit(2)).unionByName(_left_over(many, total))
     else:
         rows = rows.withColumn("ask", F.lit(2))
-    found = _compared(rows, radius, similarity, False)
+    found = _compared(rows, wide_radius, similarity, False)
     last = found.groupBy(F.least("hub", "leaf").alias("a"), F.greatest("hub", "leaf").alias("b")).agg(F.max(F.struct("hub", "leaf", "hub_part", "leaf_part")).alias("x"))
     last = written(last.select("x.*"), "near", paths)
     joined = confirmed(last, sets, similarity).where("alike").join(last, ["hub", "leaf"])
@@ -595,7 +602,7 @@ def near_parts(docs: DataFrame, nodes: DataFrame, words: int, radius: int, simil
 
 def _parted(known: DataFrame, roots: DataFrame, paths: list[str]) -> DataFrame:
     joined = known.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
-    return written(joined.select("node", "part", "size", "fp", "keys"), "parted", paths)
+    return written(joined.select("node", "part", "size", "pivot", "far", "fp", "keys"), "parted", paths)
 
 
 def _left_over(held: DataFrame, total: int) -> DataFrame:
@@ -611,11 +618,11 @@ def _left_over(held: DataFrame, total: int) -> DataFrame:
     own = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
     members = rows.select("*", own("blocks").alias("m"), up_to("rest").alias("r"), F.lit(0).alias("ask"))
     asks = rows.where("part <> most").select("*", own("rest").alias("r"), up_to("blocks").alias("m"), F.lit(1).alias("ask"))
-    return members.unionByName(asks).select(F.xxhash64("key", "m", "r").alias("key"), "node", "part", "size", "fp", "ask")
+    return members.unionByName(asks).select(F.xxhash64("key", "m", "r").alias("key"), "node", "part", "size", "pivot", "far", "fp", "ask")
 
 
-def shingle_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
-    """``node`` and ``shingles`` of the nodes ``asked``.
+def shingle_sets(docs: DataFrame, asked: DataFrame, words: int, wide: int) -> DataFrame:
+    """``node``, ``shingles`` and a ``wide`` fingerprint of the nodes ``asked``.
 
     Only one row of each is dealt out: a bitmap of fixed size on the row's hash keeps
     most others from it, the node tells the rest apart.
@@ -631,22 +638,21 @@ def shingle_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
         at = part.column(0).to_numpy() & (FILTER_BITS - 1)
         hit = np.flatnonzero(bitmap.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
         found = [shingle_set(part.column(1)[int(k)].as_py(), words) for k in hit]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([node_of_set(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["node", "shingles"]
-        )
+        columns = [pa.array([node_of_set(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([_majority(x, wide) for x in found], pa.binary())], names=["node", "shingles", "wide"])
 
-    looked_up = map_slices(docs.select(row_hash(docs).alias("same"), docs["text"].alias("text")), sets, "node long, shingles array<long>")
-    return looked_up.groupBy("node").agg(F.first("shingles").alias("shingles")).join(asked.select("node"), "node", "left_semi")
+    looked_up = map_slices(docs.select(row_hash(docs).alias("same"), docs["text"].alias("text")), sets, "node long, shingles array<long>, wide binary")
+    return looked_up.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("wide").alias("wide")).join(asked.select("node"), "node", "left_semi")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``hub``, ``leaf`` and whether they are ``alike``: a Jaccard similarity of at least that much.
+    """``hub``, ``leaf``, their ``jaccard`` similarity and whether it makes them ``alike``.
 
     The links of a hub are dealt into groups by their leaf, and its set is sent to each
     group once, so that no task has all links of a hub, and no link carries its hub's set.
     """
     group = F.pmod(F.xxhash64("leaf"), F.lit(DEALT)).alias("group")
-    pairs = pairs.select("hub", "leaf", group)
+    pairs, sets = pairs.select("hub", "leaf", group), sets.select("node", "shingles")
     leaves = pairs.join(sets, pairs["leaf"] == sets["node"]).select("hub", "group", "leaf", "shingles")
     hubs = pairs.select("hub", "group").distinct().join(sets, F.col("hub") == sets["node"]).select("hub", "group", F.lit(None).cast("long").alias("leaf"), "shingles")
     rows = leaves.unionByName(hubs).repartition("hub", "group").sortWithinPartitions("hub", "group", F.col("leaf").asc_nulls_first())
@@ -654,7 +660,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.empty(0, np.int64)
         for part in batches:
-            hubs, leaves, alike = [], [], []
+            hubs, leaves, found = [], [], []
             lists = part.column(3)
             starts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             for k, (hub, leaf) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
@@ -666,19 +672,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 shared = int((own[at] == other).sum())
                 hubs.append(hub)
                 leaves.append(leaf)
-                alike.append(shared >= similarity * (len(own) + len(other) - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(leaves, pa.int64()), pa.array(alike, pa.bool_())], names=["hub", "leaf", "alike"])
+                found.append(shared / (len(own) + len(other) - shared))
+            columns = [pa.array(hubs, pa.int64()), pa.array(leaves, pa.int64()), pa.array(found, pa.float64()), pa.array([x >= similarity - 1e-9 for x in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["hub", "leaf", "jaccard", "alike"])
 
-    return rows.mapInArrow(run, "hub long, leaf long, alike boolean")
+    return rows.mapInArrow(run, "hub long, leaf long, jaccard double, alike boolean")
 
 
-def similar_groups(docs: DataFrame, words: int, bits: int, radius: int, similarity: float, tables: tuple[int, int], paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def similar_groups(
+    docs: DataFrame, words: int, bits: int, radius: int, wide: int, wide_radius: int, similarity: float, tables: tuple[int, int], paths: list[str]
+) -> tuple[DataFrame, DataFrame]:
     """``id`` and ``same`` of each group's row of smallest id (null after all others), and of the rows that are there more than once."""
     marked = written(corpus_marks(docs, words, bits, tables), "simhash", paths)
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "same")).alias("first")
     nodes = marked.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = written(nodes, "nodes", paths)
-    now, again = near_parts(docs, nodes, words, radius, similarity, paths)
+    now, again = near_parts(docs, nodes, words, radius, wide, wide_radius, similarity, paths)
     by_part = nodes.select("node", "first").join(now, "node", "left").groupBy(F.coalesce("part", "node").alias("part")).agg(F.min("first").alias("first"))
     groups = by_part.join(again, "part", "left").groupBy(F.coalesce("root", "part").alias("root")).agg(F.min("first").alias("first"))
     return groups.select("first.id", "first.same"), marked.groupBy("id", "same").count().where("count > 1").select("id", "same")
