@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textmill.config import Config
+from textmill.config import Config, from_file, from_session
 from textmill.operators import history, requests
 from textmill.operators.pipeline import reduce_all
 from textmill.sources import files
@@ -113,3 +113,66 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["retrieve", "nothing", "--store", store], spark) == 1
     assert main(["stats", "--store", store], spark) == 0 and "1 entries" in capsys.readouterr().out
     assert main(["clear", "--store", store], spark) == 0 and not (tmp_path / "store").exists()
+
+
+def test_dispatch_reads_its_source_once(spark, tmp_path):
+    """The source is classified and written once; the result reads the written table only."""
+    spark.createDataFrame([(1, LOG), (2, "prose " * 3000)], "doc_id long, text string").write.parquet(str(tmp_path / "source"))
+    done = reduce_all(spark.read.parquet(str(tmp_path / "source")))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "source" not in plan and plan.count("classified") > 0 and done.count() == 2
+
+
+def test_null_and_repeated_ids_are_reduced(spark):
+    texts = spark.createDataFrame([(None, LOG), (None, LOG + "\nmore"), (1, LOG), (1, LOG), (2, "prose " * 3000), (None, "prose " * 3000)], "doc_id long, text string")
+    rows = reduce_all(texts).collect()
+    assert len(rows) == 6 and all(r["was_compressed"] for r in rows) and sum(r["doc_id"] is None for r in rows) == 3
+
+
+def test_far_places_in_requests_and_conversations(spark):
+    far = [("assistant", "x", None)] * 5000 + [("user", LOG, None)]
+    rows = spark.createDataFrame([(2**60, False, None, far)], files.REQUEST)
+    found = requests.walk(rows).first()
+    assert (found["request_id"], found["msg"], found["item"]) == (2**60, 5000, -1)
+    turns = [(2**60, 0, "user", LOG), (2**60, 1, "assistant", LOG), (2**60, 2**40, "user", "ok")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = {r["turn"]: r["text"] for r in history.rewrite(df, Config(history_threshold_chars=10, history_keep_recent=1)).collect()}
+    assert out[0].startswith("[Reduced: text of turn 0 (") and out[1] == LOG and out[2**40] == "ok"
+
+
+def test_items_in_history(spark):
+    """Contents of items count, their texts don't; the first large tool result or text gives way."""
+    schema = "conv_id long, turn long, role string, text string, items array<struct<type:string,text:string,content:string>>"
+    items = [("text", "short", None), ("tool_result", None, LOG), ("text", LOG + "!", None)]
+    turns = [(1, 0, "user", None, items), (1, 1, "user", None, [("text", LOG, None)]), (1, 2, "user", "new", None), (2, 0, "user", None, [("text", LOG, None)]), (2, 1, "user", "x", None)]
+    df = spark.createDataFrame(turns, schema)
+    cfg = Config(history_threshold_chars=2000, history_keep_recent=1)
+    assert {r["conv_id"]: r["total_chars"] for r in history.conversation_sizes(df, cfg).collect()} == {1: len(LOG) + 3, 2: 1}
+    out = {(r["conv_id"], r["turn"]): r for r in history.rewrite(df, cfg).collect()}
+    assert out[1, 0]["items"][1]["content"].startswith("[Reduced: text of turn 0") and out[1, 0]["items"][2]["text"] == LOG + "!" and out[1, 0]["items"][0]["text"] == "short"
+    assert out[1, 1]["items"][0]["text"].startswith("[Reduced: text of turn 1") and out[2, 0]["items"][0]["text"] == LOG
+    stats = {r["conv_id"]: r for r in history.stats(df, cfg).collect()}
+    assert [e["turn"] for e in stats[1]["entries"]] == [0, 1] and stats[2]["compressed_count"] == 0
+
+
+def test_texts_that_share_a_short_key_are_all_kept(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), Config(hash_length=1))
+    store.put(results(spark, *map(str, range(40))))
+    assert store.read().count() == 40 and store.read().select("hash").distinct().count() <= 16
+    assert store.get(store.read().select("hash").distinct()).count() == 40
+
+
+def test_an_eviction_that_is_cut_off_loses_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.put(results(spark, "a", "b"))
+    (tmp_path / "store").rename(tmp_path / "store.old")
+    assert store.read().count() == 2 and (tmp_path / "store").exists()
+
+
+def test_thresholds_from_file_and_session(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("# ours\nprofile: aggressive\nlog_min_repetitions: 7\njson_auto_columnar: false\n")
+    cfg = from_file(str(tmp_path / "c.yaml"))
+    assert (cfg.log_min_repetitions, cfg.json_auto_columnar, cfg.text_max_chars) == (7, False, 5000)
+    spark.conf.set("textmill.search_max_files", "3")
+    assert from_session(spark).search_max_files == 3
+    spark.conf.unset("textmill.search_max_files")
