@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from textmill.llm import byte_bpe, features, fingerprints, html_text, packing, pii, quality_knn, quality_rules, simhash, token_counts, toxicity
+from textmill.llm import byte_bpe, common, features, fingerprints, html_text, packing, pii, quality_knn, quality_rules, simhash, token_counts, toxicity
 from textmill.llm.queries import BYTE_BPE, QUERIES, WORD_BPE
 from textmill.llm.word_bpe import WordBpe
 
@@ -739,6 +739,25 @@ def test_repeats_make_no_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == [*range(6), 10, 11, 12]
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_salted(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "LEAST", 5)
+    rows = [(bytearray([k % 4 if k < 80 else k]), k) for k in range(120)]
+    left = spark.createDataFrame(rows, "fp binary, id long")
+    right = left.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("hex(fp) <> '02'").withColumn("name", F.hex("fp"))
+    plain, salted = left.join(right.drop("n"), "fp", how), common.join_hot(left, right, "fp", 120, how)
+    assert salted.columns == plain.columns and sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_groups_with_hot_keys(spark, monkeypatch):
+    """The query with every key taken for hot gives the same groups."""
+    rows = [(i, f"one two three four {i % 3}" if i < 60 else f"other {i} text {i}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted(map(tuple, simhash.near_duplicates(df).collect()))
+    monkeypatch.setattr(common, "LEAST", 0)
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect())) == expected
+
+
 # --- pipeline
 
 
