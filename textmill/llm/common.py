@@ -79,18 +79,18 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, how: str =
     ``right`` holds each key once, with ``n``, its number of rows in ``left``, which has
     ``total`` rows. The rows of hot keys are salted by their other columns, and what
     ``right`` has for them is there once for each salt. The list of hot keys (at most
-    ``HOT``) is all that comes to the driver.
+    ``HOT``) is all that comes to the driver: the plan is a merge at every size.
     """
     least = max(total // HOT, LEAST)
     hot = [r[0] for r in right.where(F.col("n") > least).select(key).collect()] if total > least else []
     right = right.drop("n")
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right.hint("merge"), key, how)
     other = [F.xxhash64(*(c for c in left.columns if c != key))]
     mine = F.col(key).isin(hot)
     salted = left.withColumn("salt_", F.when(mine, F.pmod(other[0], F.lit(SALTS))).otherwise(0))
     salts = F.when(mine, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    return salted.join(right.withColumn("salt_", F.explode(salts)), [key, "salt_"], how).drop("salt_")
+    return salted.join(right.withColumn("salt_", F.explode(salts)).hint("merge"), [key, "salt_"], how).drop("salt_")
 
 
 def fitted(sample: DataFrame, train: Callable[[pa.Table], object], order: str = "order"):

@@ -408,7 +408,7 @@ def near_groups(docs: DataFrame, words: int, bits: int, tables: list[np.ndarray]
     node = F.xxhash64("fp") if bits > 64 else F.conv(F.hex("fp"), 16, -10).cast("long")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", node)
     nodes = written(nodes, "nodes", paths)
-    rooted = nodes.join(components(links(nodes, tables, radius, paths), paths), "node", "left")
+    rooted = nodes.join(components(links(nodes, tables, radius, paths), paths).hint("merge"), "node", "left")
     rooted = written(rooted.select("fp", "first", F.col("n").alias("copies"), F.coalesce("root", "node").alias("root")), "rooted", paths)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
     named = written(join_hot(rooted, lowest, "root", total).select("fp", "component_id", F.col("copies").alias("n")), "named")
@@ -565,14 +565,14 @@ def near_parts(docs: DataFrame, nodes: DataFrame, words: int, radius: int, wide:
     first = written(first, "near", paths)
     near = first.where("hub IS NOT NULL")
     known = first.select(F.col("leaf").alias("node")).unionByName(near.select(F.col("hub").alias("node"))).distinct()
-    known = written(nodes.join(known, "node", "left_semi"), "known", paths)
+    known = written(nodes.join(known.hint("merge"), "node", "left_semi"), "known", paths)
     sets = written(shingle_sets(docs, known, words, wide), "sets", paths)
     edges, own = (F.col("hub").alias("u"), F.col("leaf").alias("v")), ("part", "size", "pivot", "far", "fp")
     tested = written(confirmed(near, sets, similarity), "tested", paths)
     alike = tested.where("alike").select(*edges)
     pivots = tested.select(F.col("leaf").alias("node"), F.col("hub").alias("pivot"), (1 - F.col("jaccard")).alias("far"))
-    known = known.drop("fp").join(sets.select("node", F.col("wide").alias("fp")), "node")
-    known = known.join(pivots, "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "far": F.coalesce("far", F.lit(0.0))})
+    known = known.drop("fp").join(sets.select("node", F.col("wide").alias("fp")).hint("merge"), "node")
+    known = known.join(pivots.hint("merge"), "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "far": F.coalesce("far", F.lit(0.0))})
     known = written(known, "known", paths)
     now = _parted(known, components(alike, paths), paths)
     if dealt:
@@ -595,13 +595,13 @@ def near_parts(docs: DataFrame, nodes: DataFrame, words: int, radius: int, wide:
     found = _compared(rows, wide_radius, similarity, False)
     last = found.groupBy(F.least("hub", "leaf").alias("a"), F.greatest("hub", "leaf").alias("b")).agg(F.max(F.struct("hub", "leaf", "hub_part", "leaf_part")).alias("x"))
     last = written(last.select("x.*"), "near", paths)
-    joined = confirmed(last, sets, similarity).where("alike").join(last, ["hub", "leaf"])
+    joined = confirmed(last, sets, similarity).where("alike").join(last.hint("merge"), ["hub", "leaf"])
     again = components(joined.select(F.col("hub_part").alias("u"), F.col("leaf_part").alias("v")), paths)
     return now.select("node", "part"), again.select(F.col("node").alias("part"), "root")
 
 
 def _parted(known: DataFrame, roots: DataFrame, paths: list[str]) -> DataFrame:
-    joined = known.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
+    joined = known.join(roots.hint("merge"), "node", "left").withColumn("part", F.coalesce("root", "node"))
     return written(joined.select("node", "part", "size", "pivot", "far", "fp", "keys"), "parted", paths)
 
 
@@ -642,7 +642,7 @@ def shingle_sets(docs: DataFrame, asked: DataFrame, words: int, wide: int) -> Da
         return pa.RecordBatch.from_arrays([*columns, pa.array([_majority(x, wide) for x in found], pa.binary())], names=["node", "shingles", "wide"])
 
     looked_up = map_slices(docs.select(row_hash(docs).alias("same"), docs["text"].alias("text")), sets, "node long, shingles array<long>, wide binary")
-    return looked_up.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("wide").alias("wide")).join(asked.select("node"), "node", "left_semi")
+    return looked_up.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("wide").alias("wide")).join(asked.select("node").hint("merge"), "node", "left_semi")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -653,8 +653,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """
     group = F.pmod(F.xxhash64("leaf"), F.lit(DEALT)).alias("group")
     pairs, sets = pairs.select("hub", "leaf", group), sets.select("node", "shingles")
-    leaves = pairs.join(sets, pairs["leaf"] == sets["node"]).select("hub", "group", "leaf", "shingles")
-    hubs = pairs.select("hub", "group").distinct().join(sets, F.col("hub") == sets["node"]).select("hub", "group", F.lit(None).cast("long").alias("leaf"), "shingles")
+    leaves = pairs.join(sets.hint("merge"), pairs["leaf"] == sets["node"]).select("hub", "group", "leaf", "shingles")
+    hubs = pairs.select("hub", "group").distinct().join(sets.hint("merge"), F.col("hub") == sets["node"]).select("hub", "group", F.lit(None).cast("long").alias("leaf"), "shingles")
     rows = leaves.unionByName(hubs).repartition("hub", "group").sortWithinPartitions("hub", "group", F.col("leaf").asc_nulls_first())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -688,8 +688,8 @@ def similar_groups(
     nodes = marked.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = written(nodes, "nodes", paths)
     now, again = near_parts(docs, nodes, words, radius, wide, wide_radius, similarity, paths)
-    by_part = nodes.select("node", "first").join(now, "node", "left").groupBy(F.coalesce("part", "node").alias("part")).agg(F.min("first").alias("first"))
-    groups = by_part.join(again, "part", "left").groupBy(F.coalesce("root", "part").alias("root")).agg(F.min("first").alias("first"))
+    by_part = nodes.select("node", "first").join(now.hint("merge"), "node", "left").groupBy(F.coalesce("part", "node").alias("part")).agg(F.min("first").alias("first"))
+    groups = by_part.join(again.hint("merge"), "part", "left").groupBy(F.coalesce("root", "part").alias("root")).agg(F.min("first").alias("first"))
     return groups.select("first.id", "first.same"), marked.groupBy("id", "same").count().where("count > 1").select("id", "same")
 
 
@@ -712,7 +712,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     paths: list[str] = []
     groups, often = similar_groups(docs, **CORPUS, tables=CORPUS_TABLES, paths=paths)
     kept = written(groups, "keepers")
-    often = written(often.join(kept, _same(often, kept), "left_semi"), "often")
+    often = written(often.join(kept.hint("merge"), _same(often, kept), "left_semi"), "often")
     remove_written(docs.sparkSession, *paths)
     if not often.isEmpty():
         kept = kept.join(often, _same(kept, often), "left_anti")
