@@ -17,9 +17,22 @@ def is_blank(c: Column) -> Column:
     return c.rlike(f"^{SPACE}*\\z")
 
 
-def text_lines(df: DataFrame, *keep: str) -> DataFrame:
-    """One row per line: ``doc_id``, what ``keep`` names, ``pos`` from 0, ``line``."""
-    return df.select("doc_id", *keep, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+#: Lines of a text that are handled as one value.
+PIECE = 4096
+
+
+def text_lines(df: DataFrame, *keep: str, dealt: bool = False) -> DataFrame:
+    """One row per line: ``doc_id``, what ``keep`` names, ``pos`` from 0, ``line``.
+
+    Texts are cut into pieces of ``PIECE`` lines first, so that no array has a value for each
+    line of a very long text; if ``dealt``, it is the pieces that are dealt out by id.
+    """
+    pieces = F.regexp_extract_all(F.concat("text", F.lit("\n")), F.lit(rf"(?:[^\n]*+\n){{1,{PIECE}}}+"), F.lit(0))
+    cut = df.select("doc_id", *keep, F.posexplode(pieces).alias("piece", "part"))
+    cut = cut.repartition("doc_id") if dealt else cut
+    lines = F.split(F.substr("part", F.lit(1), F.length("part") - 1), "\n", -1)
+    rows = cut.select("doc_id", *keep, "piece", F.posexplode(lines).alias("at", "line"))
+    return rows.select("doc_id", *keep, (F.col("piece") * PIECE + F.col("at")).alias("pos"), "line")
 
 
 def join_lines(order: list[str], line: str = "out") -> Column:

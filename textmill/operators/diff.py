@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.text import join_lines, text_lines
+from ..functions.text import PIECE, join_lines, text_lines
 
 FILE = r"^diff --git a/.+ b/.+\z"
 NO_NEWLINE = r"^\\ No newline at end of file\z"
@@ -16,7 +16,7 @@ def marked_lines(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Every line with its ``role``, file number ``f``, hunk number ``h``, and whether it is kept."""
     hunk = r"^@@ -\d+,?\d* \+\d+,?\d* @@" + (".*" if cfg.bare_hunks else ".+") + r"\z"
     line, doc = F.col("line"), Window.partitionBy("doc_id").orderBy("pos")
-    rows = text_lines(df.select("doc_id", "text").repartition("doc_id")).withColumns({"is_file": line.rlike(FILE), "is_hunk": line.rlike(hunk)})
+    rows = text_lines(df, dealt=True).withColumns({"is_file": line.rlike(FILE), "is_hunk": line.rlike(hunk)})
     count = lambda flag: F.sum(F.when(flag, 1).otherwise(0))
     rows = rows.withColumn("f", count(F.col("is_file")).over(doc))
     rows = rows.withColumn("h", count(F.col("is_hunk")).over(Window.partitionBy("doc_id", "f").orderBy("pos")))
@@ -48,5 +48,6 @@ def stats(df: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def reduce_diff(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """``doc_id, compressed``."""
-    rows = marked_lines(df, cfg).where("kept").withColumn("out", F.col("line"))
-    return rows.groupBy("doc_id").agg(join_lines(["pos"]).alias("compressed"))
+    rows = marked_lines(df, cfg).where("kept").withColumns({"out": F.col("line"), "piece": F.floor(F.col("pos") / PIECE)})
+    pieces = rows.groupBy("doc_id", "piece").agg(join_lines(["pos"]).alias("out"))
+    return pieces.groupBy("doc_id").agg(join_lines(["piece"]).alias("compressed"))

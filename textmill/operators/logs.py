@@ -30,10 +30,10 @@ def line_score(line: Column) -> Column:
     )
 
 
-def classified(df: DataFrame) -> DataFrame:
+def classified(df: DataFrame, dealt: bool = False) -> DataFrame:
     """``doc_id, pos, line, blank, norm, score, is_error, is_stack`` of every line."""
     line, blank = F.col("line"), is_blank(F.col("line"))
-    return text_lines(df).select(
+    return text_lines(df, dealt=dealt).select(
         "doc_id", "pos", "line", blank.alias("blank"),
         F.when(blank, "").otherwise(normalized(line)).alias("norm"), F.when(blank, 0).otherwise(line_score(line)).alias("score"),
         (~blank & line.rlike(ERROR)).alias("is_error"), (~blank & line.rlike(STACK)).alias("is_stack"),
@@ -48,13 +48,13 @@ def patterns(df: DataFrame) -> DataFrame:
 def kept_lines(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Output lines ``doc_id, pos, sub, out``, in order of pos and sub, with the headline and the cap.
 
-    Texts are dealt out by id once, before they are cut into lines; all windows keep to that.
+    Pieces of texts are dealt out by id once, before they are cut into lines; all windows keep to that.
     """
     group = Window.partitionBy("doc_id", "norm", "blank")
     order = group.orderBy("pos")
     full = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     whole, doc = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("pos")
-    rows = classified(df.select("doc_id", "text").repartition("doc_id")).withColumns({
+    rows = classified(df, dealt=True).withColumns({
         "n": F.count(F.lit(1)).over(group),
         "new": F.row_number().over(order) == 1,
         "rn": F.row_number().over(Window.partitionBy("doc_id", "norm", "blank", "is_stack").orderBy("pos")),

@@ -26,7 +26,7 @@ def parsed(df: DataFrame) -> DataFrame:
         F.when(line.rlike(MATCH), 1).when(line.rlike(CONTEXT), 2)
         .when(line.rlike(OTHER) & ~F.regexp_extract(line, OTHER, 1).endswith(".") & (F.length(F.regexp_extract(line, OTHER, 1)) > 2), 3).otherwise(0)
     )
-    rows = text_lines(df.select("doc_id", "text").repartition("doc_id")).where(strip(line) != "--").withColumn("form", form)
+    rows = text_lines(df, dealt=True).where(strip(line) != "--").withColumn("form", form)
     pick = lambda k: F.when(F.col("form") == 1, F.regexp_extract(line, MATCH, k)).when(F.col("form") == 2, F.regexp_extract(line, CONTEXT, k))
     rows = rows.select(
         "doc_id", "pos", "line", "form",

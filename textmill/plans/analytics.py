@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, profile_rows
@@ -69,10 +69,13 @@ def durations(logs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("ms").cast("double").alias("ms"))
 
 
+def duration_bucket(ms: Column) -> Column:
+    return F.when(ms < 10, "<10ms").when(ms < 100, "10-100ms").when(ms < 500, "100-500ms").otherwise(">500ms")
+
+
 def duration_histogram(logs: DataFrame) -> DataFrame:
     ms = F.col("ms")
-    bucket = F.when(ms < 10, "<10ms").when(ms < 100, "10-100ms").when(ms < 500, "100-500ms").otherwise(">500ms")
-    return durations(logs).groupBy("doc_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(ms > 100, 1)).alias("slow"))
+    return durations(logs).groupBy("doc_id", duration_bucket(ms).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(ms > 100, 1)).alias("slow"))
 
 
 def slow_durations(logs: DataFrame, above: float = 100) -> DataFrame:
@@ -100,15 +103,18 @@ def report(logs: DataFrame) -> DataFrame:
     return totals(logs).join(tops, "doc_id", "left").join(status_classes(logs), "doc_id", "left").na.fill(0, ["n_2xx", "n_4xx", "n_5xx"])
 
 
-def all_counts(logs: DataFrame) -> DataFrame:
-    """Everything that is counted about a log: ``doc_id, field, key, n``."""
-    parts = {"ip": ip_counts(logs), "status": status_counts(logs).withColumnRenamed("code", "key"), "path": path_counts(logs), "level": level_counts(logs), "hour": hour_counts(logs), "duration": duration_histogram(logs).withColumnRenamed("bucket", "key")}
-    out = None
-    for field, counts in parts.items():
-        key = "key" if "key" in counts.columns else field
-        one = counts.select("doc_id", F.lit(field).alias("field"), F.col(key).cast("string").alias("key"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+def all_counts(lines: DataFrame) -> DataFrame:
+    """Everything that is counted about the lines of logs (:func:`log_lines`), in one pass: ``doc_id, field, key, n``."""
+    line = F.col("line")
+    first = lambda pattern, i=1: F.regexp_extract(line, pattern, i)
+    each = lambda field, keys: F.transform(keys, lambda k: F.struct(F.lit(field).alias("field"), k.alias("key")))
+    one = lambda field, pattern, key: each(field, F.when(line.rlike(pattern), F.array(key)).otherwise(F.array().cast("array<string>")))
+    found = F.concat(
+        each("ip", F.regexp_extract_all(line, F.lit(IP), F.lit(0))), one("status", STATUS, first(STATUS).cast("int").cast("string")),
+        one("path", PATH, F.concat_ws(" ", first(PATH), first(PATH, 2))), one("level", LEVEL, first(LEVEL)), one("hour", STAMP, first(STAMP)),
+        each("duration", F.transform(F.regexp_extract_all(line, F.lit(DURATION), F.lit(1)), lambda ms: duration_bucket(ms.cast("double")))),
+    )
+    return lines.select("doc_id", F.explode(found).alias("x")).groupBy("doc_id", "x.field", "x.key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -200,9 +200,9 @@ def analysis_diff(spark, sf_dir):
 
 def analysis_diff_all(spark, sf_dir):
     """Every field of the analysis of all lines against that of lines outside the first ten."""
-    whole = fixture(spark, sf_dir, "access_log")
-    later = text_lines(whole).where("pos >= 10").groupBy("doc_id").agg(F.array_join(F.collect_list("line"), "\n").alias("text"))
-    return analytics.difference(analytics.all_counts(whole), analytics.all_counts(later), ["doc_id", "field", "key"]).na.fill(0, ["n_left", "n_right"])
+    lines = analytics.log_lines(fixture(spark, sf_dir, "access_log"))
+    later = lines.where("pos >= 10")
+    return analytics.difference(analytics.all_counts(lines), analytics.all_counts(later), ["doc_id", "field", "key"]).na.fill(0, ["n_left", "n_right"])
 
 
 def merge_by_time(spark, sf_dir):
